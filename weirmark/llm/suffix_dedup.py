@@ -187,8 +187,8 @@ def _context_rows(window: int, gram: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, rids, shared), joined, starts, stops in _buffers(batches, ["doc_id", "rid", "anchors"]):
-            _, p, grams, first, last = anchors(np.frombuffer(joined, np.uint8), starts, stops, window, gram)
+        for (rids, shared), joined, starts, stops in _buffers(batches, ["rid", "anchors"]):
+            _, p, _, first, last = anchors(np.frombuffer(joined, np.uint8), starts, stops, window, gram)
             of = np.searchsorted(stops, p, side="right")
             counts = np.fromiter(map(len, shared), np.int64, len(shared))
             flat = np.array([x for xs in shared for x in xs], np.int64)  # four times the place, and two flags
@@ -198,15 +198,15 @@ def _context_rows(window: int, gram: int):
             where = np.searchsorted(wanted, p)
             where[where == len(wanted)] = 0
             hit = wanted[where] == p if len(wanted) else np.zeros(len(p), bool)
-            p, grams, first, last, of, flags = p[hit], grams[hit], first[hit], last[hit], of[hit], flags[where[hit]]
+            p, first, last, of, flags = p[hit], first[hit], last[hit], of[hit], flags[where[hit]]
             a, b = _context(p, starts[of], stops[of], window, gram)
             # A shared context repeats all the windows that it can hold; else only the anchor's own are open.
             for own, low, high, closed in ((np.flatnonzero(flags & SETTLED), a, np.minimum(p, b - window), True), (np.flatnonzero(flags != SETTLED), first, last, False)):
                 at, i = p[own], of[own]
                 context = pa.nulls(len(own), pa.binary()) if closed else pa.array([joined[x:y] for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[x] for x in i], pa.int64()), pa.array(np.array(rids, np.int64)[i]), pa.array(grams[own].view(np.int64)), pa.array(at - starts[i]), pa.array((at - a[own]).astype(np.int32)), pa.array((low[own] - at).astype(np.int32)), pa.array((high[own] - at).astype(np.int32)), context],
-                    names=["doc_id", "rid", "gram", "at", "before", "low", "high", "context"],
+                    [pa.array(np.array(rids, np.int64)[i]), pa.array(at - starts[i]), pa.array((at - a[own]).astype(np.int32)), pa.array((low[own] - at).astype(np.int32)), pa.array((high[own] - at).astype(np.int32)), context],
+                    names=["rid", "at", "before", "low", "high", "context"],
                 )
 
     return run
@@ -224,36 +224,39 @@ def _tables(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2048):
 
 
 def _block_rows(window: int, gram: int, block: int):
-    """The two keys of every block of an open anchor: (rid, at, block, common, whole)."""
+    """Every block of an open anchor that holds windows of it: its two keys, and the span of all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, reach = 2 * window - gram, window - gram
         for batch, hashed, base, lengths, before, low, high in _tables(batches, width):
+            at = batch.column("at").to_numpy()
             for k in range(-(-(reach + 1) // block)):
                 a, b = max(-reach, -(k + 1) * block + 1), -k * block  # offsets of the block's windows
                 own = np.flatnonzero((low <= b) & (high >= a))
                 if not len(own):
                     continue
                 p, n = before[own], lengths[own]
-                inner = (np.maximum(p + b, 0), np.minimum(p + a + window, n))
-                outer = (np.maximum(p + a, 0), np.minimum(p + b + window, n))
                 keys = []
-                for i, j in (inner, outer):  # what the text's ends cut off is part of the key
-                    keys.append(_mix(hashed.ranges(base[own] + i, base[own] + j) + ((p - i) * 512 + (j - p) + 1).astype(np.uint64)))
+                for i, j in ((np.maximum(p + b, 0), np.minimum(p + a + window, n)), (np.maximum(p + a, 0), np.minimum(p + b + window, n))):
+                    # Where the range lies about the anchor, and what the text's ends cut off, is part of the key.
+                    keys.append(_mix(hashed.ranges(base[own] + i, base[own] + j) + ((p - i) * 65536 + (j - p) + 1).astype(np.uint64)))
+                start = at[own] + np.maximum(a, -p)
+                stop = at[own] + np.minimum(b + window, n - p)
+                take = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(own)), batch.column("rid").take(pa.array(own)), batch.column("gram").take(pa.array(own)), batch.column("at").take(pa.array(own)), pa.array(np.full(len(own), k, np.int32)), *(pa.array(x.view(np.int64)) for x in keys), pa.array(np.maximum(p + a, 0) - p), pa.array(np.minimum(p + b, n - window) - p)],
-                    names=["doc_id", "rid", "gram", "at", "block", "common", "whole", "from", "to"],
+                    [batch.column("rid").take(take), batch.column("at").take(take), pa.array(np.full(len(own), k, np.int32)), *(pa.array(x.view(np.int64)) for x in keys), pa.array(start << 32 | stop)],
+                    names=["rid", "at", "block", "common", "whole", "span"],
                 )
 
     return run
 
 
 def _window_rows(window: int, gram: int, block: int):
-    """(gram, offset, key, doc_id, rid, at) of the single windows of the open blocks."""
+    """The single windows of the open blocks: (rid, key, place), the place being the start and 32 more bits of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, reach = 2 * window - gram, window - gram
-        for batch, hashed, base, lengths, before, low, high in _tables(batches, width):
+        for batch, hashed, base, _, before, low, high in _tables(batches, width):
             blocks = batch.column("blocks")
             sizes = pc.list_value_length(blocks).to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(batch.num_rows), sizes)
@@ -264,20 +267,13 @@ def _window_rows(window: int, gram: int, block: int):
             offset, row = offset[good], row[good]
             start = base[row] + before[row] + offset
             key = hashed.ranges(start, start + window)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("rid").take(take), batch.column("gram").take(take), pa.array(offset), pa.array(key.view(np.int64)), pa.array(batch.column("at").to_numpy()[row] + offset)],
-                names=["doc_id", "rid", "gram", "offset", "key", "start"],
-            )
+            more = hashed.ranges(start + 1, start + window - 1) >> _S32
+            place = (batch.column("at").to_numpy()[row] + offset).astype(np.int64) << 32 | more.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(place)], names=["rid", "key", "place"])
 
     return run
 
 
-def _twice(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The keys that occur more than once, in a table of its own."""
-    return materialise(rows.groupBy(*keys).count().where("count > 1").select(*keys), name)
-
-
 def _removed(with_text: bool):
     """Union of each text's spans, and what is left of the text without them."""
 
@@ -293,7 +289,7 @@ def _removed(with_text: bool):
                 kept = b"".join(left)
                 for column, value in zip(out, (removed, runs, kept.decode("utf-8", "replace").encode() if with_text else hashlib.sha256(kept).digest()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "rid", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["rid", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -312,43 +308,64 @@ def _span(start: Column, stop: Column) -> Column:
     return F.shiftleft(start.cast("long"), 32) + stop
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The affected texts (doc_id, rid, text), and their spans (doc_id, rid, spans)."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """Adds ``__rid``, the key of a row: its id, or if ids are null or repeat a hash of id and text.
+
+    Rows of one key are then equal, and so are their results. Also returns
+    whether every row has a key of its own.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
+    plain = ids.where("i is null or count > 1").limit(1).count() == 0
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.withColumn("__rid", F.col(id_col).cast("long") if plain else F.xxhash64(F.col(id_col).cast("long"), text)), plain
+
+
+def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The affected texts (rid, text), and their spans (rid, spans)."""
     if not 8 <= gram < window <= 2**15:
         raise ValueError("gram must be at least 8 and smaller than window")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    rows = keyed.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     block = BLOCK if window == WINDOW else max(1, int((window - gram + 1) ** 0.5) + 4)
 
-    found = rows.where(F.octet_length("text") >= window).select("rid", "text").mapInArrow(_anchor_rows(window, gram), "gram long, around long, rid long, at long")
-    grams = _twice(found, ["gram"], "grams")
-    shared = materialise(found.join(grams, "gram", "left_semi"), "anchors")
-    around = materialise(shared.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n"), "contexts")
+    # 1. Anchors whose gram occurs twice. If all of a gram's contexts are equal, that settles them.
+    found = rows.where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window, gram), "gram long, around long, rid long, at long")
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
+    grams = materialise(grams.select("gram", (F.col("a") == F.col("b")).alias("alone")), "grams")
+    shared = materialise(found.join(grams, "gram"), "anchors")
+    # 2. Contexts that occur twice, among others of the same gram.
+    contexts = shared.where("not alone").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
+    mixed = shared.where("not alone").join(materialise(contexts, "contexts"), ["gram", "around"], "left")
     flags = F.when(F.col("source").isNull(), 0).when(F.col("source") == F.col("rid"), SETTLED | SOURCE).otherwise(SETTLED)
-    marked = shared.join(around, ["gram", "around"], "left").groupBy("rid").agg(F.collect_set(F.col("at") * 4 + flags).alias("anchors"))
-    affected = materialise(rows.join(marked.hint("shuffle_hash"), "rid").select("doc_id", "rid", "text", "anchors"), "affected")
-
-    contexts = materialise(affected.mapInArrow(_context_rows(window, gram), "doc_id long, rid long, gram long, at long, before int, low int, high int, context binary"), "open")
-    settled = contexts.where("context is null and high >= low").select("doc_id", "rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
-    still = contexts.where("context is not null")
-    blocks = materialise(still.mapInArrow(_block_rows(window, gram, block), "doc_id long, rid long, gram long, at long, block int, common long, whole long, from long, to long"), "blocks")
-    whole = materialise(blocks.groupBy("gram", "block", "whole").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n"), "whole")
-    common = _twice(blocks, ["gram", "block", "common"], "common")
-    judged = materialise(blocks.join(common, ["gram", "block", "common"], "left_semi").join(whole, ["gram", "block", "whole"], "left").select("doc_id", "rid", "at", "block", "from", "to", "source"), "judged")
-    by_block = judged.where("source is not null and to >= from").select("doc_id", "rid", _span(F.col("at") + F.col("from"), F.col("at") + F.col("to") + window).alias("span"))
-    opened = judged.where("source is null or source = rid").groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
-    windows = materialise(still.join(opened, ["rid", "at"]).mapInArrow(_window_rows(window, gram, block), "doc_id long, rid long, gram long, offset long, key long, start long"), "windows")
-    equal = _twice(windows, ["gram", "offset", "key"], "equal")
-    by_window = windows.join(equal, ["gram", "offset", "key"], "left_semi").select("doc_id", "rid", _span(F.col("start"), F.col("start") + window).alias("span"))
-    spans = settled.unionByName(by_block).unionByName(by_window).groupBy("doc_id", "rid").agg(F.collect_set("span").alias("spans"))
-    return affected, spans
-
-
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, with_text: bool) -> DataFrame:
-    """One row per affected text; ``kept`` is what is left of it, or the SHA-256 of that."""
-    affected, spans = repeated_spans(docs, id_col, text_col, window, gram)
-    keyed = spans.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "spans")
-    return affected.join(keyed.hint("shuffle_hash"), (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "rid", "text", "spans").mapInArrow(_removed(with_text), "doc_id long, rid long, n_removed long, n_spans long, kept binary")
+    flagged = mixed.select("rid", (F.col("at") * 4 + flags).alias("anchor")).union(shared.where("alone").select("rid", F.col("at") * 4 + SETTLED))
+    marked = flagged.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    affected = materialise(rows.join(marked.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected")
+    judged = materialise(affected.mapInArrow(_context_rows(window, gram), "rid long, at long, before int, low int, high int, context binary"), "judged")
+    settled = judged.where("context is null and high >= low").select("rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
+    still = judged.where("context is not null")
+    # 3. Blocks whose common bytes occur twice; if all their whole bytes are equal, that settles them.
+    blocks = still.mapInArrow(_block_rows(window, gram, block), "rid long, at long, block int, common long, whole long, span long")
+    common = blocks.groupBy("common").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
+    common = materialise(common.select("common", (F.col("a") == F.col("b")).alias("alone")), "common")
+    blocks = materialise(blocks.join(common, "common"), "blocks")
+    whole = blocks.where("not alone").groupBy("common", "whole").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
+    mixed = materialise(blocks.where("not alone").join(materialise(whole, "whole"), ["common", "whole"], "left").select("rid", "at", "block", "span", "source"), "mixed")
+    by_block = blocks.where("alone").select("rid", "span").union(mixed.where("source is not null").select("rid", "span"))
+    by_block = by_block.where(F.shiftright("span", 32) + window <= F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # 4. Single windows of the blocks that are open or stand for settled ones.
+    opened = mixed.where("source is null or source = rid").groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
+    windows = materialise(still.join(opened, ["rid", "at"]).mapInArrow(_window_rows(window, gram, block), "rid long, key long, place long"), "windows")
+    more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    equal = windows.groupBy("key", more.alias("more")).count().where("count > 1").select("key", "more")
+    repeated = windows.withColumn("more", more).join(materialise(equal, "equal"), ["key", "more"], "left_semi")
+    by_window = repeated.select("rid", _span(F.shiftright("place", 32), F.shiftright("place", 32) + window).alias("span"))
+    return affected, settled.union(by_block).union(by_window).groupBy("rid").agg(F.collect_set("span").alias("spans"))
+
+
+def _cleaned(keyed: DataFrame, plain: bool, text_col: str, window: int, gram: int, with_text: bool) -> DataFrame:
+    """(__key, n_removed, n_spans, kept) of each affected key; ``kept`` is what is left of the text, or the SHA-256 of that."""
+    affected, spans = repeated_spans(keyed, text_col, window, gram)
+    cut = affected.join(spans.hint("shuffle_hash"), "rid").select("rid", "text", "spans").mapInArrow(_removed(with_text), "rid long, n_removed long, n_spans long, kept binary")
+    return materialise(cut if plain else cut.dropDuplicates(["rid"]), "changed").withColumnRenamed("rid", "__key")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -361,10 +378,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     too, the rows repeat each other. A null id is an id like others. An empty
     table gives an empty result; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rid"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("own"))
-    changed = _cleaned(docs, id_col, text_col, window, gram, False).select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "n_removed", "n_spans", "kept").dropDuplicates(["__id", "__rid"])
-    joined = rows.join(materialise(changed, "changed"), (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    keyed, plain = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = keyed.select("doc_id", "__rid", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("own"))
+    joined = rows.join(_cleaned(keyed, plain, "text", window, gram, False), F.col("__rid") == F.col("__key"), "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "own"))).alias("kept_sha256"))
 
 
@@ -374,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A cut may leave part of a character at either side of a removed run; the
     broken bytes become U+FFFD. Null texts stay null.
     """
-    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    changed = _cleaned(docs, id_col, text_col, window, gram, True).select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__id", "__rid"])
-    joined = docs.withColumn("__own", own).join(materialise(changed, "changed"), (F.col("__own") == F.col("__rid")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    keyed, plain = _keyed(docs, id_col, text_col)
+    changed = _cleaned(keyed, plain, text_col, window, gram, True).select("__key", F.col("kept").cast("string").alias("__kept"))
+    joined = keyed.join(changed, F.col("__rid") == F.col("__key"), "left")
     return joined.select(*[F.coalesce("__kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
