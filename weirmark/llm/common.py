@@ -44,7 +44,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.__dict__["scratch"] = path
+    return found
+
+
+def materialise_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table bucketed by ``key``, so that joins on it need no shuffle; also its name, to drop it by."""
+    spark = df.sparkSession
+    made = f"weirmark_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(made)
+    return spark.table(made), made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("scratch", None):
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise
+from weirmark.llm.common import materialise, materialise_by, release
 
 WINDOW = 200
 GRAM = 40
 #: Bytes of text hashed at a time; a longer text is taken alone.
 BUFFER = 1 << 20
-#: Window offsets in a block of pass 3.
-BLOCK = 23
+#: Window offsets in a block of pass 3: fewer make more blocks and fewer single windows.
+BLOCK = 14
 #: Flags of an anchor: its context occurs twice; it stands for that context in the next passes.
 SETTLED, SOURCE = 1, 2
 
@@ -320,8 +320,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     return docs.withColumn("__rid", F.col(id_col).cast("long") if plain else F.xxhash64(F.col(id_col).cast("long"), text)), plain
 
 
-def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The affected texts (rid, text), and their spans (rid, spans)."""
+def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> tuple[DataFrame, str, DataFrame]:
+    """The affected texts (rid, text) and the name of their table, and their spans (rid, spans)."""
     if not 8 <= gram < window <= 2**15:
         raise ValueError("gram must be at least 8 and smaller than window")
     rows = keyed.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -334,11 +334,13 @@ def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> t
     shared = materialise(found.join(grams, "gram"), "anchors")
     # 2. Contexts that occur twice, among others of the same gram.
     contexts = shared.where("not alone").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
-    mixed = shared.where("not alone").join(materialise(contexts, "contexts"), ["gram", "around"], "left")
+    contexts = materialise(contexts, "contexts")
+    mixed = shared.where("not alone").join(contexts, ["gram", "around"], "left")
     flags = F.when(F.col("source").isNull(), 0).when(F.col("source") == F.col("rid"), SETTLED | SOURCE).otherwise(SETTLED)
     flagged = mixed.select("rid", (F.col("at") * 4 + flags).alias("anchor")).union(shared.where("alone").select("rid", F.col("at") * 4 + SETTLED))
     marked = flagged.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    affected = materialise(rows.join(marked.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected")
+    affected, name = materialise_by(rows.join(marked.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected", "rid")
+    release(grams, shared, contexts)
     judged = materialise(affected.mapInArrow(_context_rows(window, gram), "rid long, at long, before int, low int, high int, context binary"), "judged")
     settled = judged.where("context is null and high >= low").select("rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
     still = judged.where("context is not null")
@@ -348,24 +350,27 @@ def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> t
     common = materialise(common.select("common", (F.col("a") == F.col("b")).alias("alone")), "common")
     blocks = materialise(blocks.join(common, "common"), "blocks")
     whole = blocks.where("not alone").groupBy("common", "whole").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
-    mixed = materialise(blocks.where("not alone").join(materialise(whole, "whole"), ["common", "whole"], "left").select("rid", "at", "block", "span", "source"), "mixed")
-    by_block = blocks.where("alone").select("rid", "span").union(mixed.where("source is not null").select("rid", "span"))
-    by_block = by_block.where(F.shiftright("span", 32) + window <= F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    whole = materialise(whole, "whole")
+    mixed = materialise(blocks.join(whole, ["common", "whole"], "left").select("rid", "at", "block", "span", "alone", "source"), "mixed")
+    release(common, blocks, whole)
+    by_block = mixed.where("alone or source is not null").select("rid", "span").where(F.shiftright("span", 32) + window <= F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
     # 4. Single windows of the blocks that are open or stand for settled ones.
-    opened = mixed.where("source is null or source = rid").groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
+    opened = mixed.where("not alone and (source is null or source = rid)").groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
     windows = materialise(still.join(opened, ["rid", "at"]).mapInArrow(_window_rows(window, gram, block), "rid long, key long, place long"), "windows")
     more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     equal = windows.groupBy("key", more.alias("more")).count().where("count > 1").select("key", "more")
     repeated = windows.withColumn("more", more).join(materialise(equal, "equal"), ["key", "more"], "left_semi")
     by_window = repeated.select("rid", _span(F.shiftright("place", 32), F.shiftright("place", 32) + window).alias("span"))
-    return affected, settled.union(by_block).union(by_window).groupBy("rid").agg(F.collect_set("span").alias("spans"))
+    return affected, name, settled.union(by_block).union(by_window).groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
 
 def _cleaned(keyed: DataFrame, plain: bool, text_col: str, window: int, gram: int, with_text: bool) -> DataFrame:
     """(__key, n_removed, n_spans, kept) of each affected key; ``kept`` is what is left of the text, or the SHA-256 of that."""
-    affected, spans = repeated_spans(keyed, text_col, window, gram)
+    affected, name, spans = repeated_spans(keyed, text_col, window, gram)
     cut = affected.join(spans.hint("shuffle_hash"), "rid").select("rid", "text", "spans").mapInArrow(_removed(with_text), "rid long, n_removed long, n_spans long, kept binary")
-    return materialise(cut if plain else cut.dropDuplicates(["rid"]), "changed").withColumnRenamed("rid", "__key")
+    changed = materialise(cut if plain else cut.dropDuplicates(["rid"]), "changed").withColumnRenamed("rid", "__key")
+    keyed.sparkSession.sql(f"DROP TABLE {name}")
+    return changed
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
