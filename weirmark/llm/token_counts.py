@@ -137,6 +137,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = distinct.join(stored, "content_digest", "left_anti").select(F.col("content_digest").alias("missed"), "first_id")
     shared = spark.sparkContext.broadcast(model)  # one tokenizer file, a few MB
     to_encode = rows.join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content_digest") == F.col("missed"))).select("content_digest", "text")
+    if ids.groupBy("doc_id", "content_digest").count().where("count > 1").limit(1).count():
+        to_encode = to_encode.dropDuplicates(["content_digest"])  # rows that repeat id and text
     to_encode.mapInArrow(_count(shared, version, _cuts_at_spaces(model)), CACHE).write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
