@@ -41,7 +41,7 @@ from weirmark.llm.common import materialise, materialise_by, release
 WINDOW = 200
 GRAM = 40
 #: Bytes of text hashed at a time; a longer text is taken alone.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: Window offsets in a block of pass 3: fewer make more blocks and fewer single windows.
 BLOCK = 14
 #: Flags of an anchor: its context occurs twice; it stands for that context in the next passes.

@@ -26,7 +26,9 @@ ALPHA, BETA, L2, EPOCHS = 0.3, 1.0, 0.1, 4
 #: L1 is LEAST_L1 plus one for each of this many examples: a feature must move more than chance does.
 LEAST_L1, L1_EXAMPLES = 0.5, 700
 #: Word hashes that a task remembers.
-MEMORY = 1 << 18
+MEMORY = 1 << 16
+#: Rows that are filtered at a time.
+SLICE = 500
 
 _WORD = re.compile(r"\w+")
 _PAIR, _SKIP = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -124,7 +126,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, i
     return scored.select("doc_id", F.coalesce(remainder("doc_id", parts) == part, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _keep(shared):
+def _keep(shared, text_col: str):
     """Passes on the rows of a document table whose text is not toxic, all columns as they came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +134,11 @@ def _keep(shared):
         dense = np.zeros(1 << BITS, np.float32)
         dense[kept] = weights
         hasher = Hasher()
-        for batch in batches:
-            clean = [dense[hasher.features(t.as_py() or "")].sum(dtype=np.float64) + bias < 0 for t in batch.column("__text")]
-            yield batch.drop_columns(["__text"]).filter(pa.array(clean, pa.bool_()))
+        for whole in batches:
+            for s in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(s, SLICE)
+                clean = [dense[hasher.features(t.as_py() or "")].sum(dtype=np.float64) + bias < 0 for t in batch.column(text_col)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
 
@@ -145,4 +149,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     if not len(model[0]):
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_keep(shared), docs.schema)
+    return docs.mapInArrow(_keep(shared, text_col), docs.schema)
