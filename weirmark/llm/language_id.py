@@ -24,6 +24,8 @@ from weirmark.llm.samples import remainder
 
 #: The sample: documents per language, letters taken of each, letters per language.
 SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_LETTERS = 96, 600, 32_000
+#: Candidates for the sample that are expected to meet in one task, as a multiple of it.
+FOUND = 4
 #: Languages with an automaton: the most frequent ones.
 MOST_LANGUAGES = 64
 #: Letters in a segment. A parse begins anew in each, which adds the same one phrase for every language.
@@ -166,8 +168,10 @@ def language_samples(docs: DataFrame, held_out: tuple[int, int], id_col: str, te
     parts, part = held_out
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", parts) != part))
     texts = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    frequent = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    drawn = texts.join(F.broadcast(frequent), "lang", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLE_DOCS)
+    frequent = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    # Hashes are even, so those under this bound are about FOUND times the sample, however many texts there are.
+    small = F.col("h") / F.lit(2.0**64) + 0.5 < F.lit(float(FOUND * SAMPLE_DOCS)) / F.col("count")
+    drawn = texts.join(F.broadcast(frequent), "lang").where(small).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLE_DOCS)
     drawn = F.broadcast(materialise(drawn.select("lang", "h", "doc_id", "n"), "sample"))  # at most MOST_LANGUAGES * SAMPLE_DOCS rows
     rows = known.withColumn("h", F.xxhash64("text")).join(drawn, ["lang", "h", "doc_id"]).select("lang", "n", F.substring("text", 1, SAMPLE_EACH).alias("text")).dropDuplicates(["lang", "n"]).collect()
     joined: dict[str, list[str]] = {}
