@@ -22,9 +22,9 @@ from weirmark.llm.samples import labelled_sample, remainder
 #: Labelled documents of each class that the weights are fitted on, at most.
 PER_CLASS = 4000
 BITS = 20
-ALPHA, BETA, L2, EPOCHS = 0.3, 1.0, 0.1, 4
+ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 0.1, 4
 #: L1 is LEAST_L1 plus one for each of this many examples: a feature must move more than chance does.
-LEAST_L1, L1_EXAMPLES = 0.5, 700
+LEAST_L1, L1_EXAMPLES = 3.0, 350
 #: Word hashes that a task remembers.
 MEMORY = 1 << 16
 #: Rows that are filtered at a time.
