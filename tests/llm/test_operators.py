@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -161,6 +162,35 @@ def test_held_out_accuracy(spark):
     assert (lang.lang_pred == lang.lang)[lang.held_out].mean() > 0.95
     found = queries.op6_quality(spark, SF).toPandas().merge(labels, on="doc_id")
     assert (found.predicted == found.quality)[found.held_out].mean() > 0.95
+    more = SF.replace("0.01", "0.1")  # SF has six toxic documents held out
+    own = queries.op9_toxicity(spark, more).toPandas().merge(pd.read_parquet(f"{more}/labels.parquet"), on="doc_id").query("held_out")
+    assert own.predicted[own.toxic == 1].mean() > 0.75 and own.predicted[own.toxic == 0].mean() < 0.02
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {f} AS SELECT * FROM '{SF}/{f}.parquet'")
+    found, said = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
+    columns = sorted(found.columns)
+    assert sorted(said.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(tuple(r[said.columns.index(c)] for c in columns) for r in said.fetchall())
+
+
+def test_clashing_columns(spark):
+    names = ["__id", "__sha", "__sha_of", "__rid", "__key", "__kept", "score", "kept", "spans", "fp", "n", "count", "y", "bucket", "h"]
+    rows = [r for r in made(9, 30) if r[0] not in (None, 32)]
+    docs = spark.createDataFrame([(*r, *[None if i % 3 else f"{n}{r[0]}" for i, n in enumerate(names)]) for r in rows], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    none = spark.createDataFrame([], "doc_id long, toxic int, count long")
+    for f in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, suffix_dedup.remove_repeats, lambda d: toxicity.drop_toxic(d, none)):
+        found = f(docs)
+        assert found.columns == docs.columns
+        left = found.collect()
+        assert left and all(r[n] == (None if i % 3 else f"{n}{r.doc_id}") for r in left for i, n in enumerate(names))
+        assert f(docs.limit(0)).count() == 0
+    for f in (exact_dedup.exact_dedup, simhash.simhash_components, suffix_dedup.suffix_dedup):
+        assert f(docs).count() == len(rows)
 
 
 def test_toxicity_learns_words():

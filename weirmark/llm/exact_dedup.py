@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import ascii_lower, materialise
+from weirmark.llm.common import ascii_lower, materialise, unused
 
 #: Bytes of text in the splitters. Longer keys would only move more to the driver.
 PREFIX = 32
@@ -112,10 +112,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    sha = F.unhex(F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    found = docs.withColumn("__sha_of", sha).join(kept.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha_of") == F.col("__sha")), "left_semi")
+    own_id, own_sha, sha = unused(docs, "__id", "__sha", "__sha_of")
+    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias(own_id), F.unhex("text_sha256").alias(own_sha))
+    hashed = docs.withColumn(sha, F.unhex(F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)))
+    found = hashed.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left_semi")
     repeated = docs.groupBy(F.col(id_col)).count().where("count > 1").limit(1).count() > 0
     if repeated:  # identical rows share id and text: one of them stays
-        found = found.dropDuplicates([id_col, "__sha_of"])
-    return found.drop("__sha_of")
+        found = found.dropDuplicates([id_col, sha])
+    return found.drop(sha)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise
+from weirmark.llm.common import materialise, unused
 from weirmark.llm.components import components
 
 #: Seed of the shingle hash, also the fixed seed of Spark's own xxhash64.
@@ -204,7 +204,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat that id are told apart by nothing; one of them stays.
     """
     found = simhash_components(docs, id_col, text_col, words_in_shingle, max_bits)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    (own_id,) = unused(docs, "__id")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
+    kept = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left_semi")
     repeated = docs.groupBy(F.col(id_col)).count().where("count > 1").limit(1).count() > 0
     return kept.dropDuplicates([id_col]) if repeated else kept

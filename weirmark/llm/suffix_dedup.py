@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise, materialise_by, release
+from weirmark.llm.common import materialise, materialise_by, release, unused
 
 WINDOW = 200
 GRAM = 40
@@ -308,8 +308,8 @@ def _span(start: Column, stop: Column) -> Column:
     return F.shiftleft(start.cast("long"), 32) + stop
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """Adds ``__rid``, the key of a row: its id, or if ids are null or repeat a hash of id and text.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rid: str = "__rid") -> tuple[DataFrame, bool]:
+    """Adds ``rid``, the key of a row: its id, or if ids are null or repeat a hash of id and text.
 
     Rows of one key are then equal, and so are their results. Also returns
     whether every row has a key of its own.
@@ -317,7 +317,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
     plain = ids.where("i is null or count > 1").limit(1).count() == 0
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.withColumn("__rid", F.col(id_col).cast("long") if plain else F.xxhash64(F.col(id_col).cast("long"), text)), plain
+    return docs.withColumn(rid, F.col(id_col).cast("long") if plain else F.xxhash64(F.col(id_col).cast("long"), text)), plain
 
 
 def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> tuple[DataFrame, str, DataFrame]:
@@ -396,7 +396,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A cut may leave part of a character at either side of a removed run; the
     broken bytes become U+FFFD. Null texts stay null.
     """
-    keyed, plain = _keyed(docs, id_col, text_col)
-    changed = _cleaned(keyed, plain, text_col, window, gram, True).select("__key", F.col("kept").cast("string").alias("__kept"))
-    joined = keyed.join(changed, F.col("__rid") == F.col("__key"), "left")
-    return joined.select(*[F.coalesce("__kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rid, key, kept = unused(docs, "__rid", "__key", "__kept")
+    keyed, plain = _keyed(docs, id_col, text_col, rid)
+    texts = keyed.select(F.col(rid).alias("__rid"), F.col(text_col).alias("text"))
+    changed = _cleaned(texts, plain, "text", window, gram, True).select(F.col("__key").alias(key), F.col("kept").cast("string").alias(kept))
+    joined = keyed.join(changed, F.col(rid) == F.col(key), "left")
+    return joined.select(*[F.coalesce(kept, F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
