@@ -22,8 +22,8 @@ def landed(records: DataFrame) -> DataFrame:
 
 
 def append_batch(records: DataFrame, path: str) -> None:
-    """Never rewrites. One task per source and day keeps files few; AQE splits days that are large."""
-    landed(records).repartition(*LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(path)
+    """Never rewrites. Rebalancing by source and day keeps files few, and AQE splits days that are large."""
+    landed(records).hint("rebalance", *LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(path)
 
 
 def append_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
