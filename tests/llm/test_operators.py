@@ -111,6 +111,16 @@ def test_simhash(spark, monkeypatch):
     assert simhash.simhash_components(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "quite another text about nothing of the kind at all"
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert left([(None, a), (None, b)]) == [(None, a), (None, b)]
+    assert left([(None, a), (None, a), (None, b)]) == [(None, a), (None, b)]
+    assert left([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert left([(5, a), (5, a), (5, b), (None, b)]) == [(5, a), (5, b)]
+    assert left([(5, "x y z"), (5, "X y z"), (4, None), (4, ""), (6, " ")]) in ([(4, None), (5, "x y z")], [(4, None), (5, "X y z")], [(4, ""), (5, "x y z")], [(4, ""), (5, "X y z")])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 8).round(2).tolist(), 0) for i in range(300)] + [(i, [0.5] * 8, 0) for i in range(300, 500)] + [(500, None, 0), (550, [float("nan")] + [0.0] * 7, 0), (600, [None] + [0.0] * 7, 0), (650, [1.0, 2.0], 0), (None, [0.1] * 8, 0)]
