@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weirmark.llm.common import scratch_path, table
 from weirmark.llm.exact_dedup import drop_exact_duplicates
 from weirmark.llm.packing import pack, word_count
-from weirmark.llm.simhash import drop_near_duplicates
+from weirmark.llm.similar import drop_similar
 from weirmark.llm.suffix_dedup import remove_repeats
 from weirmark.llm.toxicity import drop_toxic
 
@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints link, the one with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of documents that links of 5-word Jaccard similarity 0.8 or more join, the one with the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirmark.llm import bpe, common, exact_dedup, knn_join, language_id, packing, quality, queries, simhash, suffix_dedup, token_counts, toxicity
+from weirmark.llm import bpe, common, exact_dedup, knn_join, language_id, packing, quality, queries, similar, simhash, suffix_dedup, token_counts, toxicity
 
 DOCS = "doc_id long, text string, hash string, rid long"
 SF = "/root/testdata/sf0.01"
@@ -121,6 +121,51 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert left([(5, "x y z"), (5, "X y z"), (4, None), (4, ""), (6, " ")]) in ([(4, None), (5, "x y z")], [(4, None), (5, "X y z")], [(4, ""), (5, "x y z")], [(4, ""), (5, "X y z")])
 
 
+def edited_copies():
+    """Rows (id, text): random texts with copies of which 0 to 12 of 100 words are others, and one large group."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for copies in (*[4] * 15, 60):
+        base = [word() for _ in range(100)]
+        for _ in range(copies):
+            own = list(base)
+            for i in rng.sample(range(100), rng.randrange(5)) if copies == 60 else range(a := rng.randrange(90), a + rng.randrange(13)):
+                own[i % 100] = word()
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    return [*enumerate(rows), (1000, "few words"), (1001, "Few  words"), (1002, None), (1003, " ")]
+
+
+def brute_similar(rows):
+    """Component of each row by all pairs of 5-word Jaccard similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for _, t in rows)]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if part[i] != part[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    return part
+
+
+@pytest.mark.parametrize("small, tile", [(32, 1024), (3, 16)])  # the second deals large groups as tiles
+def test_similar(spark, monkeypatch, small, tile):
+    monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "TILE_LEAST", tile)
+    rows = edited_copies()
+    least = {}
+    for (d, _), p in zip(rows, brute_similar(rows), strict=True):
+        least[p] = min(d, least.get(p, d))
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values()) and 16 < len(least) < len(rows) - 16
+    # Null and repeated ids: texts are told apart.
+    a, b = rows[0][1], "quite another text about nothing of the kind at all"
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SF).collect()), key=str)
+    assert left([(None, a), (None, b), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert left([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert corpus_pipeline.near_dedup(spark, frame(spark, rows).limit(0), SF).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 8).round(2).tolist(), 0) for i in range(300)] + [(i, [0.5] * 8, 0) for i in range(300, 500)] + [(500, None, 0), (550, [float("nan")] + [0.0] * 7, 0), (600, [None] + [0.0] * 7, 0), (650, [1.0, 2.0], 0), (None, [0.1] * 8, 0)]
