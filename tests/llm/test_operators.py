@@ -166,13 +166,32 @@ def test_similar(spark, monkeypatch, small, tile):
     assert corpus_pipeline.near_dedup(spark, frame(spark, rows).limit(0), SF).count() == 0
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank string, score string")
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(0, 0.2, 8).round(2).tolist(), 0) for i in range(300)] + [(i, [0.5] * 8, 0) for i in range(300, 500)] + [(500, None, 0), (550, [float("nan")] + [0.0] * 7, 0), (600, [None] + [0.0] * 7, 0), (650, [1.0, 2.0], 0), (None, [0.1] * 8, 0)]
-    got = [tuple(r) for r in knn_join.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 50 == 0, pivots=8).orderBy("query_id", "rank").collect()]
-    v = {i: np.floor(256 * np.array(x)).astype(int) for i, x, _ in rows[:500]}
-    want = [(q, n, i, s) for q in range(0, 500, 50) for n, (s, i) in enumerate(sorted(((int(v[q] @ v[i]), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:5], 1)]
-    assert got == want
+    rows = [(i, rng.normal(0, 0.2, 8).round(2).tolist()) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 500)]
+    rows += [(i % 60, rng.normal(0, 0.3, 8).tolist()) for i in range(60)] + [(50, rows[50][1]), (50, rows[50][1])]  # repeated ids, some with the same vector
+    rows += [(i, rng.normal(0, 0.2, 3).tolist()) for i in range(700, 760)] + [(800, [1.0])]
+    bad = [(500, None), (550, [float("nan")] + [0.0] * 7), (600, [None] + [0.0] * 7), (650, []), (None, [0.1] * 8), (850, [float("inf")] * 8)]
+    v = [np.floor(256 * np.array(x)).astype(int) for _, x in rows]
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            found = sorted(((-int(v[q] @ v[c]), j) for c, (j, _) in enumerate(rows) if c != q and len(v[c]) == len(v[q])))[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(found, 1)]
+    df = vectors(spark, [(*r, 0, "x", "y") for r in rows + bad])
+    for pivots in (None, 8):
+        assert sorted(tuple(r) for r in knn_join.top_k(df, F.col("vec_id") % 50 == 0, pivots=pivots).collect()) == sorted(want)
+    assert knn_join.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert knn_join.top_k(df.where("vec_id >= 800"), F.col("vec_id") % 50 == 0).count() == 0
+    big = vectors(spark, [(i, [1e6 + i, 3.0], 0, "", "") for i in range(9)])  # beyond what a double holds exactly
+    scores = {r.vec_id: r.score for r in knn_join.top_k(big, F.col("vec_id") == 0).collect()}
+    assert scores == {i: (256 * 10**6) * (256 * (10**6 + i)) + 768**2 for i in (8, 7, 6, 5, 4)}
+    with pytest.raises(ValueError, match="64 bits"):
+        knn_join.top_k(vectors(spark, [(0, [2e7, 1.0], 0, "", ""), (1, [1e300, 1.0], 0, "", "")]), F.col("vec_id") == 0)
 
 
 def test_tokens_and_bpe(spark, tmp_path):
@@ -195,21 +214,36 @@ def test_tokens_and_bpe(spark, tmp_path):
     assert sorted(bytes(r.decoded) for r in bpe.bpe_decode(encoded, path).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_packing(spark):
-    lengths = [(i, n) for i, n in enumerate([0, 1, 1, 2, 5, 5, 9, 10, 11, 40, 41, 300, None, 5000] * 30)]
-    got = packing.pack(spark.createDataFrame(lengths, "doc_id long, n_tokens long"), buckets=4, token_budget=400).toPandas()
-    assert sorted(got.doc_id) == list(range(len(lengths))) and (got.padding >= 0).all()
-    batches = got.groupby("batch_id").agg(n=("slot", "size"), most=("slot", "max"), b=("boundary", "first"))
-    assert ((batches.n * batches.b <= 400) | (batches.n == 1) | (batches.b == 0)).all() and (batches.most + 1 == batches.n).all()
+def brute_padding(lengths, counts, buckets):
     from itertools import combinations
 
-    sizes = np.array(sorted({n or 0 for _, n in lengths}))
-    counts = np.array([sum((n or 0) == s for _, n in lengths) for s in sizes])
-    cost = lambda ends: sum(int((counts[a:b] * (sizes[b - 1] - sizes[a:b])).sum()) for a, b in zip((0, *ends), (*ends, len(sizes)), strict=True))
-    assert got.padding.sum() == min(cost(e) for e in combinations(range(1, len(sizes)), 3))
+    ends = combinations(range(len(lengths) - 1), min(buckets, len(lengths)) - 1)
+    return min(sum(n * (min(b for b in (*(lengths[i] for i in e), lengths[-1]) if b >= x) - x) for x, n in zip(lengths, counts, strict=True)) for e in ends)
+
+
+def test_packing(spark):
+    for sizes in ([0, 1, 1, 2, 5, 5, 9, 10, 11, 40, 41, 300, None, -3, 5000] * 30, [1030, 1040, 1046, 2000, 2001, 2500, 70_000] * 5, [7] * 9):
+        lengths = [(i if i % 9 else None if i % 2 else 9, n, f"t{i}", "x") for i, n in enumerate(sizes)]
+        got = packing.pack(spark.createDataFrame(lengths, "doc_id long, n_tokens long, text string, bucket string"), buckets=4, token_budget=400, keep=("text",)).toPandas()
+        assert sorted(got.text) == sorted(x[2] for x in lengths) and (got.padding >= 0).all()
+        assert {r.text: r.n_tokens for r in got.itertuples()} == {t: max(0, n or 0) for _, n, t, _ in lengths}
+        batches = got.groupby("batch_id").agg(n=("slot", "size"), most=("slot", "max"), b=("boundary", "first"))
+        assert ((batches.n * batches.b <= 400) | (batches.n == 1) | (batches.b == 0)).all() and (batches.most + 1 == batches.n).all()
+        kinds = sorted({max(0, n or 0) for n in sizes})
+        assert got.padding.sum() == brute_padding(kinds, [sum(max(0, n or 0) == k for n in sizes) for k in kinds], 4)
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_bucket_boundaries():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lengths, k = np.sort(rng.choice(3000, rng.integers(1, 11), replace=False)), int(rng.integers(1, 7))
+        counts = rng.integers(1, 9, len(lengths)) * (1 if k % 2 else 10**17)  # the second needs more than 64 bits
+        ends = np.array(packing.bucket_boundaries(lengths, counts, k))
+        padding = sum(int(c) * int(ends[np.searchsorted(ends, x)] - x) for x, c in zip(lengths, counts, strict=True))
+        assert len(ends) <= k and padding == brute_padding(lengths.tolist(), counts.tolist(), k)
+
+
 def test_held_out_accuracy(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     labels = pd.read_parquet(f"{SF}/labels.parquet")

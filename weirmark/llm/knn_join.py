@@ -1,12 +1,14 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Every vector belongs to the cell of its nearest pivot. Per cell a summary is
-kept: its size, its radius and the distances of its few members nearest to the
-pivot. From the summaries alone each query gets a score that k others surely
-reach, and an upper bound for every cell; it is sent only to the cells whose
-bound reaches that score. Cells are cut into blocks of bounded size on both
-sides, and a tile (block of data, block of queries) is solved by one matrix
-product in one task, so neither a hot cell nor a hot vector meets in one task.
+Every vector belongs to the cell of its nearest pivot, a vector of the table
+itself; the pivots grow with the rows. A cell is cut into rings by distance to
+its pivot. Per ring a summary is kept: its size, its outer distance and its
+largest norm. The scores of a query with the pivots, which are rows, give a
+score that k others surely reach, and the summaries an upper bound for every
+ring; the query is sent only to the rings whose bound reaches that score.
+Rings are cut into blocks of bounded size on both sides, and a tile (block of
+data, block of queries) is solved by one matrix product in one task, so
+neither a hot cell nor a hot vector meets in one task.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from pyspark.sql.window import Window
 
 from weirmark.llm.common import materialise
 
-#: Pivots; also bounds what is collected for the summaries.
-PIVOTS = 64
+#: Pivots of a table: about the root of its rows, within these limits, which also bound what is collected for the summaries.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: Rings of a cell.
+RINGS = 4
 #: A block of data has at most a BLOCKS-th of the rows, within these limits.
 BLOCKS, LEAST_ROWS, MOST_ROWS = 64, 512, 32_768
+#: Candidates for a pivot that are expected to meet in one task, as a multiple of the pivots.
+FOUND = 4
 
 
 def scaled(vector: Column, scale: float) -> Column:
@@ -38,41 +44,62 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def _stack(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of each length: where they stand, and the vectors as one matrix."""
+    sizes = column.value_lengths().to_numpy()
+    for dim in np.unique(sizes).tolist():
+        where = np.flatnonzero(sizes == dim)
+        yield where, column.take(pa.array(where)).flatten().to_numpy().reshape(-1, dim)
 
 
-def _cells(pivots: np.ndarray):
+class Pivots:
+    """Pivots of each length of vector; cells are numbered through all lengths."""
+
+    def __init__(self, drawn: list[list[int]], most: dict[int, int]):
+        self.of: dict[int, np.ndarray] = {}
+        self.first: dict[int, int] = {}
+        cells = 0
+        for dim in sorted(most):
+            own = np.unique(np.array([v for v in drawn if len(v) == dim], np.float64).reshape(-1, dim), axis=0)
+            own = own[np.random.default_rng(1).permutation(len(own))[: most[dim]]]
+            self.of[dim], self.first[dim] = own, cells
+            cells += len(own)
+
+
+def _cells(pivots: Pivots):
+    """Cell, distance to its pivot and norm of every row; the last two rounded up, so that the bounds made from them hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stack(batch.column("v"), pivots.shape[1]).astype(np.float64)
-            square = (x**2).sum(axis=1)
-            far = square[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)
-            cell = far.argmin(axis=1)
-            # Rounded up, so that the bounds made from it hold.
-            distance = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)) * (1 + 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(distance)], names=["vec_id", "v", "cell", "distance"])
+            cell, distance, norm = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for where, v in _by_length(batch.column("v")):
+                x, own = v.astype(np.float64), pivots.of[v.shape[1]]
+                near = ((own**2).sum(axis=1) - 2 * x @ own.T).argmin(axis=1)
+                cell[where] = near + pivots.first[v.shape[1]]
+                distance[where] = np.sqrt(((x - own[near]) ** 2).sum(axis=1)) * (1 + 1e-9)
+                norm[where] = np.sqrt((x**2).sum(axis=1)) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(distance), pa.array(norm)], names=[*batch.schema.names, "cell", "distance", "norm"])
 
     return run
 
 
-def _routes(pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, near_cell: np.ndarray, near_distance: np.ndarray, k: int):
-    """A query's cells: those whose upper bound reaches the (k + 1)-th best lower bound; its own row may be one of k + 1."""
+def _routes(pivots: Pivots, rings: dict[int, tuple], k: int):
+    """A query's rings: those whose upper bound reaches the (k + 1)-th best score with a pivot; its own row may be one of k + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _stack(batch.column("v"), pivots.shape[1]).astype(np.float64)
-            norm = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
-            centre = q @ pivots.T
-            if len(near_cell) > k:
-                lower = centre[:, near_cell] - norm[:, None] * near_distance
-                reached = np.partition(lower, len(near_cell) - k - 1, axis=1)[:, len(near_cell) - k - 1]
-            else:
-                reached = np.full(len(q), -np.inf)
-            upper = centre[:, cells] + norm[:, None] * radius
-            row, j = np.nonzero(upper + 1e-6 * np.abs(upper) + 1 >= reached[:, None])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(cells[j].astype(np.int32))], names=["query_id", "q", "cell"])
+            for where, v in _by_length(batch.column("v")):
+                dim = v.shape[1]
+                own, (cells, ring, outer, norms) = pivots.of[dim], rings[dim]
+                q = v.astype(np.float64)
+                norm = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
+                centre = q @ own.T
+                reached = np.partition(centre, len(own) - k - 1, axis=1)[:, len(own) - k - 1] if len(own) > k else np.full(len(q), -np.inf)
+                upper = np.minimum(centre[:, cells - pivots.first[dim]] + norm[:, None] * outer, norm[:, None] * norms)
+                slack = 1e-6 * np.abs(upper) + 1e-9 * norm[:, None] * norms + 1  # far more than what doubles may have rounded
+                row, j = np.nonzero(upper + slack >= reached[:, None])
+                take = pa.array(where[row])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(cells[j].astype(np.int32)), pa.array(ring[j].astype(np.int32))], names=["query", "query_id", "q", "cell", "ring"])
 
     return run
 
@@ -80,66 +107,88 @@ def _routes(pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, near_cell
 def _tile(k: int):
     def solve(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if data.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         data = data.sort_values("vec_id")
-        ids, query_ids = data["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+        ids, rids, query_ids, query_rids = data["vec_id"].to_numpy(), data["rid"].to_numpy(), queries["query_id"].to_numpy(), queries["query"].to_numpy()
         x, q = np.stack(data["v"].to_numpy()), np.stack(queries["q"].to_numpy())
         most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
         found = []
         for a in range(0, len(q), 512):
-            own = q[a : a + 512]
-            scores = own.astype(np.float64) @ x.T.astype(np.float64) if most < 2**53 else (own @ x.T).astype(object)
-            scores = np.where(query_ids[a : a + 512, None] == ids[None, :], -np.inf, scores)
+            own, own_rids = q[a : a + 512], query_rids[a : a + 512]
+            # Scores fit 64 bits; where a double could round them they are compared as integers.
+            scores, none = (own.astype(np.float64) @ x.T.astype(np.float64), -np.inf) if most < 2**53 else (own @ x.T, np.iinfo(np.int64).min)
+            scores[own_rids[:, None] == rids[None, :]] = none
             rows = np.arange(len(own))
             for _ in range(min(k, len(ids))):
                 best = scores.argmax(axis=1)  # the first of equals: the smallest vec_id
                 value = scores[rows, best]
-                good = value != -np.inf
-                found.append((query_ids[a : a + 512][good], ids[best[good]], value[good].astype(np.int64)))
-                scores[rows, best] = -np.inf
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                good = value != none
+                found.append((own_rids[good], query_ids[a : a + 512][good], ids[best[good]], value[good].astype(np.int64)))
+                scores[rows, best] = none
+        return pd.DataFrame(dict(zip(("query", "query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return solve
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def _drawn(rows: DataFrame, sizes: dict[int, int], most: dict[int, int]) -> list[list[int]]:
+    """Candidates for the pivots of each length, by the hash of their row. A threshold keeps all but a few rows from the task that sorts them."""
+    share = F.lit(0.0)
+    for dim, n in sizes.items():
+        share = F.when(F.size("v") == dim, F.lit(FOUND * most[dim] / n)).otherwise(share)
+    small = rows.where(F.xxhash64("rid") / F.lit(2.0**64) + 0.5 < share)
+    place = F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("rid"), "rid"))
+    wanted = F.lit(0)
+    for dim in sizes:
+        wanted = F.when(F.size("v") == dim, F.lit(2 * most[dim])).otherwise(wanted)
+    return [r["v"] for r in small.withColumn("place", place).where(F.col("place") <= wanted).select("v").collect()]
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best others.
 
     Vectors are scaled and floored to integers; the score is their inner
     product, exact; ties go to the smaller id. ``is_query`` marks the query
-    rows. Rows with a null id, a null or empty vector, or a null or non-finite
-    component take no part, nor do vectors of another length than the most
-    frequent one. Of rows that repeat an id the one with the smallest vector
-    counts. Fewer than ``k`` candidates give fewer rows; an empty table gives
-    an empty result; other columns are ignored.
+    rows; ``pivots`` is their number for each length of vector. Rows with a
+    null id, a null or empty vector, or a null or non-finite component take no
+    part. Vectors are compared with those of their own length. Rows that
+    repeat an id are rows of their own: each is a candidate for the others, and
+    each that asks gets its own ranks. Vectors whose scores might not fit 64
+    bits are refused with a ValueError. Fewer than ``k`` candidates give fewer
+    rows; an empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("x")))
-    rows = materialise(rows.select("vec_id", "asks", scaled(F.col("x"), scale).alias("v")).groupBy("vec_id").agg(F.min(F.struct("v", "asks")).alias("m")).select("vec_id", "m.asks", "m.v"), "vectors")
+    largest = F.array_max(F.transform("x", lambda x: F.abs(F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))))
+    # Once written, the key of a row is fixed.
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "asks", scaled(F.col("x"), scale).alias("v"), largest.alias("largest")), "vectors")
     result = "query_id long, rank int, vec_id long, score long"
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("largest").alias("m")).collect()
+    if not lengths:
         return spark.createDataFrame([], result)
-    rows = rows.where(F.size("v") == dims[0]["dim"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("v").collect()
-    centres = np.unique(np.array([r["v"] for r in sample], np.float64), axis=0)[np.random.default_rng(1).permutation(len({tuple(r["v"]) for r in sample}))[:pivots]]
-
-    placed = materialise(rows.mapInArrow(_cells(centres), "vec_id long, v array<long>, cell int, distance double"), "cells")
-    nearest = placed.select("cell", "distance", F.row_number().over(Window.partitionBy("cell").orderBy("distance")).alias("n")).where(F.col("n") <= k + 1).select("cell", "distance").collect()
-    sizes = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
-    cells = np.array(sorted(sizes), np.int64)
-    radius = np.array([sizes[c][1] for c in cells])
-    queries = placed.join(rows.where("asks").select("vec_id"), "vec_id", "left_semi").select("vec_id", "v")
-    routed = materialise(queries.mapInArrow(_routes(centres, cells, radius, np.array([r["cell"] for r in nearest]), np.array([r["distance"] for r in nearest]), k), "query_id long, q array<long>, cell int"), "routes")
-    asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-
-    total = sum(n for n, _ in sizes.values())
-    block = min(max(total // BLOCKS, LEAST_ROWS), MOST_ROWS)
-    plan = spark.createDataFrame([(int(c), math.ceil(sizes[c][0] / block), math.ceil(asked[c] / block)) for c in cells.tolist() if asked.get(c)], "cell int, data_blocks int, query_blocks int")
-    plan = F.broadcast(plan)  # one row per cell
-    tile = ["cell", "data_block", "query_block"]
-    data = placed.join(plan, "cell").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), "data_blocks").cast("int").alias("data_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
-    asks = routed.join(plan, "cell").select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("data_block"), F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int").alias("query_block"))
-    local = data.groupBy(*tile).cogroup(asks.groupBy(*tile)).applyInPandas(_tile(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    if any(r["m"] ** 2 * r["dim"] >= 2.0**62 for r in lengths):
+        raise ValueError("the components are too large for scores of 64 bits")
+    sizes = {r["dim"]: r["n"] for r in lengths}
+    most = {dim: pivots or min(max(int(n**0.5), LEAST_PIVOTS), MOST_PIVOTS) for dim, n in sizes.items()}
+    rows = rows.drop("largest")
+    centres = Pivots(_drawn(rows, sizes, most), most)
+
+    placed = materialise(rows.mapInArrow(_cells(centres), "rid long, vec_id long, asks boolean, v array<long>, cell int, distance double, norm double"), "cells")
+    cuts = placed.groupBy("cell").agg(F.percentile_approx("distance", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"))
+    cuts = F.broadcast(materialise(cuts, "cuts"))  # one row per pivot
+    ring = F.size(F.filter("cuts", lambda c: c < F.col("distance")))
+    ringed = placed.join(cuts, "cell").withColumn("ring", ring)
+    summary = ringed.groupBy("cell", "ring", F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("distance").alias("outer"), F.max("norm").alias("norm")).orderBy("cell", "ring").collect()
+    rings = {d: tuple(np.array([r[f] for r in summary if r["dim"] == d]) for f in ("cell", "ring", "outer", "norm")) for d in sizes}
+    queries = rows.where("asks").select("rid", "vec_id", "v")
+    routed = materialise(queries.mapInArrow(_routes(centres, rings, k), "query long, query_id long, q array<long>, cell int, ring int"), "routes")
+    asked = {(r["cell"], r["ring"]): r["count"] for r in routed.groupBy("cell", "ring").count().collect()}
+
+    block = min(max(sum(sizes.values()) // BLOCKS, LEAST_ROWS), MOST_ROWS)
+    plan = [(r["cell"], r["ring"], math.ceil(r["n"] / block), math.ceil(asked[r["cell"], r["ring"]] / block)) for r in summary if (r["cell"], r["ring"]) in asked]
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, ring int, data_blocks int, query_blocks int"))  # one row per ring
+    tile = ["cell", "ring", "data_block", "query_block"]
+    data = ringed.join(plan, ["cell", "ring"]).select("rid", "vec_id", "v", "cell", "ring", F.pmod(F.xxhash64("rid"), "data_blocks").cast("int").alias("data_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
+    asks = routed.join(plan, ["cell", "ring"]).select("query", "query_id", "q", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("data_block"), F.pmod(F.xxhash64("query"), "query_blocks").cast("int").alias("query_block"))
+    local = data.groupBy(*tile).cogroup(asks.groupBy(*tile)).applyInPandas(_tile(k), "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
