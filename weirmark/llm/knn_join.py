@@ -25,10 +25,10 @@ from pyspark.sql.window import Window
 
 from weirmark.llm.common import materialise
 
-#: Pivots of a table: about the root of its rows, within these limits, which also bound what is collected for the summaries.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
-#: Rings of a cell.
-RINGS = 4
+#: Pivots of a table: one for so many rows, within these limits, which also bound what is collected for the summaries.
+PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 2048, 64, 4096
+#: Rings of a cell, at most.
+MOST_RINGS = 8
 #: A block of data has at most a BLOCKS-th of the rows, within these limits.
 BLOCKS, LEAST_ROWS, MOST_ROWS = 64, 512, 32_768
 #: Candidates for a pivot that are expected to meet in one task, as a multiple of the pivots.
@@ -168,13 +168,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     if any(r["m"] ** 2 * r["dim"] >= 2.0**62 for r in lengths):
         raise ValueError("the components are too large for scores of 64 bits")
     sizes = {r["dim"]: r["n"] for r in lengths}
-    most = {dim: pivots or min(max(int(n**0.5), LEAST_PIVOTS), MOST_PIVOTS) for dim, n in sizes.items()}
+    most = {dim: pivots or min(max(n // PIVOT_ROWS, LEAST_PIVOTS), MOST_PIVOTS) for dim, n in sizes.items()}
     rows = rows.drop("largest")
     centres = Pivots(_drawn(rows, sizes, most), most)
 
     placed = materialise(rows.mapInArrow(_cells(centres), "rid long, vec_id long, asks boolean, v array<long>, cell int, distance double, norm double"), "cells")
-    cuts = placed.groupBy("cell").agg(F.percentile_approx("distance", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"))
-    cuts = F.broadcast(materialise(cuts, "cuts"))  # one row per pivot
+    count = min(max(sum(sizes.values()) // sum(most.values()) // LEAST_ROWS, 1), MOST_RINGS)
+    cuts = placed.groupBy("cell").agg(F.percentile_approx("distance", [i / count for i in range(1, count + 1)], 1000).alias("cuts"))
+    cuts = F.broadcast(materialise(cuts.withColumn("cuts", F.slice("cuts", 1, count - 1)), "cuts"))  # one row per pivot
     ring = F.size(F.filter("cuts", lambda c: c < F.col("distance")))
     ringed = placed.join(cuts, "cell").withColumn("ring", ring)
     summary = ringed.groupBy("cell", "ring", F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("distance").alias("outer"), F.max("norm").alias("norm")).orderBy("cell", "ring").collect()
