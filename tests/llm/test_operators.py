@@ -282,24 +282,168 @@ def test_clashing_columns(spark):
         assert f(docs).count() == len(rows)
 
 
-def test_toxicity_learns_words():
+def naive_ftrl(examples, y, epochs):
+    """Plain FTRL-proximal, one coordinate at a time."""
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+    l1 = toxicity.LEAST_L1 + len(y) / toxicity.L1_EXAMPLES
+    weight = [len(y) / 2 / max(1, y.count(k)) for k in (0, 1)]
+
+    def w(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for x, k in zip(examples, y, strict=True):
+            now = {i: w(i) for i in x}
+            g = weight[k] * (1 / (1 + np.exp(-(sum(now.values()) + bias))) - k)
+            for i in x:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * now[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA * g / (toxicity.BETA + bias_n**0.5)
+    return {i: w(i) for i in z if w(i)}, bias
+
+
+def toxic_texts():
     rng = np.random.default_rng(2)
+    return [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) + (" vile" if i % 4 == 0 else "") for i in range(400)], [int(i % 4 == 0) for i in range(400)]
+
+
+def test_ftrl_equals_naive():
+    texts, y = toxic_texts()
     hasher = toxicity.Hasher()
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) + (" vile" if i % 4 == 0 else "") for i in range(400)]
-    y = np.array([i % 4 == 0 for i in range(400)], int)
-    kept, weights, bias = toxicity.fit_ftrl([hasher.features(t) for t in texts], y)
-    dense = np.zeros(1 << toxicity.BITS)
-    dense[kept] = weights
-    assert ((dense[hasher.features("alpha beta vile")].sum() + bias >= 0) and dense[hasher.features("alpha beta gamma")].sum() + bias < 0) and len(kept) < 400
+    examples = [hasher.features(t) for t in texts]
+    ftrl = toxicity.Ftrl((300, 100))
+    for _ in range(2):
+        for x, k in zip(examples, y, strict=True):
+            ftrl.learn(x, k)
+    kept, weights, bias = ftrl.model()
+    want, want_bias = naive_ftrl([x.tolist() for x in examples], y, 2)
+    assert kept.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in kept.tolist()], rtol=1e-5) and abs(bias - want_bias) < 1e-9
+    scores = toxicity.Scorer((kept, weights, bias)).scores(["alpha beta vile", "alpha beta gamma", None, ""])
+    assert scores[0] >= 0.5 > scores[1] and len(kept) < 400 and scores[2] == scores[3] < 0.5
+
+
+def test_toxicity_stage_equals_classifier(spark):
+    texts, y = toxic_texts()
+    rows = [(i, t, k) for i, (t, k) in enumerate(zip(texts, y, strict=True))]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(0, "vile vile"), (None, "vile"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    found = toxicity.classify_toxicity(docs, labels).collect()
+    assert len(found) == 403 and all(r.predicted == (r.score >= 0.5) for r in found) and 90 < sum(r.predicted for r in found) < 110
+    assert toxicity.drop_toxic(docs, labels).count() == sum(1 - r.predicted for r in found)
+    # Labels without a sign in the texts: nothing is toxic, for both.
+    dull = spark.createDataFrame([(i, "the same words") for i in range(20)], "doc_id long, text string")
+    half = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert not any(r.predicted for r in toxicity.classify_toxicity(dull, half).collect()) and toxicity.drop_toxic(dull, half).count() == 20
+    again = [toxicity.fit_toxicity(docs, labels) for _ in range(2)]
+    assert all(np.array_equal(a, b) for a, b in zip(*again, strict=True))
+
+
+def naive_trees(x, y, weight, trees, depth, bins):
+    """The same boosting by trying every split of every node on its own rows; trees as nested tuples."""
+    edges = [sorted({float(v) for v in np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")}) for j in range(x.shape[1])]
+    mean = (weight * y).sum() / weight.sum()
+    start = np.log(mean / (1 - mean))
+    margin, made = np.full(len(x), start), []
+
+    def grow(rows, level, g, h):
+        if level == depth:
+            return -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2)
+        best = (1e-9, None, None)
+        for j in range(x.shape[1]):
+            for e in edges[j]:
+                left = rows[x[rows, j] <= e]
+                gl, hl, ga, ha = g[left].sum(), h[left].sum(), g[rows].sum(), h[rows].sum()
+                if hl >= quality.LEAST_WEIGHT and ha - hl >= quality.LEAST_WEIGHT:
+                    gain = gl**2 / (hl + quality.L2) + (ga - gl) ** 2 / (ha - hl + quality.L2) - ga**2 / (ha + quality.L2)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, j, e)
+        _, j, e = best
+        if j is None:
+            j, e = 0, np.inf
+        return j, e, grow(rows[x[rows, j] <= e], level + 1, g, h), grow(rows[x[rows, j] > e], level + 1, g, h)
+
+    def walk(tree, v):
+        while isinstance(tree, tuple):
+            tree = tree[2] if v[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        made.append(grow(np.arange(len(x)), 0, weight * (p - y), weight * p * (1 - p)))
+        margin = margin + np.array([walk(made[-1], v) for v in x])
+    return lambda v: start + sum(walk(t, v) for t in made)
+
+
+def test_trees_equal_naive_search():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)).round(1)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 0) + rng.normal(0, 0.3, 300) > 0).astype(float)
+    weight = np.where(y == 1, 1.3, 0.8)
+    margin = naive_trees(x, y, weight, 5, 3, 8)
+    found = quality.fit_trees(x, y, weight, trees=5, depth=3, bins=8)
+    new = rng.normal(size=(200, 4))
+    assert np.allclose(found.margin(np.concatenate((x, new))), [margin(v) for v in (*x, *new)])
+    # Vectorised traversal against one row and one node at a time.
+    for v in new:
+        total = found.start
+        for feature, threshold, leaf in zip(found.feature, found.threshold, found.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if v[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(total - found.margin(v[None])[0]) < 1e-9
+
+
+def naive_phrases(sample, text):
+    """Longest-match parse of a whole text by looking for substrings."""
+    sample, n, phrase = "".join(map(chr, sample)), 1, ""
+    for c in map(chr, text):
+        if phrase + c in sample:
+            phrase += c
+        else:
+            n, phrase = n + 1, c if c in sample else ""
+    return n
+
+
+def test_phrases_equal_naive_parse():
+    rng = np.random.default_rng(0)
+    for trial, few in enumerate((24, 24, 24, 1, 10**9)):
+        classes = int(rng.integers(3, 500))
+        draw = lambda n: rng.integers(0, classes, n) if trial % 2 else np.minimum(rng.geometric(0.5, n), classes) - 1  # noqa: B023, E731
+        samples = {f"l{k}": draw(rng.integers(0, 900)) for k in range(5)}
+        texts = [np.resize(samples["l1"], rng.integers(1, 1500)) if i % 3 == 0 and len(samples["l1"]) else draw(rng.integers(0, 900)) for i in range(40)]
+        letters = language_id.Letters("")
+        letters.classes = classes
+        parser = language_id.Parser(letters, sorted(samples), *language_id.automata(samples, classes))
+        language_id.FEW, kept = few, language_id.FEW
+        found = parser.phrases(texts)
+        language_id.FEW = kept
+        assert found.tolist() == [[naive_phrases(samples[k], t) for k in sorted(samples)] for t in texts]
+
+
+def test_many_languages_and_letters(spark):
+    """100 languages with 500 letters of their own between them; texts that open with one shared header."""
+    rng = random.Random(5)
+    header = "the same licence opens every text " * 30
+    words = {k: ["".join(chr(0x4E00 + 5 * k + rng.randrange(9)) for _ in range(3)) for _ in range(40)] for k in range(100)}
+    rows = [(i, header + " ".join(rng.choice(words[i % 100]) for _ in range(150)), f"l{i % 100:02d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify_language(docs).collect()}
+    held = [i for i, *_ in rows if found[i].held_out]
+    assert len(held) > 200 and sum(found[i].lang_pred == rows[i][2] for i in held) > 0.95 * len(held)
 
 
 def test_classifiers_edge_rows(spark):
     rows = made(8, 10)
     docs = frame(spark, rows).withColumn("lang", F.lit("en"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.classify_quality(docs, none).collect()} == {0.5}
+    assert {r.predicted for r in toxicity.classify_toxicity(docs, none).collect()} == {0} and toxicity.drop_toxic(docs, none).count() == len(rows)
     for f in (quality.classify_quality, toxicity.classify_toxicity):
-        assert {r.score for r in f(docs, none).collect()} == {0.5}
-    assert toxicity.drop_toxic(docs, none).count() == len(rows)
+        assert f(docs.limit(0), none).count() == 0
     found = language_id.identify_language(docs).collect()
     assert len(found) == len(rows) and all(r.lang_pred == "und" for r in found if r.score == 0)
     assert language_id.identify_language(docs.limit(0)).count() == 0

@@ -143,9 +143,9 @@ def _score(shared):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Trees:
-    """Trees fitted on a sample of at most ``per_class`` documents of each label; both classes weigh the same."""
+    """Trees fitted on a sample of at most ``per_class`` documents of each label; both classes weigh the same. Of texts that share an id the one with the least statistics counts."""
     sample = labelled_sample(docs, labels, label_col, held_out, per_class, id_col, text_col)
-    rows = sample.select("doc_id", "y", "text").mapInArrow(_statistics, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "y", "text").mapInArrow(_statistics, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], np.float64)
     share = np.bincount(y.astype(np.int64), minlength=2)
     weight = len(y) / 2 / np.maximum(share, 1)

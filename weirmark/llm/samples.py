@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weirmark.llm.common import materialise
 
+#: Candidates for the sample that are expected to meet in one task, as a multiple of it.
+FOUND = 4
+
 
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
@@ -24,9 +27,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out
     parts, part = held_out
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     known = known.where(remainder("doc_id", parts) != part).groupBy("doc_id").agg(F.avg("y").alias("y")).withColumn("y", (F.col("y") >= 0.5).cast("int"))
+    known = materialise(known, "known")
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     drawn = None
     for y in (0, 1):
-        own = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        # Hashes are even, so those under this bound are about FOUND times the sample, however many labels there are.
+        small = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < F.lit(FOUND * per_class / sizes.get(y, 1))
+        own = known.where((F.col("y") == y) & small).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = own if drawn is None else drawn.union(own)
     drawn = F.broadcast(materialise(drawn, "sample"))  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
