@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirmark.functions import scalars as S
-from weirmark.plans import facts, history, mart
+from weirmark.operators import dedup, joins, rows
+from weirmark.plans import discovery, facts, history, mart
 from weirmark.queries import ORACLES, QUERIES
 from weirmark.sources import readers
 from weirmark.streaming import incremental, landing
@@ -76,12 +77,12 @@ def zone(spark, tmp_path):
             "{broken\n",
         ],
     )
-    market = {"groupItemTitle": "21°C", "endDate": "2026-06-02T12:00:00Z", "outcomePrices": '["0.25","0.75"]', "clobTokenIds": '["t1","n1"]'}
+    market = {"groupItemTitle": "21°C", "endDate": "2026-06-08T12:00:00Z", "outcomePrices": '["0.25","0.75"]', "clobTokenIds": '["t1","n1"]'}
     markets = _lines(
         tmp_path / "polymarket_1.ndjson",
         [
-            {"_meta": {"city": "Munich", "fetched_at_utc": "2026-06-02T09:30:00Z"}, "gamma_events": [{"slug": "a", "markets": [market, market | {"outcomePrices": p} if (p := "[]") else None, market | {"outcomePrices": None}, market | {"groupItemTitle": "n/a"}]}, {"slug": "b"}]},
-            {"_meta": {"city": "Munich", "fetched_at_utc": "2026-06-02T10:10:00Z"}, "gamma_events": [{"slug": "a", "markets": [market]}]},
+            {"_meta": {"city": "Munich", "fetched_at_utc": "2026-06-02T09:30:00Z"}, "gamma_events": [{"slug": "a", "endDate": "2026-06-02T12:00:00Z", "markets": [market, market | {"outcomePrices": "[]"}, market | {"outcomePrices": None}, market | {"groupItemTitle": "n/a"}, market | {"outcomePrices": '["broken'}, market | {"outcomePrices": '["x"]'}]}, {"slug": "b"}, {"slug": "c", "markets": [market]}]},
+            {"_meta": {"city": "Munich", "fetched_at_utc": "2026-06-02T10:10:00Z"}, "gamma_events": [{"slug": "a", "endDate": "2026-06-02T12:00:00Z", "markets": [market]}]},
             {"_meta": {"city": "Munich", "fetched_at_utc": "2026-06-02T09:40:00Z"}},
         ],
     )
@@ -96,6 +97,8 @@ def test_facts_and_mart(zone):
     prices = facts.fact_price(markets, past, cities)
     got = {(str(r.snapshot_ts), r.source, r.yes_price, r.hours_to_close) for r in prices.collect()}
     assert got == {("2026-06-02 09:45:00", "backfill", 0.5, 2.25), ("2026-06-02 10:10:00", "live", 0.25, 1.83)}
+    _, bad = facts.split_prices(markets, past, cities)
+    assert sorted(r.reason for r in bad.collect()) == ["label without a number", "no target date", "price is no number", "price is no number"]
     forecasts = facts.fact_forecast(weather, weather_past, cities)
     assert {(r.city, str(r.target_date), r.forecast_max_c, r.native_unit) for r in forecasts.collect()} == {("Munich", "2026-06-02", 20.0, "celsius"), ("Munich", "2026-06-03", None, "celsius"), ("NYC", "2026-06-02", 30.0, "fahrenheit")}
     outcomes = facts.dim_outcome(past, weather, weather_past, cities)
@@ -127,27 +130,85 @@ def test_landing_in_batch_equals_stream(spark, tmp_path):
 
 
 def test_incremental_equals_rebuild(spark, tmp_path):
-    schema = "city string, target_date date, bucket_label string, snapshot_ts timestamp, source string, yes_price double, native_unit string"
+    schema = "city string, bucket_label string, snapshot_ts timestamp, source string, yes_price double, native_unit string, target_date date"
     day = dt.date(2026, 6, 2)
-    row = lambda minute, source, price, d=day: ("M", d, "21", dt.datetime(2026, 6, 2, 9, minute), source, price, "celsius")
+    row = lambda minute, source, price, d=day: ("M", "21", dt.datetime(2026, 6, 2, 9, minute), source, price, "celsius", d)
+    raw = str(tmp_path / "raw")
     for batch in ([row(1, "live", 0.1), row(2, "live", 0.2, dt.date(2026, 6, 3))], [row(5, "backfill", 0.3)]):
-        spark.createDataFrame(batch, schema).write.mode("append").parquet(str(tmp_path / "raw"))
-        incremental.maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "raw")), str(tmp_path / "raw"), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+        incremental.land(spark.createDataFrame(batch, schema), raw)
+        incremental.maintain(spark.readStream.schema(schema).parquet(raw), raw, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "table"))
-    full = facts.hourly_prices(spark.read.parquet(str(tmp_path / "raw")))
+    full = facts.hourly_prices(spark.read.schema(schema).parquet(raw))
     assert sorted(map(str, got.select(full.columns).collect())) == sorted(map(str, full.collect()))
+    # Only the folders of the touched dates are read.
+    plans = []
+    keep = incremental.rebuild
+    incremental.rebuild = lambda df, *_: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    incremental.refresh_touched(spark.createDataFrame([row(1, "live", 0.1)], schema), spark.read.schema(schema).parquet(raw), "")
+    incremental.rebuild = keep
+    assert "PartitionFilters: [isnotnull(target_date" in plans[0] and "2026-06-02" in plans[0] and "2026-06-03" not in plans[0]
 
 
-def test_history_documents(spark):
-    cities = readers.cities(spark).where("name = 'Munich'")
-    grid = history.market_grid(cities, dt.date(2026, 3, 1), dt.date(2026, 3, 2))
-    slug = "highest-temperature-in-munich-on-march-1-2026"
-    market = lambda title, price, token: (None, title, "2026-03-01T00:00:00Z", "2026-03-01T12:00:00Z", f'["{price}"]', None, token)
+def test_history_documents(spark, tmp_path):
     from weirmark.sources.schemas import EVENT
 
-    events = spark.createDataFrame([((slug, "t", True, None, "2026-03-01T12:00:00Z", None, [market("20°C", 0.01, '["a"]'), market("21°C", 0.995, None), market("22°C", 0.2, "[]")]),)], f"e {EVENT}").select("e.*")
+    cities = readers.cities(spark).where("name in ('Munich', 'London')")
+    slug = "highest-temperature-in-munich-on-march-1-2026"
+    market = lambda title, price, token: (None, title, "2026-03-01T00:00:00Z", "2026-03-01T12:00:00Z", f'["{price}"]', None, token)
+    event = (slug, "t", True, None, "2026-03-01T12:00:00Z", None, [market("20°C", 0.01, '["a"]'), market("21°C", 0.995, None), market("22°C", 0.2, "[]")])
+    other = ("highest-temperature-in-munich-on-march-2-2026", "t", True, None, None, None, [])
+    responses = spark.createDataFrame([(slug, [event], None), (other[0], [], other)], f"slug string, items array<{EVENT}>, single {EVENT}")
     start = int(dt.datetime(2026, 3, 1, tzinfo=dt.timezone.utc).timestamp())
     points = spark.createDataFrame([("a", start - 3601, 0.1), ("a", start - 3600, 0.2), ("a", start + 13 * 3600, 0.3), ("a", start + 13 * 3600 + 1, 0.4)], "token_id string, t long, p double")
-    doc = history.history_documents(grid, events, points, cities).first()
+    events = discovery.fetched_events(responses, with_markets=True)
+    assert events.count() == 1 and discovery.fetched_events(responses).count() == 2  # a lone object without markets is no history
+    docs = history.history_documents(cities, events, points, dt.date(2026, 3, 1), dt.date(2026, 3, 4))
+    for _ in range(2):  # replaced as a whole
+        history.write_documents(docs, str(tmp_path / "docs"))
+    found = {r.city: r for r in readers.read_market_history(spark, str(tmp_path / "docs")).collect()}
+    assert all(list(r.window) == ["2026-03-01", "2026-03-04"] for r in found.values()) and len(found) == 2
+    assert found["London"].market_count == 0 and found["London"].markets == []
+    doc = found["Munich"]
     assert doc.market_count == 1 and doc.markets[0].resolved_bucket == "21°C"
     assert [(b.bucket, [p.p for p in b.history]) for b in doc.markets[0].buckets] == [("20°C", [0.2, 0.3])]
+
+
+def test_quarantine_of_days_and_outcomes(spark, tmp_path):
+    short = _weather("weather-forecast", "Munich", "2026-06-01T10:00:00Z", [("2026-06-02", 20.0, 10.0)])
+    short["response"]["daily"]["temperature_2m_max"] = []
+    lines = [short, _weather("weather-forecast", None, "2026-06-01T10:00:00Z", [("2026-06-02", 1.0, 1.0)]), _weather("weather-forecast", "Munich", "2026-06-01T10:00:00Z", [("junk", 1.0, 1.0), ("2026-06-02", 2.0, 1.0)])]
+    weather = readers.read_weather(spark, _lines(tmp_path / "w.ndjson", lines))
+    past = readers.read_market_history(spark, _lines(tmp_path / "m.json", [{"city": "Munich", "markets": [{"date": d, "resolved_bucket": b, "buckets": []} for d, b in (("2026-06-02", "none"), ("junk", "21°C"), ("2026-06-03", "22°C"), ("2026-06-04", None))]}]))
+    none = readers.read_weather_history(spark, _lines(tmp_path / "h.json", [{"city": "Munich"}]))
+    good, bad = facts.split_forecasts(weather, none, readers.cities(spark))
+    assert [r.forecast_max_c for r in good.collect()] == [2.0]
+    assert sorted(r.reason for r in bad.collect()) == ["no city", "no target date", "series of unequal length"]
+    good, bad = facts.split_outcomes(past, weather, none, readers.cities(spark))
+    assert [r.resolved_bucket for r in good.collect()] == ["22°C"] and sorted((r.part, r.reason) for r in bad.collect()) == [("resolved", "label without a number"), ("resolved", "no target date")]
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    spark.sql("CREATE DATABASE weirmark_test LOCATION '" + str(tmp_path / "db") + "'")
+    for n in (3, 2):
+        made = {"fact_a": spark.range(n), "fact_b": spark.range(2 * n)}
+        stored = facts.rebuild_tables(made, str(tmp_path / "tables"))
+        facts.save_tables(made, "weirmark_test")
+        assert stored["fact_a"].count() == n and spark.table("weirmark_test.fact_b").count() == 2 * n
+    assert {r.table: r.n for r in facts.table_counts(stored).collect()} == {"fact_a": 2, "fact_b": 4}
+    spark.sql("DROP DATABASE weirmark_test CASCADE")
+
+
+def test_clashing_names_and_whole_records(spark):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 3, "z")], "slug string, place int, fresh string")
+    detail = spark.createDataFrame([("a", None, "new")], "slug string, place int, fresh string")
+    assert sorted(map(tuple, joins.with_fallback(base, detail, "slug", ["place", "fresh"]).collect()), key=str) == [("a", None, "new"), ("b", 2, "y"), (None, 3, "z")]
+    assert dedup.keep_first(base, ["fresh"], [F.col("place")]).columns == base.columns
+    named = spark.createDataFrame([("NYC", "n", "u")], "city string, name string, unit string")
+    assert tuple(joins.lookup_unit(named, readers.cities(spark)).first()) == ("NYC", "n", "u", "fahrenheit")
+    with pytest.raises(ValueError):
+        rows.date_range(base, "slug", dt.date(2026, 1, 2), dt.date(2026, 1, 1))
+
+
+def test_labels_are_parsed_once(spark):
+    plan = QUERIES["fact_price"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 6 and "Python" not in plan

@@ -6,6 +6,8 @@ value becomes null and is left to the quarantine, it never fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def to_celsius(x: Column, unit: Column) -> Column:
     return F.when(unit == "fahrenheit", fahrenheit_to_celsius(x.cast("double"))).otherwise(x.cast("double"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_integer(label: Column, signed: bool = False) -> Column:
     return F.regexp_extract(label, "(-?[0-9]+)" if signed else "([0-9]+)", 1).try_cast("int")
 
@@ -32,23 +39,30 @@ def parse_bucket(label: Column, unit: Column, signed: bool = False) -> Column:
     """Struct of kind and °C low, high and mid of a bucket label.
 
     Signs are ignored unless ``signed``; a label without a digit, or null, has
-    a null kind and null bounds.
+    a null kind and null bounds. Each pattern is looked for once per label.
     """
     number = "-?[0-9]+" if signed else "[0-9]+"
     pair = rf"({number})\s*-\s*({number})"
-    first = first_integer(label, signed)
     low_of_pair, high_of_pair = (F.regexp_extract(label, pair, i).try_cast("int") for i in (1, 2))
-    kind = (
-        F.when(first.isNull(), F.lit(None).cast("string"))
-        .when(label.contains("or below"), "below")
-        .when(label.contains("or higher") | label.contains("or above"), "above")
-        .when(low_of_pair.isNotNull(), "range")
-        .otherwise("exact")
-    )
-    low = F.when(kind == "range", low_of_pair).when(kind.isin("above", "exact"), first)
-    high = F.when(kind == "range", high_of_pair).when(kind.isin("below", "exact"), first)
-    mid = F.when(kind == "range", (low + high) / F.lit(2.0)).otherwise(first.cast("double"))
-    return F.struct(kind.alias("bucket_kind"), to_celsius(low, unit).alias("bucket_low_c"), to_celsius(high, unit).alias("bucket_high_c"), to_celsius(mid, unit).alias("bucket_mid_c"))
+    parts = F.struct(label.alias("label"), unit.alias("unit"), first_integer(label, signed).alias("first"), low_of_pair.alias("low"), high_of_pair.alias("high"))
+
+    def kind_of(p: Column) -> Column:
+        return (
+            F.when(p["first"].isNull(), F.lit(None).cast("string"))
+            .when(p["label"].contains("or below"), "below")
+            .when(p["label"].contains("or higher") | p["label"].contains("or above"), "above")
+            .when(p["low"].isNotNull(), "range")
+            .otherwise("exact")
+        )
+
+    def bounds(p: Column) -> Column:
+        kind = p["kind"]
+        low = F.when(kind == "range", p["p"]["low"]).when(kind.isin("above", "exact"), p["p"]["first"])
+        high = F.when(kind == "range", p["p"]["high"]).when(kind.isin("below", "exact"), p["p"]["first"])
+        mid = F.when(kind == "range", (p["p"]["low"] + p["p"]["high"]) / F.lit(2.0)).otherwise(p["p"]["first"].cast("double"))
+        return F.struct(kind.alias("bucket_kind"), *(to_celsius(x, p["p"]["unit"]).alias(f"bucket_{n}_c") for n, x in (("low", low), ("high", high), ("mid", mid))))
+
+    return bound(bound(parts, lambda p: F.struct(p.alias("p"), kind_of(p).alias("kind"))), bounds)
 
 
 def iso_timestamp(text: Column) -> Column:
@@ -98,6 +112,11 @@ def json_list(text: Column) -> Column:
     return F.from_json(filled(text, F.lit("[]")), "array<string>")
 
 
+def has_prices(text: Column) -> Column:
+    """Neither null nor empty; broken text counts as a price list, a bad one."""
+    return F.coalesce(F.size(json_list(text)) != 0, F.lit(True))
+
+
 def first_price(text: Column) -> Column:
     return F.get(json_list(text), F.lit(0)).try_cast("double")
 

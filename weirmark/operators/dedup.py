@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_PLACE = "__place"
-
+from weirmark.functions.names import free_names
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each key; null is a key like others."""
-    return df.withColumn(_PLACE, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(_PLACE) == 1).drop(_PLACE)
+    (place,) = free_names(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def rank_of(column: Column, first: list[str]) -> Column:

@@ -7,15 +7,20 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmark.functions.names import free_names
 from weirmark.functions.scalars import filled
 
 
 def lookup_unit(df: DataFrame, cities: DataFrame, own: Column | None = None, city: str = "city", default: str = "celsius", out: str = "native_unit") -> DataFrame:
-    """A row's own unit if filled, else its city's, else the default. The city table is small and has one row per name."""
-    units = F.broadcast(cities.select(F.col("name").alias("__name"), F.col("temperature_unit").alias("__unit")))
-    joined = df.join(units, F.col(city) == F.col("__name"), "left")
-    known = [F.col("__unit"), F.lit(default)]
-    return joined.withColumn(out, filled(*([own] if own is not None else []), *known)).drop("__name", "__unit")
+    """A row's own unit if filled, else its city's, else the default.
+
+    The city table has one row per name; Spark broadcasts it if its size allows.
+    """
+    name, unit = free_names(df, "name", "unit")
+    units = cities.select(F.col("name").alias(name), F.col("temperature_unit").alias(unit))
+    joined = df.join(units, F.col(city) == F.col(name), "left")
+    known = [F.col(unit), F.lit(default)]
+    return joined.withColumn(out, filled(*([own] if own is not None else []), *known)).drop(name, unit)
 
 
 def outer_merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,10 +29,10 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
 
 def with_fallback(base: DataFrame, detail: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns of ``detail`` where it has the key and a value, else those of ``base``."""
-    fresh = detail.select(F.col(key), *(F.col(c).alias(f"__{c}") for c in columns))
-    joined = base.join(fresh, key, "left")
-    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
+    """The record of ``detail`` where it has the key, whole and with its nulls, else that of ``base``. ``detail`` has one row per key."""
+    (fresh,) = free_names(base, "fresh")
+    joined = base.join(detail.select(F.col(key), F.struct(*columns).alias(fresh)), key, "left")
+    return joined.select(*(F.when(F.col(fresh).isNotNull(), F.col(fresh)[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
 def calendar_grid(items: DataFrame, start: datetime.date, end: datetime.date, day: str = "day") -> DataFrame:

@@ -26,11 +26,20 @@ def map_by_key(df: DataFrame, keys: list[str], entry: str, value: Column, out: s
     return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(entry), value.alias("value"))))).alias(out))
 
 
-def total_size(outer: Column, inner: str) -> Column:
-    """Elements in all the inner arrays; null arrays count 0."""
-    return F.aggregate(F.coalesce(F.transform(outer, lambda x: F.coalesce(F.size(x[inner]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + F.greatest(n, F.lit(0)))
+def total_size(outer: Column, *path: str) -> Column:
+    """Elements of the arrays at the end of ``path``, through all the arrays on it; null arrays count 0."""
+    if not path:
+        return F.greatest(F.coalesce(F.size(outer), F.lit(0)), F.lit(0))
+    first, *rest = path
+    sizes = F.transform(outer, lambda x: total_size(x[first], *rest))
+    return F.coalesce(F.aggregate(sizes, F.lit(0), lambda a, n: a + n), F.lit(0))
 
 
 def mean_abs_error(df: DataFrame, keys: list[str], errors: dict[str, tuple[str, str]], decimals: int = 2) -> DataFrame:
-    """Mean absolute difference of column pairs; each mean skips its own nulls."""
-    return df.groupBy(*keys).agg(*(F.round(F.avg(F.abs(F.col(a) - F.col(b))), decimals).alias(out) for out, (a, b) in errors.items()))
+    """Mean absolute difference of column pairs; each mean skips its own nulls.
+
+    Halves are rounded up, by ten decimals of the mean: what lies beyond is
+    noise of the order in which doubles were added.
+    """
+    mean = lambda a, b: F.avg(F.abs(F.col(a) - F.col(b))).cast("decimal(28, 10)")
+    return df.groupBy(*keys).agg(*(F.round(mean(a, b), decimals).cast("double").alias(out) for out, (a, b) in errors.items()))

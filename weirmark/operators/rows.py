@@ -64,6 +64,6 @@ def date_range(df: DataFrame, day: str, start: datetime.date, end: datetime.date
     return df.where(F.col(day).between(F.lit(start), F.lit(end)))
 
 
-def first_or_self(items: Column, single: Column) -> Column:
-    """Element 0 of a list response, else the object itself; null if there is neither."""
-    return F.coalesce(F.get(items, F.lit(0)), single)
+def first_or_self(items: Column, single: Column, usable: Column | None = None) -> Column:
+    """Element 0 of a list response, else the object itself, if ``usable`` where that is given; null if there is neither."""
+    return F.coalesce(F.get(items, F.lit(0)), single if usable is None else F.when(usable, single))

@@ -1,8 +1,12 @@
-"""Typed fact and dimension tables out of the raw zone."""
+"""Typed fact and dimension tables out of the raw zone.
+
+Every fact comes as a pair of tables, the good rows and the bad ones with a
+reason; the functions without ``split`` in their name give the good rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmark.functions import scalars as S
@@ -10,22 +14,27 @@ from weirmark.operators.dedup import first_non_null, keep_first, priority_dedup
 from weirmark.operators.joins import lookup_unit, outer_merge
 from weirmark.operators.rows import keep_filled, keep_kinds, tagged, unnest, zip_daily
 from weirmark.sources import schemas
+from weirmark.sources.readers import split_quarantine, unequal_lengths
 
-PRICE_KEY = ["city", "target_date", "bucket_label"]
+KEYS = ["city", "target_date"]
+PRICE_KEY = [*KEYS, "bucket_label"]
 DAILY = {"day": "time", "tmax": "temperature_2m_max", "tmin": "temperature_2m_min"}
 
 
-def _shaped(df: DataFrame, schema: str) -> DataFrame:
+def _shaped(df: DataFrame, schema: str, *more: str) -> DataFrame:
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return df.select(*names)
+    return df.select(*names, *more)
+
+
+# Prices -----------------------------------------------------------------------
 
 
 def live_prices(snapshots: DataFrame, cities: DataFrame) -> DataFrame:
-    """One row per market of a snapshot that has a price."""
+    """One row per market of a snapshot that has a price list, also one that cannot be read; the event ends on the target date."""
     events = unnest(snapshots, "gamma_events", "event", [F.col("_meta.city").alias("city"), S.iso_timestamp(F.col("_meta.fetched_at_utc")).alias("snapshot_ts")])
-    markets = unnest(events, "event.markets", "market", ["city", "snapshot_ts"])
-    priced = markets.where(F.size(S.json_list(F.col("market.outcomePrices"))) > 0)
-    rows = priced.select("city", S.target_date(F.col("market.endDate")).alias("target_date"), "snapshot_ts", F.col("market.groupItemTitle").alias("bucket_label"), S.first_price(F.col("market.outcomePrices")).alias("yes_price"))
+    markets = unnest(events, "event.markets", "market", ["city", "snapshot_ts", F.col("event.endDate").alias("endDate")])
+    priced = markets.where(S.has_prices(F.col("market.outcomePrices")))
+    rows = priced.select("city", S.target_date(F.col("endDate")).alias("target_date"), "snapshot_ts", F.col("market.groupItemTitle").alias("bucket_label"), S.first_price(F.col("market.outcomePrices")).alias("yes_price"))
     return tagged(lookup_unit(rows, cities), "live")
 
 
@@ -44,65 +53,120 @@ def price_rows(rows: DataFrame, signed: bool = False) -> DataFrame:
     return _shaped(parsed.withColumn("hours_to_close", S.hours_to_close(F.col("snapshot_ts"), F.col("target_date"))), schemas.FACT_PRICE)
 
 
-def price_rules() -> dict:
+def key_rules() -> dict[str, Column]:
+    return {"no city": F.col("city").isNull(), "no target date": F.col("target_date").isNull()}
+
+
+def price_rules() -> dict[str, Column]:
     """Rules of ``split_quarantine`` for price rows."""
-    return {"no price": F.col("yes_price").isNull(), "label without a number": F.col("bucket_kind").isNull(), "no target date": F.col("target_date").isNull()}
+    return {"price is no number": F.col("yes_price").isNull(), "label without a number": S.first_integer(F.col("bucket_label")).isNull(), "no time": F.col("snapshot_ts").isNull(), **key_rules()}
 
 
 def hourly_prices(rows: DataFrame) -> DataFrame:
     return priority_dedup(rows, PRICE_KEY, "snapshot_ts", ties=(F.col("yes_price").desc_nulls_last(), F.col("native_unit").asc_nulls_last()))
 
 
+def split_prices(snapshots: DataFrame, history: DataFrame, cities: DataFrame, signed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Prices of both sources, one per city, target date, bucket and hour, backfill first; and the bad rows, of which none is merged.
+
+    Rows are judged and merged first; labels are parsed for those that are left.
+    """
+    good, bad = split_quarantine(live_prices(snapshots, cities).unionByName(backfill_prices(history, cities)), price_rules())
+    return price_rows(hourly_prices(good), signed), price_rows_bad(bad)
+
+
+def price_rows_bad(bad: DataFrame) -> DataFrame:
+    return bad.select(*KEYS, "snapshot_ts", "source", "bucket_label", "yes_price", "reason")
+
+
 def fact_price(snapshots: DataFrame, history: DataFrame, cities: DataFrame, signed: bool = False) -> DataFrame:
-    """Prices of both sources, one per city, target date, bucket and hour; backfill wins. Bad rows are left out."""
-    from weirmark.sources.readers import split_quarantine
+    return split_prices(snapshots, history, cities, signed)[0]
 
-    both = live_prices(snapshots, cities).unionByName(backfill_prices(history, cities))
-    good, _ = split_quarantine(price_rows(both, signed), price_rules())
-    return hourly_prices(good)
 
+# Weather ----------------------------------------------------------------------
 
-def _days(df: DataFrame, response: str, keep: list) -> DataFrame:
-    return zip_daily(df, {name: f"{response}.daily.{field}" for name, field in DAILY.items()}, keep).withColumn("target_date", S.iso_date(F.col("day")))
 
+def _days(df: DataFrame, response: str, keep: list) -> tuple[DataFrame, DataFrame]:
+    """Days of the daily series; and the records whose series differ in length, which give none."""
+    series = {name: f"{response}.daily.{field}" for name, field in DAILY.items()}
+    rules = {"series of unequal length": unequal_lengths(*(F.col(path) for path in series.values()))}
+    good, bad = split_quarantine(df, rules)
+    return zip_daily(good, series, keep).withColumn("target_date", S.iso_date(F.col("day"))), bad.select(*keep, F.lit(None).cast("date").alias("target_date"), "reason")
 
-def fact_forecast(snapshots: DataFrame, history: DataFrame, cities: DataFrame, kinds: tuple[str, ...] = ("weather-forecast",)) -> DataFrame:
+
+def _live(snapshots: DataFrame, cities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    found = keep_kinds(snapshots, kinds).withColumn("own_unit", F.col("_meta.temperature_unit")).withColumn("city", F.col("_meta.city"))
+    return lookup_unit(found, cities, F.col("own_unit"))
+
+
+def weather_days(snapshots: DataFrame, history: DataFrame, cities: DataFrame, kinds: tuple[str, ...], section: str) -> tuple[DataFrame, DataFrame]:
+    """Days of snapshots of these kinds and of a section of the history documents, with the time of the fetch; and the bad ones.
+
+    Days of history documents have no time; a document may lack the section.
+    """
+    live, live_bad = _days(_live(snapshots, cities, kinds), "response", ["city", "native_unit", S.iso_timestamp(F.col("_meta.fetched_at_utc")).alias("fetched"), F.lit("live").alias("source")])
+    back = history.where(F.col(section).isNotNull()).withColumnRenamed("temperature_unit", "native_unit")
+    back, back_bad = _days(back, section, ["city", "native_unit", F.lit(None).cast("timestamp").alias("fetched"), F.lit("backfill").alias("source")])
+    good, bad = split_quarantine(live.unionByName(back), key_rules())
+    return good, live_bad.unionByName(back_bad).unionByName(bad.select("city", "native_unit", "fetched", "source", "target_date", "reason"))
+
+
+def split_forecasts(snapshots: DataFrame, history: DataFrame, cities: DataFrame, kinds: tuple[str, ...] = ("weather-forecast",)) -> tuple[DataFrame, DataFrame]:
     """Every fetched forecast day; those of history documents have no issue time."""
-    live = keep_kinds(snapshots, kinds).withColumn("own_unit", F.col("_meta.temperature_unit")).withColumn("city", F.col("_meta.city"))
-    live = lookup_unit(live, cities, F.col("own_unit"))
-    live = _days(live, "response", ["city", "native_unit", S.iso_timestamp(F.col("_meta.fetched_at_utc")).alias("forecast_ts"), F.lit("live").alias("source")])
-    back = history.where("historical_forecast is not null").withColumnRenamed("temperature_unit", "native_unit")
-    back = _days(back, "historical_forecast", ["city", "native_unit", F.lit(None).cast("timestamp").alias("forecast_ts"), F.lit("backfill").alias("source")])
-    rows = live.unionByName(back).withColumnsRenamed({"tmax": "forecast_max_native", "tmin": "forecast_min_native"})
+    good, bad = weather_days(snapshots, history, cities, kinds, "historical_forecast")
+    rows = good.withColumnsRenamed({"tmax": "forecast_max_native", "tmin": "forecast_min_native", "fetched": "forecast_ts"})
     for end in ("max", "min"):
         rows = rows.withColumn(f"forecast_{end}_c", S.to_celsius(F.col(f"forecast_{end}_native"), F.col("native_unit")))
-    return _shaped(rows, schemas.FACT_FORECAST)
+    return _shaped(rows, schemas.FACT_FORECAST), bad
 
 
-def actuals(snapshots: DataFrame, history: DataFrame, cities: DataFrame, prefer: str = "first") -> DataFrame:
+def fact_forecast(snapshots: DataFrame, history: DataFrame, cities: DataFrame, kinds: tuple[str, ...] = ("weather-forecast",)) -> DataFrame:
+    return split_forecasts(snapshots, history, cities, kinds)[0]
+
+
+def split_actuals(snapshots: DataFrame, history: DataFrame, cities: DataFrame, prefer: str = "first") -> tuple[DataFrame, DataFrame]:
     """(city, target_date, era5_actual_max_c): live before backfill, then the earliest fetch, or with ``prefer='latest'`` the latest."""
-    live = keep_kinds(snapshots, ("weather-archive",)).withColumn("own_unit", F.col("_meta.temperature_unit")).withColumn("city", F.col("_meta.city"))
-    live = lookup_unit(live, cities, F.col("own_unit"))
-    live = _days(live, "response", ["city", "native_unit", S.iso_timestamp(F.col("_meta.fetched_at_utc")).alias("fetched"), F.lit(0).alias("rank")])
-    back = history.where("archive_actuals is not null").withColumnRenamed("temperature_unit", "native_unit")
-    back = _days(back, "archive_actuals", ["city", "native_unit", F.lit(None).cast("timestamp").alias("fetched"), F.lit(1).alias("rank")])
-    rows = live.unionByName(back).withColumn("era5_actual_max_c", S.to_celsius(F.col("tmax"), F.col("native_unit")))
+    good, bad = weather_days(snapshots, history, cities, ("weather-archive",), "archive_actuals")
+    rows = good.withColumn("era5_actual_max_c", S.to_celsius(F.col("tmax"), F.col("native_unit")))
     fetched = F.col("fetched").desc_nulls_last() if prefer == "latest" else F.col("fetched").asc_nulls_last()
-    return first_non_null(rows, ["city", "target_date"], "era5_actual_max_c", [F.col("rank"), fetched, F.col("era5_actual_max_c")]).select("city", "target_date", "era5_actual_max_c")
+    order = [F.when(F.col("source") == "live", 0).otherwise(1), fetched, F.col("era5_actual_max_c")]
+    return first_non_null(rows, KEYS, "era5_actual_max_c", order).select(*KEYS, "era5_actual_max_c"), bad
 
 
-def resolved(history: DataFrame, cities: DataFrame, signed: bool = False) -> DataFrame:
+def actuals(snapshots: DataFrame, history: DataFrame, cities: DataFrame, prefer: str = "first") -> DataFrame:
+    return split_actuals(snapshots, history, cities, prefer)[0]
+
+
+# Outcomes ---------------------------------------------------------------------
+
+
+def split_resolved(history: DataFrame, cities: DataFrame, signed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Winning bucket per city and date, the first by label if documents disagree."""
     markets = unnest(history, "markets", "market", ["city"]).select("city", S.iso_date(F.col("market.date")).alias("target_date"), F.col("market.resolved_bucket").alias("resolved_bucket"))
-    won = lookup_unit(keep_filled(markets, "resolved_bucket"), cities)
+    rules = {"label without a number": S.first_integer(F.col("resolved_bucket")).isNull(), **key_rules()}
+    good, bad = split_quarantine(keep_filled(markets, "resolved_bucket"), rules)
+    won = lookup_unit(keep_first(good, KEYS, [F.col("resolved_bucket")]), cities)
     parsed = won.withColumn("b", S.parse_bucket(F.col("resolved_bucket"), F.col("native_unit"), signed))
-    rows = parsed.select("city", "target_date", "resolved_bucket", F.col("b.bucket_mid_c").alias("resolved_mid_c"), F.col("b.bucket_low_c").alias("resolved_low_c"), F.col("b.bucket_high_c").alias("resolved_high_c"))
-    return keep_first(rows, ["city", "target_date"], [F.col("resolved_bucket")])
+    return parsed.select(*KEYS, "resolved_bucket", *(F.col(f"b.bucket_{x}_c").alias(f"resolved_{x}_c") for x in ("mid", "low", "high"))), bad
+
+
+def resolved(history: DataFrame, cities: DataFrame, signed: bool = False) -> DataFrame:
+    return split_resolved(history, cities, signed)[0]
+
+
+def split_outcomes(market_history: DataFrame, weather: DataFrame, weather_history: DataFrame, cities: DataFrame, prefer: str = "first") -> tuple[DataFrame, DataFrame]:
+    """Resolved bucket and actual of each city and date; bad rows of either, told apart by ``part``. Null keys match nothing, so they are bad."""
+    won, won_bad = split_resolved(market_history, cities)
+    actual, actual_bad = split_actuals(weather, weather_history, cities, prefer)
+    bad = won_bad.select(*KEYS, F.lit("resolved").alias("part"), "reason").unionByName(actual_bad.select(*KEYS, F.lit("actual").alias("part"), "reason"))
+    return _shaped(outer_merge(won, actual, KEYS), schemas.DIM_OUTCOME), bad
 
 
 def dim_outcome(market_history: DataFrame, weather: DataFrame, weather_history: DataFrame, cities: DataFrame, prefer: str = "first") -> DataFrame:
-    keyed = "city is not null and target_date is not null"  # null keys match nothing and have no use
-    return _shaped(outer_merge(resolved(market_history, cities).where(keyed), actuals(weather, weather_history, cities, prefer).where(keyed), ["city", "target_date"]), schemas.DIM_OUTCOME)
+    return split_outcomes(market_history, weather, weather_history, cities, prefer)[0]
+
+
+# Tables -----------------------------------------------------------------------
 
 
 def rebuild(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -111,3 +175,26 @@ def rebuild(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Non
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
+
+
+def rebuild_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Replaces the tables as a whole, each a folder under ``folder``; returns them as they are stored."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        rebuild(df, f"{folder}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in tables.items()}
+
+
+def save_tables(tables: dict[str, DataFrame], database: str = "default") -> None:
+    """The same into catalog tables: dropped and created anew, whatever was there."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n): rows of each table."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
+    found = counts[0]
+    for more in counts[1:]:
+        found = found.unionByName(more)
+    return found

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from weirmark.functions import scalars as S
 from weirmark.operators.joins import calendar_grid, within_life
-from weirmark.operators.nested import last_winner
+from weirmark.operators.nested import last_winner, total_size
 from weirmark.operators.rows import keep_closed, unnest
 
+HEAD = ["city", "date", "slug"]
+HISTORY = "array<struct<t:bigint,p:double>>"
+BUCKETS = f"array<struct<bucket:string,yes_token:string,resolved_yes:boolean,history:{HISTORY}>>"
+
 
 def market_grid(cities: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
     """(city, day, slug) of every city and day."""
@@ -19,41 +23,68 @@ def market_grid(cities: DataFrame, start: datetime.date, end: datetime.date) ->
     return grid.withColumn("slug", S.market_slug(F.col("city"), F.col("day")))
 
 
-def history_documents(grid: DataFrame, events: DataFrame, points: DataFrame, units: DataFrame) -> DataFrame:
-    """One document per city: its closed markets with buckets and price points.
+def market_records(cities: DataFrame, events: DataFrame, points: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
+    """One row per city and day with a closed market: its buckets with their price points.
 
-    ``events`` are raw events with markets, ``points`` (token_id, t, p). The
-    winner is taken of all buckets, also those without a usable token, which
-    get no bucket entry. ``units`` has one row per city name.
+    ``events`` has one row per slug, ``points`` is (token_id, t, p). The winner
+    is taken of all buckets, also those without a usable token, which get no
+    bucket entry. A row holds one market, whatever the window.
     """
     closed = keep_closed(events).select("slug", "title", "endDate", "startDate", "conditionId", "markets")
-    found = grid.join(closed, "slug").withColumn("date", F.date_format("day", "yyyy-MM-dd"))
-    head = ["city", "date", "slug"]
-    rows = unnest(found, "markets", "m", [*head, "startDate", "endDate"], "position")
-    rows = rows.select(*head, "position", F.col("m.groupItemTitle").alias("bucket"), S.first_token(F.col("m.clobTokenIds")).alias("yes_token"), S.resolved_yes(F.col("m.outcomePrices")).alias("resolved_yes"), S.epoch_seconds(S.iso_timestamp(S.filled(F.col("m.startDate"), F.col("startDate")))).alias("opened"), S.epoch_seconds(S.iso_timestamp(S.filled(F.col("m.endDate"), F.col("endDate")))).alias("ended"))
-    winner = last_winner(rows, head, "bucket", F.col("resolved_yes"), "position")
+    found = market_grid(cities, start, end).join(closed, "slug").withColumn("date", F.date_format("day", "yyyy-MM-dd"))
+    rows = unnest(found, "markets", "m", [*HEAD, "startDate", "endDate"], "position")
+    life = {name: S.epoch_seconds(S.iso_timestamp(S.filled(F.col(f"m.{field}"), F.col(field)))).alias(name) for name, field in (("opened", "startDate"), ("ended", "endDate"))}
+    rows = rows.select(*HEAD, "position", F.col("m.groupItemTitle").alias("bucket"), S.first_token(F.col("m.clobTokenIds")).alias("yes_token"), S.resolved_yes(F.col("m.outcomePrices")).alias("resolved_yes"), *life.values())
+    winner = last_winner(rows, HEAD, "bucket", F.col("resolved_yes"), "position")
     usable = rows.where("yes_token is not null")
-    lives = usable.select(*head, "position", F.col("yes_token").alias("token_id"), "opened", "ended")
-    paths = within_life(points, lives, "token_id", "t", "opened", "ended").groupBy(*head, "position").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("history"))
-    buckets = usable.join(paths, [*head, "position"], "left")
-    bucket = F.struct("position", "bucket", "yes_token", "resolved_yes", F.coalesce("history", F.array().cast("array<struct<t:bigint,p:double>>")).alias("history"))
-    buckets = buckets.groupBy(*head).agg(F.array_sort(F.collect_list(bucket)).alias("b"))
-    buckets = buckets.select(*head, F.transform("b", lambda x: F.struct(x["bucket"].alias("bucket"), x["yes_token"].alias("yes_token"), x["resolved_yes"].alias("resolved_yes"), x["history"].alias("history"))).alias("buckets"))
-    none = F.array().cast("array<struct<bucket:string,yes_token:string,resolved_yes:boolean,history:array<struct<t:bigint,p:double>>>>")
-    markets = found.join(winner, head, "left").join(buckets, head, "left")
-    named = markets.join(F.broadcast(units.select(F.col("name").alias("city"), "temperature_unit", "station")), "city", "left")
-    market = F.struct("date", "slug", "title", "endDate", "conditionId", "temperature_unit", "resolved_bucket", F.coalesce("buckets", none).alias("buckets"))
-    docs = named.groupBy("city").agg(F.first("station", True).alias("station"), F.min("date").alias("first"), F.max("date").alias("last"), F.array_sort(F.collect_list(market)).alias("markets"))
-    return docs.select("city", "station", F.array("first", "last").alias("window"), F.size("markets").cast("long").alias("market_count"), "markets")
+    lives = usable.select(*HEAD, "position", F.col("yes_token").alias("token_id"), "opened", "ended")
+    paths = within_life(points, lives, "token_id", "t", "opened", "ended").groupBy(*HEAD, "position").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("history"))
+    buckets = usable.join(paths, [*HEAD, "position"], "left")
+    bucket = F.struct("position", F.struct("bucket", "yes_token", "resolved_yes", F.coalesce("history", F.array().cast(HISTORY)).alias("history")).alias("b"))
+    buckets = buckets.groupBy(*HEAD).agg(F.array_sort(F.collect_list(bucket)).alias("b")).select(*HEAD, F.col("b.b").alias("buckets"))
+    markets = found.join(winner, HEAD, "left").join(buckets, HEAD, "left")
+    named = markets.join(cities.select(F.col("name").alias("city"), "temperature_unit"), "city", "left")
+    return named.select("city", "date", "slug", "title", "endDate", "conditionId", "temperature_unit", "resolved_bucket", F.coalesce("buckets", F.array().cast(BUCKETS)).alias("buckets"))
+
+
+def history_documents(cities: DataFrame, events: DataFrame, points: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
+    """One document per city: the requested window and its closed markets in order; a city without any has an empty list.
+
+    A document is one row, so a city's markets in the window must fit a row;
+    beyond some hundred MB of them keep ``market_records`` instead.
+    """
+    records = market_records(cities, events, points, start, end)
+    market = F.struct(*(c for c in records.columns if c != "city"))
+    listed = records.groupBy("city").agg(F.array_sort(F.collect_list(market)).alias("markets"))
+    docs = cities.select(F.col("name").alias("city"), "station").join(listed, "city", "left")
+    window = F.array(F.lit(start.isoformat()), F.lit(end.isoformat()))
+    none = F.array().cast(dict(listed.dtypes)["markets"])
+    return docs.select("city", "station", window.alias("window"), total_size(F.col("markets")).cast("long").alias("market_count"), F.coalesce("markets", none).alias("markets"))
 
 
 def weather_documents(forecasts: DataFrame, archives: DataFrame, units: DataFrame) -> DataFrame:
     """One document per city out of two (city, response) tables; either part may be absent."""
     both = forecasts.select("city", F.col("response").alias("historical_forecast")).join(archives.select("city", F.col("response").alias("archive_actuals")), "city", "full_outer")
-    named = both.join(F.broadcast(units.select(F.col("name").alias("city"), "station", "temperature_unit")), "city", "left")
+    named = both.join(units.select(F.col("name").alias("city"), "station", "temperature_unit"), "city", "left")
     return named.select("city", "station", "temperature_unit", "historical_forecast", "archive_actuals")
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One folder per city, replaced as a whole."""
-    docs.write.mode("overwrite").partitionBy("city").json(path)
+    """One folder with one file per city, replaced as a whole."""
+    docs.repartition("city").write.mode("overwrite").partitionBy("city").json(path)
+
+
+def snapshot_counts(snapshots: DataFrame) -> DataFrame:
+    """(city, n_events, n_markets) of all market snapshots."""
+    return snapshots.groupBy(F.col("_meta.city").alias("city")).agg(F.sum(total_size(F.col("gamma_events"))).alias("n_events"), F.sum(total_size(F.col("gamma_events"), "markets")).alias("n_markets"))
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(city, n_markets, n_buckets, n_points) of history documents."""
+    sizes = {"n_markets": (), "n_buckets": ("buckets",), "n_points": ("buckets", "history")}
+    return docs.groupBy("city").agg(*(F.sum(total_size(F.col("markets"), *path)).alias(name) for name, path in sizes.items()))
+
+
+def response_days(snapshots: DataFrame) -> DataFrame:
+    """(city, kind, n_days) of weather snapshots."""
+    return snapshots.groupBy(F.col("_meta.city").alias("city"), F.col("_meta.kind").alias("kind")).agg(F.sum(total_size(F.col("response.daily.time"))).alias("n_days"))

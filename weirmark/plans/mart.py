@@ -36,7 +36,16 @@ def mart(outcomes: DataFrame, prices: DataFrame, forecasts: DataFrame) -> DataFr
 
 
 def city_errors(rows: DataFrame, market: str = "market_mode_c", forecast: str = "forecast_max_c", actual: str = "actual_station_c") -> DataFrame:
-    return mean_abs_error(rows.where(F.col(market).isNotNull()), ["city"], {"market_mae": (market, actual), "forecast_mae": (forecast, actual)})
+    return mean_abs_error(rows.where(F.col(market).isNotNull()), ["city"], {"market_mae_c": (market, actual), "forecast_mae_c": (forecast, actual)})
+
+
+def city_errors_sql(view: str = VIEW) -> str:
+    """The same as SQL over the registered view."""
+    error = "CAST(ROUND(CAST(AVG(ABS({} - actual_station_c)) AS DECIMAL(28, 10)), 2) AS DOUBLE)"
+    return f"""
+        SELECT city, {error.format("market_mode_c")} AS market_mae_c, {error.format("forecast_max_c")} AS forecast_mae_c
+        FROM {view} WHERE market_mode_c IS NOT NULL GROUP BY city
+    """
 
 
 def register_mart(df: DataFrame, name: str = VIEW) -> None:
