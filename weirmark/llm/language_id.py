@@ -233,7 +233,7 @@ def language_samples(docs: DataFrame, held_out: tuple[int, int], id_col: str, te
     parts, part = held_out
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", parts) != part))
     texts = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    languages = texts.groupBy("lang").count()
+    languages = materialise(texts.groupBy("lang").count(), "languages")  # so Spark knows its size before it plans the join
     # Hashes are even, so those under this bound are about FOUND times the sample, however many texts there are.
     small = F.col("h") / F.lit(2.0**64) + 0.5 < F.lit(float(FOUND * sample_docs)) / F.col("count")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
