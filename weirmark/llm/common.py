@@ -60,20 +60,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def materialise_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table bucketed by ``key``, so that joins on it need no shuffle; also its name, to drop it by."""
-    spark = df.sparkSession
-    made = f"weirmark_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(made)
-    return spark.table(made), made
+def keyed(docs: DataFrame, id_col: str, rid: str) -> DataFrame:
+    """``docs`` with a column ``rid`` that tells every row apart: its id, or a row number if ids are null or repeat.
+
+    Row numbers are written with the rows, so they stay what they are.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
+    if ids.where("i is null or count > 1").limit(1).count() == 0:
+        return docs.withColumn(rid, F.col(id_col).cast("long"))
+    return materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
 
 
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for df in tables:
+        spark = df.sparkSession
+        if name := df.__dict__.pop("catalogued", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path := df.__dict__.pop("scratch", None):
-            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Materialised tables of one operator; what it has not released before is gone when it ends, however it ends."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        release(*self.made)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(materialise(df, name))
+        return self.made[-1]
+
+    def by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Written as a table bucketed by ``key`` in the shared folder, so that joins on it need no shuffle."""
+        spark = df.sparkSession
+        path, made = scratch_path(spark, name), f"weirmark_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(made)
+        found = spark.table(made)
+        found.__dict__ |= {"scratch": path, "catalogued": made}
+        self.made.append(found)
+        return found
 
 
 _shipped: set[str] = set()

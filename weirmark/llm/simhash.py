@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise, unused
+from weirmark.llm.common import keyed, materialise, unused
 from weirmark.llm.components import components
-from weirmark.llm.suffix_dedup import _keyed
 
 #: Seed of the shingle hash, also the fixed seed of Spark's own xxhash64.
 SEED = 42
@@ -202,29 +201,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id.
 
-    A null id counts as larger than any other. If ids are null or repeat, rows
-    are told apart by id and text: of the texts that share the smallest id of
-    a component one stays, and of rows equal in both one stays.
+    A null id counts as larger than any other; of rows that share the smallest
+    id of a component one stays. Null and wordless texts link with each other;
+    texts are taken whole; an empty table gives an empty result; columns come
+    as they were.
     """
-    rid, digest = unused(docs, "__rid", "__digest")
-    keyed, plain = _keyed(docs, id_col, text_col, rid)
-    found = simhash_components(keyed, rid, text_col, words_in_shingle, max_bits)
-    best = smallest_of(keyed, plain, rid, found.select("doc_id", F.col("component_id").alias("root")), id_col)
-    kept = keyed.join(best.hint("shuffle_hash"), rid, "left_semi")
-    return once(kept, plain, digest, id_col, text_col).select(*docs.columns)
-
-
-def smallest_of(keyed: DataFrame, plain: bool, rid: str, rooted: DataFrame, id_col: str) -> DataFrame:
-    """(rid): of each root of ``rooted`` (doc_id: a key ``rid`` of ``keyed``, root) the key with the smallest id."""
-    if plain:  # keys are ids
-        return rooted.groupBy("root").agg(F.min("doc_id").alias(rid)).select(rid)
-    ids = keyed.groupBy(F.col(rid).alias("doc_id")).agg(F.min(F.col(id_col).cast("long")).alias("i"))
-    best = F.min(F.struct(F.col("i").isNull(), "i", "doc_id"))["doc_id"]
-    return rooted.join(ids, "doc_id").groupBy("root").agg(best.alias(rid)).select(rid)
-
-
-def once(rows: DataFrame, plain: bool, digest: str, id_col: str, text_col: str) -> DataFrame:
-    """One of the rows that are equal in id and text."""
-    if plain:
-        return rows
-    return rows.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).dropDuplicates([id_col, digest])
+    (rid,) = unused(docs, "__rid")
+    rows = keyed(docs, id_col, rid)
+    found = simhash_components(rows, rid, text_col, words_in_shingle, max_bits)
+    return keep_smallest(rows, rid, found.select("doc_id", F.col("component_id").alias("root")), id_col).select(*docs.columns)
+
+
+def keep_smallest(rows: DataFrame, rid: str, rooted: DataFrame, id_col: str) -> DataFrame:
+    """Of each root of ``rooted`` (doc_id: a key ``rid`` of ``rows``, root) the row with the smallest id."""
+    (kept,) = unused(rows, "__kept")
+    ids = rows.select(F.col(rid).alias("doc_id"), F.col(id_col).cast("long").alias("i"))
+    order = F.struct(F.col("i").isNull(), "i", "doc_id")
+    best = rooted.join(ids, "doc_id").groupBy("root").agg(F.min(order)["doc_id"].alias(kept)).select(kept)
+    return rows.join(best.hint("shuffle_hash"), F.col(rid) == F.col(kept), "left_semi")

@@ -1,16 +1,20 @@
-"""Near-dedup by the Jaccard similarity of word shingles, with an exact pair search.
-
-Two texts of similarity ``least`` share a shingle among the first
-``n - ceil(least * n) + 1`` of each, whatever the order of the shingles, as
-long as it is one for all texts (prefix filtering). The order puts shingles
-that are common in a sample of the documents last; the sample changes how many
-pairs are looked at, never which are found. Texts that share a prefix shingle
-are compared by their whole sets of shingles.
-
-A shingle with few texts gives all their pairs. One with more gives first the
-pairs with its smallest key; if its texts are then not in one component, it is
-dealt as pairs of random tiles, and a task compares only texts of different
-components and returns a forest of the links, never the links.
+"""SimHash near-dedup of texts that are similar as sets of word shingles.
+
+Texts of Jaccard similarity 0.8 differ in some 15 % of their SimHash bits, far
+more than a trie self-join of whole 64-bit fingerprints can allow. So a text
+gets a sketch of 256 bits, cut into eight words, and each word has its own
+binary tries: two texts meet where a word of theirs differs in at most
+``WORD_BUDGET`` bits. A pair of similarity 0.8 does so in at least one of the
+eight words with probability 0.91, one of 0.85 with 0.98. Pairs that meet are
+kept if the whole sketches differ in at most ``SKETCH_BUDGET`` bits.
+
+As in ``simhash``, each trie is dealt by one whole block of its word, large
+subtries as pairs of tiles, and tasks return forests, never pairs. The trees
+joined are groups of texts that may be similar; whether they are is decided by
+the shingles themselves. A group of few texts is compared pair by pair. Of one
+of more, every text is compared with the smallest key; if its texts are then
+not in one component, it is dealt as pairs of random tiles, and a task compares
+only texts of different components and returns a forest of the links.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -18,7 +22,6 @@ Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +30,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise, release, unused
+from weirmark.llm.common import keyed, materialise, release, unused
 from weirmark.llm.components import components
-from weirmark.llm.simhash import SEED, once, smallest_of
-from weirmark.llm.suffix_dedup import _keyed
-
-#: Documents of the sample for the order, and the most shingles it may name as common.
-SAMPLE_DOCS, MOST_COMMON = 20_000, 500_000
-#: Texts of a shingle up to which all their pairs become rows.
+from weirmark.llm.simhash import SEED, _hang, keep_smallest, trie_pairs
+
+#: Words of a sketch, the bits of one, and the blocks of a word: one more than its budget, so that near words agree in one.
+WORDS, WORD_BITS, WORD_BUDGET = 8, 32, 3
+BLOCKS, BLOCK_BITS = WORD_BUDGET + 1, WORD_BITS // (WORD_BUDGET + 1)
+#: Differing bits of the whole sketch up to which a pair is looked at: the mean at similarity 0.8 and two deviations and a half.
+SKETCH_BUDGET = 53
+#: Texts of a group up to which all their pairs become rows.
 SMALL = 32
-#: At most this share of the documents in one tile.
-TILE_SHARE = 1 / 2000
-TILE_LEAST = 1024
+#: A tile has at most twice an even share of a subtrie, within these limits.
+TILE_LEAST, TILE_MOST = 16_384, 1 << 20
+#: Texts of a group in one tile.
+GROUP_TILE = 1024
+#: Pairs that are looked at together.
+PAIRS = 1 << 20
 #: Similarities are ratios of small integers; this is far below their distance.
 EPSILON = 1e-9
+_MORE = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+_COLUMNS = np.arange(32, dtype=np.int64) * 256
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -51,39 +63,116 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)], np.uint64).view(np.int64))
 
 
+def sketch(shingle_hashes: np.ndarray) -> np.ndarray:
+    """256 SimHash bits of a set of shingle hashes, as four longs; each shingle's hash is mixed anew for each long."""
+    h, seen = shingle_hashes.view(np.uint64), np.zeros(32 * 256, np.int64)
+    for a in range(0, len(h), 1 << 14):
+        x = h[a : a + (1 << 14), None] * _MORE
+        x = (x ^ (x >> np.uint64(31))) * _MORE[::-1]
+        x ^= x >> np.uint64(29)
+        seen += np.bincount((x.view(np.uint8).reshape(len(x), 32) + _COLUMNS).ravel(), minlength=32 * 256)
+    ones = seen.reshape(32, 256) @ _BITS  # how often each bit of each byte is set
+    return np.packbits((2 * ones > len(h)).ravel(), bitorder="little").view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _hashes(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                found = [shingles(t.as_py(), words) for t in whole.column("text").slice(s, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
-
-    return run
-
-
-def _sets(words: int, least: float, shared):
-    """(rid, prefix, own): the shingles of each text, and those of its prefix."""
+def _sets(words: int):
+    """(rid, sketch, own): the sketch of each text and its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 batch = whole.slice(s, 500)
-                own, prefix = [shingles(t.as_py(), words) for t in batch.column("text")], []
-                for x in own:
-                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    rank = np.where(common[at] == x, counts[at], 0) if len(common) else np.zeros(len(x), np.int64)
-                    prefix.append(x[np.lexsort((x, rank))[: len(x) - math.ceil(least * len(x) - EPSILON) + 1]])
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), _lists(prefix), _lists(own)], names=["rid", "prefix", "own"])
+                own = [shingles(t.as_py(), words) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), _lists([sketch(x) for x in own]), _lists(own)], names=["rid", "sketch", "own"])
 
     return run
 
 
+def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk all subtries of a partition; yields (u, v), a forest of the texts that meet."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    rows = pa.Table.from_batches(got)
+    rid = rows.column("rid").to_numpy()
+    sketches = np.concatenate([c.flatten().to_numpy() for c in rows.column("sketch").chunks]).view(np.uint64).reshape(len(rid), 4)
+    task = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("trie", "path", "tile_a", "tile_b")], axis=1)
+    word, block = task[:, 0] // BLOCKS, task[:, 0] % BLOCKS
+    value = sketches[np.arange(len(rid)), word // 2] >> (32 * (word % 2)).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    low = (BLOCK_BITS * block).astype(np.uint64)
+    # The bits of the word without those of the block, which the subtrie has in common.
+    rest = value & ((np.uint64(1) << low) - np.uint64(1)) | value >> (low + np.uint64(BLOCK_BITS)) << low
+    order = np.lexsort((rest, *task.T[::-1]))
+    rid, sketches, task, rest = rid[order], sketches[order], task[order], rest[order]
+    new_trie = np.concatenate(([True], (task[1:] != task[:-1]).any(axis=1)))
+    new_key = new_trie | np.concatenate(([True], rest[1:] != rest[:-1]))
+    key_at = np.flatnonzero(new_key)  # rows of one key lie together
+    key_end = np.append(key_at[1:], len(rid))
+    starts = np.flatnonzero(new_trie[key_at])
+    parent = np.arange(len(rid))
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        apart = parent[i] != parent[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1) <= SKETCH_BUDGET
+        _hang(parent, i[near], j[near])
+
+    join(np.repeat(key_at, key_end - key_at), np.arange(len(rid)))
+    left: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for i, j in itertools.chain(trie_pairs(rest[key_at], starts, np.append(starts[1:], len(key_at)), WORD_BITS - BLOCK_BITS, WORD_BUDGET), [(None, None)]):
+        if i is not None:
+            left.append((i, j))
+            waiting += len(i)
+        if left and (i is None or waiting >= PAIRS):
+            i, j = (np.concatenate(x) for x in zip(*left, strict=True))
+            left, waiting = [], 0
+            join(key_at[i], key_at[j])
+            # Rows beyond the first of a key, in slices of bounded size.
+            many = (key_end[i] - key_at[i]) * (key_end[j] - key_at[j])
+            i, j, many = i[many > 1], j[many > 1], many[many > 1]
+            cuts = np.flatnonzero(np.diff(np.cumsum(many) // PAIRS, prepend=0))
+            for a, b in zip(np.concatenate(([0], cuts)), np.append(cuts, len(i)), strict=True):
+                for p, q in _members(key_at, key_end, i[a:b], j[a:b], many[a:b]):
+                    join(p, q)
+    hung = np.flatnonzero(parent != np.arange(len(rid)))
+    yield pa.RecordBatch.from_arrays([pa.array(rid[hung]), pa.array(rid[parent[hung]])], names=["u", "v"])
+
+
+def _members(at: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the pairs of keys, PAIRS at a time."""
+    ends = np.cumsum(many)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        n = np.arange(a, min(a + PAIRS, int(ends[-1])))
+        pair = np.searchsorted(ends, n, side="right")
+        n = n - (ends[pair] - many[pair])
+        width = (end - at)[j[pair]]
+        yield at[i[pair]] + n // width, at[j[pair]] + n % width
+
+
+def candidate_groups(sketches: DataFrame) -> DataFrame:
+    """(rid, h): the texts of ``sketches`` (rid, sketch) that meet others, by group."""
+    total = sketches.count()
+    words = F.array(*(F.shiftrightunsigned(F.col("sketch")[w // 2], WORD_BITS * (w % 2)).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for w in range(WORDS)))
+    paths = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftrightunsigned(w, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for b in range(BLOCKS)))))
+    tried = sketches.select("rid", "sketch", F.posexplode(paths).alias("trie", "path"))
+    tile = min(max(TILE_LEAST, 2 * total >> BLOCK_BITS), TILE_MOST)
+    # At most one row for each block of each word and each of its values.
+    large = sketches.select(F.posexplode(paths).alias("trie", "path")).groupBy("trie", "path").count().where(F.col("count") > tile)
+    large = F.broadcast(large.withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count"))
+    tiled = tried.join(large, ["trie", "path"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = tiled.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("rid", "sketch", "trie", "path", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"))
+    forest = dealt.repartition("trie", "path", "tile_a", "tile_b").mapInArrow(_subtries, "u long, v long")
+    grouped = materialise(components(materialise(forest, "met")), "groups")
+    return grouped.select(F.col("node").alias("rid"), F.col("root").alias("h")).union(grouped.select(F.col("root").alias("rid"), F.col("root").alias("h")).distinct())
+
+
 def _compared(least: float):
     """The pairs (u, v) whose sets a and b are similar."""
 
@@ -134,55 +223,33 @@ def _tiles(least: float):
     return run
 
 
-def _common(rows: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the shingles that several documents of the sample hold."""
-    sample = rows.where(F.xxhash64("rid") / F.lit(2.0**64) + 0.5 < F.lit(SAMPLE_DOCS / max(total, 1)))
-    found = materialise(sample.select("text").mapInArrow(_hashes(words), "h long").groupBy("h").count().where("count > 1"), "common")
-    least, many = None, 0
-    for r in sorted(found.groupBy("count").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["count"]):
-        many += r["n"]
-        if many > MOST_COMMON:
-            break
-        least = r["count"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = found.where(F.col("count") >= least).orderBy("h").toArrow()
-    release(found)
-    return got.column("h").to_numpy(), got.column("count").to_numpy()
-
-
 def similar_roots(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, root) of each distinct key of ``rows`` (rid long, text): the smallest key that links reach."""
-    total = rows.count()
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, total, words))
-    sets = materialise(rows.mapInArrow(_sets(words, least, shared), "rid long, prefix array<long>, own array<long>"), "sets")
-    own = sets.select("rid", "own")
-    prefixes = sets.select(F.explode("prefix").alias("h"), "rid")
-    # A row that is there several times counts so often here; it is similar to itself.
-    groups = prefixes.groupBy("h").agg(F.count("*").alias("m"), F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").drop("last")
-    held = materialise(prefixes.join(groups, "h"), "held")
+    """(doc_id, root) of each row of ``rows`` (rid long, a key; text): the smallest key that links reach."""
+    sets = materialise(rows.mapInArrow(_sets(words), "rid long, sketch array<long>, own array<long>"), "sets")
+    grouped = candidate_groups(sets.select("rid", "sketch"))
+    sizes = grouped.groupBy("h").agg(F.count("*").alias("m"))
+    held = materialise(grouped.join(sizes, "h"), "held")
+    own = sets.select("rid", "own").join(held.select("rid"), "rid", "left_semi")
     few, many = held.where(F.col("m") <= SMALL), held.where(F.col("m") > SMALL)
     small = few.select("h", F.col("rid").alias("u")).join(few.select("h", F.col("rid").alias("v")), "h").where("u < v").select("u", "v")
-    pairs = materialise(small.union(many.where("first < rid").select(F.col("first").alias("u"), F.col("rid").alias("v"))).distinct(), "pairs")
-    first = own.dropDuplicates(["rid"]) if total > own.select("rid").distinct().count() else own
-    sided = pairs.join(first.select(F.col("rid").alias("u"), F.col("own").alias("a")), "u").join(first.select(F.col("rid").alias("v"), F.col("own").alias("b")), "v")
+    pairs = materialise(small.union(many.where("h < rid").select(F.col("h").alias("u"), F.col("rid").alias("v"))), "pairs")
+    sided = pairs.join(own.select(F.col("rid").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("rid").alias("v"), F.col("own").alias("b")), "v")
     links = materialise(sided.select("u", "v", "a", "b").mapInArrow(_compared(least), "u long, v long"), "near")
     roots = components(links)
-    # Shingles of many texts that are not all of one component yet.
+    # Groups of many texts that are not all of one component yet.
     labelled = many.join(roots, F.col("rid") == F.col("node"), "left").select("h", "rid", F.coalesce("root", "rid").alias("root"))
-    labelled = materialise(labelled.distinct(), "labelled")
-    tile = max(TILE_LEAST, int(total * TILE_SHARE))
+    labelled = materialise(labelled, "labelled")
     apart = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    apart = materialise(apart.select("h", F.ceil(F.col("m") / tile).cast("int").alias("tiles")), "apart")
+    apart = materialise(apart.select("h", F.ceil(F.col("m") / GROUP_TILE).cast("int").alias("tiles")), "apart")
     if apart.limit(1).count():
         dealt = labelled.join(apart, "h").withColumn("own_tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("h", "rid", "root", F.least("own_tile", "other").alias("tile_a"), F.greatest("own_tile", "other").alias("tile_b"))
         keys = ["h", "tile_a", "tile_b"]
-        whole = dealt.join(first, "rid").select(*keys, "rid", "root", "own").repartition(*keys).sortWithinPartitions(*keys)
+        whole = dealt.join(own, "rid").select(*keys, "rid", "root", "own").repartition(*keys).sortWithinPartitions(*keys)
         more = materialise(whole.mapInArrow(_tiles(least), "u long, v long"), "more")
         roots = components(links.union(more))
-    found = own.select("rid").distinct().join(roots, F.col("rid") == F.col("node"), "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rid").alias("root"))
+    found = sets.select("rid").join(roots, F.col("rid") == F.col("node"), "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rid").alias("root"))
     found = materialise(found, "roots")
     release(sets, held, pairs, labelled, apart)
     return found
@@ -191,15 +258,16 @@ def similar_roots(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of texts that links join, the row with the smallest id.
 
-    Two texts link when the sets of their shingles of ``words`` words have a
-    Jaccard similarity of ``least`` or more. A-Z is lower-cased and words end
-    at ASCII white space; a text of fewer words is one shingle, so null and
-    wordless texts link. A null id counts as larger than any other. If ids are
-    null or repeat, rows are told apart by id and text.
+    Two texts link when they meet in a trie of their sketches, or in a chain of
+    such texts, and the sets of their shingles of ``words`` words have a Jaccard
+    similarity of ``least`` or more. A-Z is lower-cased and words end at ASCII
+    white space; a text of fewer words is one shingle, so null and wordless
+    texts link. Texts are taken whole. A null id counts as larger than any
+    other; rows that repeat an id are told apart, and of rows that share the
+    smallest id of a component one stays. An empty table gives an empty result;
+    columns come as they were.
     """
-    rid, digest = unused(docs, "__rid", "__digest")
-    keyed, plain = _keyed(docs, id_col, text_col, rid)
-    rooted = similar_roots(keyed.select(F.col(rid).alias("rid"), F.col(text_col).alias("text")), words, least)
-    best = smallest_of(keyed, plain, rid, rooted, id_col)
-    kept = keyed.join(best.hint("shuffle_hash"), rid, "left_semi")
-    return once(kept, plain, digest, id_col, text_col).select(*docs.columns)
+    (rid,) = unused(docs, "__rid")
+    rows = keyed(docs, id_col, rid)
+    rooted = similar_roots(rows.select(F.col(rid).alias("rid"), F.col(text_col).alias("text")), words, least)
+    return keep_smallest(rows, rid, rooted, id_col).select(*docs.columns)

@@ -11,18 +11,27 @@ anchor are sorted at once, and about 1 suffix in 80 has to be shuffled. The
 passes over what is left:
 
 1. anchor: anchors whose gram occurs once are done, with all their windows;
-2. context: if the bytes around an anchor occur twice from the first byte of
-   its first possible window to the last byte of its last, every window of it
-   is repeated;
+2. context: anchors with equal bytes around them, from the first byte of the
+   first possible window to the last byte of the last, repeat all their windows;
 3. blocks of window offsets: the bytes common to all windows of a block must
-   occur twice, else no window of it does; the bytes of all its windows
-   together, if they occur twice, settle every one;
-4. single windows of the blocks that are still open.
+   occur twice, else no window of it does; blocks whose windows are all equal
+   repeat them all;
+4. single windows of the blocks that are still open;
+5. bytes: what passes 2 to 4 take for equal is compared byte by byte.
+
+In passes 1 to 4 a digit goes by a hash of its bytes, which can only tell
+digits apart. So what differs is done; what may be equal is a claim: these
+bytes of a text and those of the group's first text. Claims that continue each
+other are joined into runs, and pass 5 brings the bytes of a run and of its
+counterpart together. Should they differ, a hash having met by chance, all
+windows that this can touch are grouped by their bytes themselves. No hash ever
+decides that bytes are equal.
 
 Groups are counted, never collected: each pass aggregates (key, count) before
 it shuffles and joins the keys that occur twice back, so a passage that a third
-of all documents share costs a task no more than others. Keys are 64-bit
-hashes, each mixed from two independent ones, compared within equal grams.
+of all documents share costs a task no more than others. A counterpart that
+very many runs have is copied to as many tasks as they need. Long texts are cut
+into pieces with margins; windows and what stands around them are whole in one.
 """
 
 from __future__ import annotations
@@ -36,16 +45,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise, materialise_by, release, unused
+from weirmark.llm.common import Scratch, keyed, materialise, release, unused
 
 WINDOW = 200
 GRAM = 40
-#: Bytes of text hashed at a time; a longer text is taken alone.
+#: Bytes of text hashed at a time; a longer text is cut into pieces of so many.
 BUFFER = 1 << 18
 #: Window offsets in a block of pass 3: fewer make more blocks and fewer single windows.
 BLOCK = 14
 #: Flags of an anchor: its context occurs twice; it stands for that context in the next passes.
 SETTLED, SOURCE = 1, 2
+#: Runs that one copy of their counterpart serves.
+SHARE = 2048
+#: Bits of the hashes. Fewer make more work, never another result.
+BITS = 64
 
 _rng = np.random.default_rng(20240229)
 _LETTERS = _rng.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,9 +97,10 @@ _powers = _Powers()
 class Hashed:
     """Hashes of any ranges of a byte array; equal for equal bytes, wherever they stand."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, bits: int = BITS):
         n = len(data)
         _powers.need(n + 1)
+        self.mask = np.uint64((1 << bits) - 1)
         self.sums = []
         for k in range(2):
             sums = np.zeros(n + 1, np.uint64)
@@ -95,12 +109,12 @@ class Hashed:
 
     def ranges(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         a, b = ((s[stops] - s[starts]) * _powers.down[k][starts] for k, s in enumerate(self.sums))
-        return _mix(_mix(a) + b * _BASES[0] + (stops - starts).astype(np.uint64))
+        return _mix(_mix(a) + b * _BASES[0] + (stops - starts).astype(np.uint64)) & self.mask
 
     def grams(self, size: int) -> np.ndarray:
         s = self.sums[0]
         n = len(s) - size
-        return _mix((s[size:] - s[:-size]) * _powers.down[0][:n]) if n > 0 else np.zeros(0, np.uint64)
+        return _mix((s[size:] - s[:-size]) * _powers.down[0][:n]) & self.mask if n > 0 else np.zeros(0, np.uint64)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -117,46 +131,70 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int, gram: int) -> tuple[Hashed, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the texts that lie in ``data`` at ``starts`` to ``stops``.
+def anchors(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, window: int, gram: int, bits: int = BITS) -> tuple[Hashed, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows in ``data``, of which ``counts`` in a row start at each ``begin``.
 
     Returns the hashes, and per anchor its position, its gram's hash, and the
     first and last start of the windows whose anchor it is. The leftmost of
     equal smallest grams counts.
     """
-    hashed = Hashed(data)
+    hashed = Hashed(data, bits)
     grams = hashed.grams(gram)
     order = (_mix(grams) >> _S32 << _S32) | np.arange(len(grams), dtype=np.uint64)
     at = (sliding_least(order, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sizes = np.maximum(stops - starts - window + 1, 0)
-    ends = np.cumsum(sizes)
-    windows = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    ends = np.cumsum(counts)
+    windows = np.repeat(begin - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
     at = at[windows]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
     last = np.append(new[1:], len(at)) - 1 if len(new) else new
     return hashed, at[new], grams[at[new]], windows[new], windows[last]
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[list], bytes, np.ndarray, np.ndarray]]:
-    """Texts of about BUFFER bytes at a time: the other columns, all bytes, and each text's start and stop."""
-    kept, texts, size = [[] for _ in columns], [], 0
+class Pieces:
+    """Some texts, or a piece of one with what stands around it, in one byte string.
+
+    ``starts`` and ``stops`` bound each text there, ``offsets`` is what is to be
+    added to a place in it for the place in the whole text, and windows start
+    at ``counts`` places from ``begin`` on.
+    """
+
+    def __init__(self, columns: list[list], texts: list[bytes], window: int):
+        self.columns, self.joined = columns, b"".join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.stops = np.cumsum(sizes)
+        self.starts = self.begin = self.stops - sizes
+        self.offsets, self.counts = -self.starts, np.maximum(sizes - window + 1, 0)
+
+    def narrow(self, begin: int, count: int, offset: int) -> Pieces:
+        self.begin, self.counts, self.offsets = np.array([begin]), np.array([count]), np.array([offset])
+        return self
+
+    def anchors(self, window: int, gram: int, bits: int):
+        return anchors(np.frombuffer(self.joined, np.uint8), self.begin, self.counts, window, gram, bits)
 
-    def out():
-        stops = np.cumsum([len(t) for t in texts])
-        return kept, b"".join(texts), stops - np.array([len(t) for t in texts]), stops
 
+def _pieces(batches: Iterator[pa.RecordBatch], columns: list[str], window: int, piece: int) -> Iterator[Pieces]:
+    """Texts of about ``piece`` bytes at a time; of a longer text its pieces, each on its own."""
+    kept, texts, size = [[] for _ in columns], [], 0
     for batch in batches:
         values = [batch.column(c) for c in columns]
         for i, text in enumerate(batch.column("text")):
-            for k, v in zip(kept, values, strict=True):
-                k.append(v[i].as_py())
-            texts.append(text.as_py())
-            size += len(texts[-1])
-            if size >= BUFFER:
-                yield out()
+            own, text = [v[i].as_py() for v in values], text.as_py()
+            if len(text) > 2 * piece:
+                for a in range(0, len(text) - window + 1, piece):
+                    left = max(0, a - window)
+                    whole = Pieces([[v] for v in own], [text[left : a + piece + 2 * window]], window)
+                    yield whole.narrow(a - left, min(piece, len(text) - window + 1 - a), left)
+                continue
+            for k, v in zip(kept, own, strict=True):
+                k.append(v)
+            texts.append(text)
+            size += len(text)
+            if size >= piece:
+                yield Pieces(kept, texts, window)
                 kept, texts, size = [[] for _ in columns], [], 0
     if texts:
-        yield out()
+        yield Pieces(kept, texts, window)
 
 
 def _context(p, starts, stops, window, gram):
@@ -164,55 +202,81 @@ def _context(p, starts, stops, window, gram):
     return np.maximum(p - (window - gram), starts), np.minimum(p + window, stops)
 
 
-def _anchor_rows(window: int, gram: int):
+def _anchor_rows(window: int, gram: int, bits: int, piece: int):
     """(gram, context, rid, at) of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (rids,), joined, starts, stops in _buffers(batches, ["rid"]):
-            hashed, p, grams, _, _ = anchors(np.frombuffer(joined, np.uint8), starts, stops, window, gram)
-            of = np.searchsorted(stops, p, side="right")
-            a, b = _context(p, starts[of], stops[of], window, gram)
-            around = _mix(hashed.ranges(a, b) + (p - a).astype(np.uint64))
-            rid = np.array(rids, np.int64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rid), pa.array((p - starts[of]).astype(np.int64))], names=["gram", "around", "rid", "at"])
+        for x in _pieces(batches, ["rid"], window, piece):
+            hashed, p, grams, _, _ = x.anchors(window, gram, bits)
+            of = np.searchsorted(x.stops, p, side="right")
+            a, b = _context(p, x.starts[of], x.stops[of], window, gram)
+            around = _mix(hashed.ranges(a, b) + (p - a).astype(np.uint64)) & hashed.mask
+            rid = np.array(x.columns[0], np.int64)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rid), pa.array(p + x.offsets[of])], names=["gram", "around", "rid", "at"])
 
     return run
 
 
-def _context_rows(window: int, gram: int):
-    """Of each text's shared anchors: the windows if the context is shared, else the context.
+def joined_runs(text: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Claims that bytes of a text equal those of another, joined where they touch and go on alike."""
+    shift = other_start - start
+    order = np.lexsort((start, shift, other, text))
+    text, start, stop, other, shift = (x[order] for x in (text, start, stop, other, shift))
+    if not len(text):
+        return text, start, stop, other, shift
+    group = np.concatenate(([False], (text[1:] != text[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]))).cumsum()
+    far = int(stop.max()) + 1
+    reach = np.maximum.accumulate(group * far + stop)
+    new = np.concatenate(([True], group[1:] * far + start[1:] > reach[:-1]))
+    at = np.flatnonzero(new)
+    return text[at], start[at], (reach - group * far)[np.append(at[1:] - 1, len(new) - 1)], other[at], start[at] + shift[at]
+
+
+CONTEXTS = "rid long, at long, before int, low int, high int, context binary, stop long, src_rid long, src_at long"
+
+
+def _context_rows(window: int, gram: int, bits: int, piece: int):
+    """Of each text's shared anchors: the claims of those whose context is shared, as runs; the contexts of the others.
 
-    One text of each shared context gives both, so that open anchors are
-    compared with it as well.
+    One text of each shared context gives its context too, so that open anchors
+    are compared with it as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (rids, shared), joined, starts, stops in _buffers(batches, ["rid", "anchors"]):
-            _, p, _, first, last = anchors(np.frombuffer(joined, np.uint8), starts, stops, window, gram)
-            of = np.searchsorted(stops, p, side="right")
-            counts = np.fromiter(map(len, shared), np.int64, len(shared))
-            flat = np.array([x for xs in shared for x in xs], np.int64)  # four times the place, and two flags
-            wanted = np.repeat(starts, counts) + (flat >> 2)
+        for x in _pieces(batches, ["rid", "anchors"], window, piece):
+            _, p, _, first, last = x.anchors(window, gram, bits)
+            of = np.searchsorted(x.stops, p, side="right")
+            sizes = np.fromiter(map(len, x.columns[1]), np.int64, len(x.columns[1]))
+            flat = np.array([(a["anchor"], a["src_rid"], a["src_at"]) for own in x.columns[1] for a in own], np.int64).reshape(-1, 3)
+            wanted = np.repeat(-x.offsets, sizes) + (flat[:, 0] >> 2)  # four times the place, and two flags
             order = np.argsort(wanted, kind="stable")
-            wanted, flags = wanted[order], (flat & 3)[order]
+            wanted, flat = wanted[order], flat[order]
             where = np.searchsorted(wanted, p)
             where[where == len(wanted)] = 0
             hit = wanted[where] == p if len(wanted) else np.zeros(len(p), bool)
-            p, first, last, of, flags = p[hit], first[hit], last[hit], of[hit], flags[where[hit]]
-            a, b = _context(p, starts[of], stops[of], window, gram)
-            # A shared context repeats all the windows that it can hold; else only the anchor's own are open.
-            for own, low, high, closed in ((np.flatnonzero(flags & SETTLED), a, np.minimum(p, b - window), True), (np.flatnonzero(flags != SETTLED), first, last, False)):
-                at, i = p[own], of[own]
-                context = pa.nulls(len(own), pa.binary()) if closed else pa.array([joined[x:y] for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(rids, np.int64)[i]), pa.array(at - starts[i]), pa.array((at - a[own]).astype(np.int32)), pa.array((low[own] - at).astype(np.int32)), pa.array((high[own] - at).astype(np.int32)), context],
-                    names=["rid", "at", "before", "low", "high", "context"],
-                )
+            p, first, last, of, flat = p[hit], first[hit], last[hit], of[hit], flat[where[hit]]
+            flags, rids = flat[:, 0] & 3, np.array(x.columns[0], np.int64)
+            a, b = _context(p, x.starts[of], x.stops[of], window, gram)
+            at = p + x.offsets[of]
+            claims = (flags == SETTLED) & (b - a >= window)
+            rid, start, stop, src, src_start = joined_runs(rids[of[claims]], at[claims] - (p - a)[claims], at[claims] + (b - p)[claims], flat[claims, 1], flat[claims, 2] - (p - a)[claims])
+            n, none = len(rid), lambda kind, n: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start), none(pa.int32(), n), none(pa.int32(), n), none(pa.int32(), n), none(pa.binary(), n), pa.array(stop), pa.array(src), pa.array(src_start)], schema=_CONTEXTS)
+            own = np.flatnonzero(flags != SETTLED)
+            n = len(own)
+            bytes_ = pa.array([x.joined[i:j] for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rids[of[own]]), pa.array(at[own]), pa.array((p - a)[own].astype(np.int32)), pa.array((first - p)[own].astype(np.int32)), pa.array((last - p)[own].astype(np.int32)), bytes_, none(pa.int64(), n), none(pa.int64(), n), none(pa.int64(), n)],
+                schema=_CONTEXTS,
+            )
 
     return run
 
 
-def _tables(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2048):
+_CONTEXTS = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary()), ("stop", pa.int64()), ("src_rid", pa.int64()), ("src_at", pa.int64())])
+
+
+def _tables(batches: Iterator[pa.RecordBatch], width: int, bits: int, rows: int = 2048):
     """Contexts as rows of byte arrays, padded; with the batch that they came in."""
     for whole in batches:
         for s in range(0, whole.num_rows, rows):
@@ -220,15 +284,15 @@ def _tables(batches: Iterator[pa.RecordBatch], width: int, rows: int = 2048):
             texts = [x.as_py() for x in batch.column("context")]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             flat = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8)
-            yield batch, Hashed(flat), np.arange(len(texts)) * width, lengths, batch.column("before").to_numpy().astype(np.int64), batch.column("low").to_numpy().astype(np.int64), batch.column("high").to_numpy().astype(np.int64)
+            yield batch, Hashed(flat, bits), np.arange(len(texts)) * width, lengths, batch.column("before").to_numpy().astype(np.int64), batch.column("low").to_numpy().astype(np.int64), batch.column("high").to_numpy().astype(np.int64)
 
 
-def _block_rows(window: int, gram: int, block: int):
+def _block_rows(window: int, gram: int, block: int, bits: int):
     """Every block of an open anchor that holds windows of it: its two keys, and the span of all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, reach = 2 * window - gram, window - gram
-        for batch, hashed, base, lengths, before, low, high in _tables(batches, width):
+        for batch, hashed, base, lengths, before, low, high in _tables(batches, width, bits):
             at = batch.column("at").to_numpy()
             for k in range(-(-(reach + 1) // block)):
                 a, b = max(-reach, -(k + 1) * block + 1), -k * block  # offsets of the block's windows
@@ -239,7 +303,7 @@ def _block_rows(window: int, gram: int, block: int):
                 keys = []
                 for i, j in ((np.maximum(p + b, 0), np.minimum(p + a + window, n)), (np.maximum(p + a, 0), np.minimum(p + b + window, n))):
                     # Where the range lies about the anchor, and what the text's ends cut off, is part of the key.
-                    keys.append(_mix(hashed.ranges(base[own] + i, base[own] + j) + ((p - i) * 65536 + (j - p) + 1).astype(np.uint64)))
+                    keys.append(_mix(hashed.ranges(base[own] + i, base[own] + j) + ((p - i) * 65536 + (j - p) + 1).astype(np.uint64)) & hashed.mask)
                 start = at[own] + np.maximum(a, -p)
                 stop = at[own] + np.minimum(b + window, n - p)
                 take = pa.array(own)
@@ -251,12 +315,12 @@ def _block_rows(window: int, gram: int, block: int):
     return run
 
 
-def _window_rows(window: int, gram: int, block: int):
+def _window_rows(window: int, gram: int, block: int, bits: int):
     """The single windows of the open blocks: (rid, key, place), the place being the start and 32 more bits of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, reach = 2 * window - gram, window - gram
-        for batch, hashed, base, _, before, low, high in _tables(batches, width):
+        for batch, hashed, base, _, before, low, high in _tables(batches, width, bits):
             blocks = batch.column("blocks")
             sizes = pc.list_value_length(blocks).to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(batch.num_rows), sizes)
@@ -267,13 +331,92 @@ def _window_rows(window: int, gram: int, block: int):
             offset, row = offset[good], row[good]
             start = base[row] + before[row] + offset
             key = hashed.ranges(start, start + window)
-            more = hashed.ranges(start + 1, start + window - 1) >> _S32
+            more = hashed.ranges(start + 1, start + window - 1) >> _S32  # no more than what place has room for
             place = (batch.column("at").to_numpy()[row] + offset).astype(np.int64) << 32 | more.astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(place)], names=["rid", "key", "place"])
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's claims from all passes, as runs."""
+    for batch in batches:
+        claims = batch.column("claims")
+        text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(claims).to_numpy(zero_copy_only=False))
+        flat = claims.flatten()
+        text, *rest = joined_runs(text, *(flat.field(k).to_numpy() for k in range(4)))
+        yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(text)), *map(pa.array, rest)], names=["rid", "start", "stop", "src_rid", "src_start"])
+
+
+SLICE = "src_rid long, src_start long, size long, salt int, rid long, start long, bytes binary"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a text's runs, and of what it is the counterpart for (rid null), once for each of its shares."""
+    for batch in batches:
+        for rid, text, wanted in zip(batch.column("rid"), batch.column("text"), batch.column("wanted"), strict=True):
+            rid, text, rows, size = rid.as_py(), memoryview(text.as_buffer()), [], 0
+            for w in wanted.as_py():
+                # A claim of hashes that met by chance may reach beyond a text.
+                own = bytes(text[w["start"] : w["start"] + w["size"]]) if w["start"] >= 0 else b""
+                if w["shares"] is None:
+                    rows.append((w["src_rid"], w["src_start"], w["size"], w["salt"], rid, w["start"], own))
+                else:
+                    rows += [(rid, w["start"], w["size"], salt, None, None, own) for salt in range(w["shares"])]
+                size += len(own)
+                if size > 4 * BUFFER:
+                    yield _sliced(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _sliced(rows)
+
+
+def _sliced(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.strip().split(" ")[0] for x in SLICE.split(",")])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, start, stop, same): every run and its counterpart, and whether their bytes are equal. A counterpart stands before its runs."""
+    key, against = None, b""
+    for batch in batches:
+        out: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in ("src_rid", "src_start", "size", "salt", "rid", "start")]
+        for src, src_start, size, salt, rid, start, own in zip(*columns, batch.column("bytes"), strict=True):
+            if rid is None:
+                key, against = (src, src_start, size, salt), own.as_py()
+                continue
+            assert key == (src, src_start, size, salt), "a run without its counterpart"
+            same = own.as_py() == against
+            out += [(rid, start, start + size, same), (src, src_start, src_start + size, same)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["rid", "start", "stop", "same"])
+
+
+def _whole_windows(window: int):
+    """(rid, start, bytes): the windows inside a text's ranges, once each, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, text, spans in zip(batch.column("rid"), batch.column("text"), batch.column("spans"), strict=True):
+                text, spans = text.as_py(), np.array(spans.as_py(), np.int64)
+                starts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, s >> 32), min(len(text), s & 0xFFFFFFFF) - window + 1) for s in spans.tolist())]))
+                for a in range(0, len(starts), 4096):
+                    own = starts[a : a + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rid.as_py())), pa.array(own), pa.array([text[s : s + window] for s in own.tolist()], pa.binary())], names=["rid", "start", "bytes"])
+
+    return run
+
+
+def _bounded(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of a range that is whole characters."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
 def _removed(with_text: bool):
     """Union of each text's spans, and what is left of the text without them."""
 
@@ -283,11 +426,13 @@ def _removed(with_text: bool):
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 text, removed, runs, at, left = text.as_py(), 0, 0, 0, []
                 for a, b in _union(np.array(spans.as_py(), np.int64)):
+                    if with_text:
+                        a, b = _bounded(text, a, b)
                     left.append(text[at:a])
                     removed, runs, at = removed + b - a, runs + 1, b
                 left.append(text[at:])
                 kept = b"".join(left)
-                for column, value in zip(out, (removed, runs, kept.decode("utf-8", "replace").encode() if with_text else hashlib.sha256(kept).digest()), strict=True):
+                for column, value in zip(out, (removed, runs, kept if with_text else hashlib.sha256(kept).digest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["rid", "n_removed", "n_spans", "kept"])
 
@@ -308,97 +453,120 @@ def _span(start: Column, stop: Column) -> Column:
     return F.shiftleft(start.cast("long"), 32) + stop
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, rid: str = "__rid") -> tuple[DataFrame, bool]:
-    """Adds ``rid``, the key of a row: its id, or if ids are null or repeat a hash of id and text.
+def _first(*names: str) -> list[Column]:
+    """Of a group: how many there are, and one that stands for it, of the least row."""
+    return [F.count("*").alias("n"), F.min("rid").alias("src_rid"), *(F.min_by(n, "rid").alias(f"src_{n}") for n in names)]
 
-    Rows of one key are then equal, and so are their results. Also returns
-    whether every row has a key of its own.
-    """
-    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
-    plain = ids.where("i is null or count > 1").limit(1).count() == 0
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.withColumn(rid, F.col(id_col).cast("long") if plain else F.xxhash64(F.col(id_col).cast("long"), text)), plain
 
-
-def repeated_spans(keyed: DataFrame, text_col: str, window: int, gram: int) -> tuple[DataFrame, str, DataFrame]:
-    """The affected texts (rid, text) and the name of their table, and their spans (rid, spans)."""
-    if not 8 <= gram < window <= 2**15:
-        raise ValueError("gram must be at least 8 and smaller than window")
-    rows = keyed.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def _claims(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int, piece: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passes 1 to 4: the affected texts (rid, text), the runs that are claimed to be equal, and the contexts that were open."""
     block = BLOCK if window == WINDOW else max(1, int((window - gram + 1) ** 0.5) + 4)
-
-    # 1. Anchors whose gram occurs twice. If all of a gram's contexts are equal, that settles them.
-    found = rows.where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window, gram), "gram long, around long, rid long, at long")
+    # 1. Anchors whose gram occurs twice. If all of a gram's contexts go by one hash, no other anchor is to be compared with them.
+    found = rows.where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window, gram, bits, piece), "gram long, around long, rid long, at long")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
-    grams = materialise(grams.select("gram", (F.col("a") == F.col("b")).alias("alone")), "grams")
-    shared = materialise(found.join(grams, "gram"), "anchors")
+    grams = keep(grams.select("gram", (F.col("a") == F.col("b")).alias("alone")), "grams")
+    shared = keep(found.join(grams, "gram"), "anchors")
     # 2. Contexts that occur twice, among others of the same gram.
-    contexts = shared.where("not alone").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
-    contexts = materialise(contexts, "contexts")
-    mixed = shared.where("not alone").join(contexts, ["gram", "around"], "left")
-    flags = F.when(F.col("source").isNull(), 0).when(F.col("source") == F.col("rid"), SETTLED | SOURCE).otherwise(SETTLED)
-    flagged = mixed.select("rid", (F.col("at") * 4 + flags).alias("anchor")).union(shared.where("alone").select("rid", F.col("at") * 4 + SETTLED))
-    marked = flagged.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    affected, name = materialise_by(rows.join(marked.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected", "rid")
+    contexts = keep(shared.groupBy("gram", "around").agg(*_first("at")).where("n > 1").drop("n"), "contexts")
+    mixed = shared.join(contexts, ["gram", "around"], "left")
+    source = (F.col("src_rid") == F.col("rid")) & (F.col("src_at") == F.col("at"))
+    flags = F.when(F.col("src_rid").isNull(), 0).when(source, SETTLED | SOURCE).otherwise(SETTLED)
+    marked = mixed.where(~(F.col("alone") & source)).select("rid", F.struct((F.col("at") * 4 + flags).alias("anchor"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("src_rid", "src_at"))).alias("anchor"))
+    marked = marked.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    # Texts that only stand for others have no anchor of their own here, but pass 5 needs their bytes.
+    only = contexts.select(F.col("src_rid").alias("rid")).distinct()
+    lists = marked.join(only, "rid", "full_outer").select("rid", F.coalesce("anchors", F.array().cast(dict(marked.dtypes)["anchors"])).alias("anchors"))
+    affected = keep.by(rows.join(lists.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected", "rid")
     release(grams, shared, contexts)
-    judged = materialise(affected.mapInArrow(_context_rows(window, gram), "rid long, at long, before int, low int, high int, context binary"), "judged")
-    settled = judged.where("context is null and high >= low").select("rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
-    still = judged.where("context is not null")
-    # 3. Blocks whose common bytes occur twice; if all their whole bytes are equal, that settles them.
-    blocks = still.mapInArrow(_block_rows(window, gram, block), "rid long, at long, block int, common long, whole long, span long")
+    judged = keep(affected.where(F.size("anchors") > 0).mapInArrow(_context_rows(window, gram, bits, piece), CONTEXTS), "judged")
+    by_context = judged.where("context is null").select("rid", F.col("at").alias("start"), "stop", "src_rid", F.col("src_at").alias("src_start"))
+    still = judged.where("context is not null").drop("stop", "src_rid", "src_at")
+    # 3. Blocks whose common bytes occur twice; if all their bytes do, that settles them.
+    blocks = still.mapInArrow(_block_rows(window, gram, block, bits), "rid long, at long, block int, common long, whole long, span long")
     common = blocks.groupBy("common").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
-    common = materialise(common.select("common", (F.col("a") == F.col("b")).alias("alone")), "common")
-    blocks = materialise(blocks.join(common, "common"), "blocks")
-    whole = blocks.where("not alone").groupBy("common", "whole").agg(F.count("*").alias("n"), F.min("rid").alias("source")).where("n > 1").drop("n")
-    whole = materialise(whole, "whole")
-    mixed = materialise(blocks.join(whole, ["common", "whole"], "left").select("rid", "at", "block", "span", "alone", "source"), "mixed")
+    common = keep(common.select("common", (F.col("a") == F.col("b")).alias("alone")), "common")
+    blocks = keep(blocks.join(common, "common"), "blocks")
+    whole = keep(blocks.groupBy("common", "whole").agg(*_first("at")).where("n > 1").drop("n"), "whole")
+    mixed = keep(blocks.join(whole, ["common", "whole"], "left").drop("common", "whole"), "mixed")
     release(common, blocks, whole)
-    by_block = mixed.where("alone or source is not null").select("rid", "span").where(F.shiftright("span", 32) + window <= F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    start, stop = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    by_block = mixed.where(F.col("src_rid").isNotNull() & ~source & (start + window <= stop)).select("rid", start.alias("start"), stop.alias("stop"), "src_rid", (F.col("src_at") + start - F.col("at")).alias("src_start"))
     # 4. Single windows of the blocks that are open or stand for settled ones.
-    opened = mixed.where("not alone and (source is null or source = rid)").groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
-    windows = materialise(still.join(opened, ["rid", "at"]).mapInArrow(_window_rows(window, gram, block), "rid long, key long, place long"), "windows")
-    more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    equal = windows.groupBy("key", more.alias("more")).count().where("count > 1").select("key", "more")
-    repeated = windows.withColumn("more", more).join(materialise(equal, "equal"), ["key", "more"], "left_semi")
-    by_window = repeated.select("rid", _span(F.shiftright("place", 32), F.shiftright("place", 32) + window).alias("span"))
-    return affected, name, settled.union(by_block).union(by_window).groupBy("rid").agg(F.collect_set("span").alias("spans"))
-
-
-def _cleaned(keyed: DataFrame, plain: bool, text_col: str, window: int, gram: int, with_text: bool) -> DataFrame:
-    """(__key, n_removed, n_spans, kept) of each affected key; ``kept`` is what is left of the text, or the SHA-256 of that."""
-    affected, name, spans = repeated_spans(keyed, text_col, window, gram)
-    cut = affected.join(spans.hint("shuffle_hash"), "rid").select("rid", "text", "spans").mapInArrow(_removed(with_text), "rid long, n_removed long, n_spans long, kept binary")
-    changed = materialise(cut if plain else cut.dropDuplicates(["rid"]), "changed").withColumnRenamed("rid", "__key")
-    keyed.sparkSession.sql(f"DROP TABLE {name}")
-    return changed
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    opened = mixed.where(F.col("src_rid").isNull() | (source & ~F.col("alone"))).groupBy("rid", "at").agg(F.collect_set("block").alias("blocks"))
+    windows = still.join(opened, ["rid", "at"]).mapInArrow(_window_rows(window, gram, block, bits), "rid long, key long, place long")
+    windows = keep(windows.select("rid", "key", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("more"), F.shiftright("place", 32).alias("start")), "windows")
+    equal = keep(windows.groupBy("key", "more").agg(*_first("start")).where("n > 1").drop("n"), "equal")
+    own = (F.col("src_rid") == F.col("rid")) & (F.col("src_start") == F.col("start"))
+    by_window = windows.join(equal, ["key", "more"]).where(~own).select("rid", "start", (F.col("start") + window).alias("stop"), "src_rid", "src_start")
+    claims = by_context.union(by_block).union(by_window).groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "src_rid", "src_start")).alias("claims"))
+    runs = keep(claims.mapInArrow(_runs, "rid long, start long, stop long, src_rid long, src_start long"), "runs")
+    release(mixed, windows, equal)
+    return affected.select("rid", "text"), runs, still
+
+
+def repeated_spans(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int = BITS, piece: int = BUFFER) -> tuple[DataFrame, DataFrame]:
+    """The affected texts (rid, text) of ``rows`` (rid, a key; text, binary), and their spans (rid, spans)."""
+    if not 8 <= gram < window <= 2**15:
+        raise ValueError("gram must be at least 8 and smaller than window")
+    affected, runs, still = _claims(keep, rows, window, gram, bits, piece)
+    # 5. The bytes of each run beside those of its counterpart.
+    key = ["src_rid", "src_start", "size"]
+    runs = runs.withColumn("size", F.col("stop") - F.col("start"))
+    shares = keep(runs.groupBy(*key).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
+    many = F.pmod(F.xxhash64("rid", "start"), F.col("shares")).cast("int")
+    salted = runs.join(shares.where("shares > 1"), key, "left").select("rid", F.struct("start", "size", "src_rid", "src_start", F.coalesce(many, F.lit(0)).alias("salt"), F.lit(None).cast("int").alias("shares")).alias("w"))
+    none = F.lit(None)
+    parts = shares.select(F.col("src_rid").alias("rid"), F.struct(F.col("src_start").alias("start"), "size", none.cast("long").alias("src_rid"), none.cast("long").alias("src_start"), none.cast("int").alias("salt"), "shares").alias("w"))
+    wanted = salted.union(parts).groupBy("rid").agg(F.collect_list("w").alias("wanted"))
+    slices = affected.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(_slices, SLICE)
+    side = slices.repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.col("rid").asc_nulls_first())
+    judged = keep(side.mapInArrow(_compared, "rid long, start long, stop long, same boolean"), "compared")
+    spans = judged.where("same").select("rid", _span(F.col("start"), F.col("stop")).alias("span"))
+    if judged.where("not same").limit(1).count():  # hashes met by chance: all that this can touch, by its bytes
+        open_spans = still.where("high >= low").select("rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
+        touched = judged.where("not same").select("rid", _span(F.col("start"), F.col("stop")).alias("span")).union(open_spans)
+        touched = affected.join(touched.groupBy("rid").agg(F.collect_set("span").alias("spans")), "rid")
+        windows = keep(touched.mapInArrow(_whole_windows(window), "rid long, start long, bytes binary"), "whole-windows")
+        twice = windows.groupBy("bytes").count().where("count > 1").select("bytes")
+        spans = spans.union(windows.join(twice, "bytes", "left_semi").select("rid", _span(F.col("start"), F.col("start") + window).alias("span")))
+    return affected, spans.groupBy("rid").agg(F.collect_set("span").alias("spans"))
+
+
+def _cleaned(rows: DataFrame, window: int, gram: int, bits: int, piece: int, with_text: bool) -> DataFrame:
+    """(__key, n_removed, n_spans, kept) of each changed row; ``kept`` is what is left of the text, or the SHA-256 of that."""
+    with Scratch() as keep:
+        affected, spans = repeated_spans(keep, rows, window, gram, bits, piece)
+        cut = affected.join(spans.hint("shuffle_hash"), "rid").select("rid", "text", "spans").mapInArrow(_removed(with_text), "rid long, n_removed long, n_spans long, kept binary")
+        return materialise(cut, "changed").withColumnRenamed("rid", "__key")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = BITS, piece: int = BUFFER) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte that lies in a string of ``window`` bytes which also starts
     anywhere else, in its own text or another, is removed; strings are judged
     on the input and never go from one text into the next. Null text counts as
-    empty. Rows that repeat an id are texts of their own: if the text repeats
-    too, the rows repeat each other. A null id is an id like others. An empty
-    table gives an empty result; other columns are ignored.
+    empty. Rows that repeat an id, or have none, are texts of their own: if the
+    text repeats too, the rows repeat each other. Texts are taken whole; a long
+    one is worked on in pieces. An empty table gives an empty result; other
+    columns are ignored.
     """
-    keyed, plain = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = keyed.select("doc_id", "__rid", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("own"))
-    joined = rows.join(_cleaned(keyed, plain, "text", window, gram, False), F.col("__rid") == F.col("__key"), "left")
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "doc_id", "rid")
+    changed = _cleaned(rows.select("rid", "text"), window, gram, bits, piece, False)
+    sizes = rows.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("own"))
+    joined = sizes.join(changed, F.col("rid") == F.col("__key"), "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "own"))).alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated bytes gone from the texts, all columns in place.
 
-    A cut may leave part of a character at either side of a removed run; the
-    broken bytes become U+FFFD. Null texts stay null.
+    A removed run shrinks to whole characters, so nothing stands in a text that
+    was not in it. Null texts stay null; rows that repeat an id, or have none,
+    are told apart; an empty table gives an empty result.
     """
     rid, key, kept = unused(docs, "__rid", "__key", "__kept")
-    keyed, plain = _keyed(docs, id_col, text_col, rid)
-    texts = keyed.select(F.col(rid).alias("__rid"), F.col(text_col).alias("text"))
-    changed = _cleaned(texts, plain, "text", window, gram, True).select(F.col("__key").alias(key), F.col("kept").cast("string").alias(kept))
-    joined = keyed.join(changed, F.col(rid) == F.col(key), "left")
+    rows = keyed(docs, id_col, rid)
+    changed = _cleaned(rows.select(F.col(rid).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), window, gram, BITS, BUFFER, True).select(F.col("__key").alias(key), F.col("kept").cast("string").alias(kept))
+    joined = rows.join(changed, F.col(rid) == F.col(key), "left")
     return joined.select(*[F.coalesce(kept, F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

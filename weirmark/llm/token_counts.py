@@ -1,6 +1,6 @@
 """Token counts with a digest cache.
 
-Counts are stored in a Parquet table by (content digest, tokenizer digest).
+Counts are stored in a Parquet table by content digest, in a folder per tokenizer digest.
 Documents' digests are joined with it; of the digests it lacks, one document
 each is encoded and the new counts are appended. Copies are never encoded
 twice, neither within a run nor across runs over one cache.
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise
+from weirmark.llm.common import materialise, unused
 from weirmark.llm.units import Units
 
-CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
+CACHE = "content_digest binary, n_tokens long"
 #: Bytes of text that are encoded at once; bounds what the encodings take in memory.
 BATCH_BYTES = 1 << 18
 #: Bytes of text whose equal pieces are encoded once.
@@ -78,7 +78,7 @@ def _count(shared, digest: str, at_spaces: bool):
         sizes = np.array(_lengths(tokenizer, units.texts), np.int64)
         alone = dict(zip(whole, _lengths(tokenizer, [texts[i] for i in whole]), strict=True))
         counts = [alone[i] if cut is None else int(sizes[cut].sum()) for i, cut in enumerate(cuts)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([digest] * len(keys), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["content_digest", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -106,25 +106,17 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The stored counts; empty if nothing is stored yet."""
+def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """(content_digest, n_tokens) stored for a tokenizer; empty if nothing is. The cache has a folder per tokenizer, so no other is read."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tokenizer_digest={version}")
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(path)
+    return spark.read.schema(CACHE).parquet(folder.toString())
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_tokens.
-
-    ``n_tokens`` is what the tokenizers library gives for the whole text
-    without added special tokens. ``cache_path`` is a folder of the shared
-    store; it is read first and what it lacks is appended. Two runs that
-    append at once may both store a digest; reading takes one of the equal
-    counts. Null text counts as empty; null and repeated ids are rows like
-    others; an empty table gives an empty result; other columns are ignored.
-    """
+def _counted(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content_digest, n_bytes) of every row, and (content_digest, n_tokens) of every digest among them, once each."""
     spark = docs.sparkSession
     model = open(tokenizer_path, "rb").read()
     version = tokenizer_digest(model)
@@ -132,14 +124,38 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), content_digest(F.col(text_col)).alias("content_digest"))
     ids = materialise(rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
     distinct = ids.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"))
-    misses = distinct.join(stored, "content_digest", "left_anti").select(F.col("content_digest").alias("missed"), "first_id")
+    misses = distinct.join(read_cache(spark, cache_path, version), "content_digest", "left_anti").select(F.col("content_digest").alias("missed"), "first_id")
     shared = spark.sparkContext.broadcast(model)  # one tokenizer file, a few MB
     to_encode = rows.join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content_digest") == F.col("missed"))).select("content_digest", "text")
     if ids.groupBy("doc_id", "content_digest").count().where("count > 1").limit(1).count():
         to_encode = to_encode.dropDuplicates(["content_digest"])  # rows that repeat id and text
-    to_encode.mapInArrow(_count(shared, version, _cuts_at_spaces(model)), CACHE).write.mode("append").parquet(cache_path)
+    to_encode.mapInArrow(_count(shared, version, _cuts_at_spaces(model)), CACHE).write.mode("append").parquet(f"{cache_path}/tokenizer_digest={version}")
+
+    # Only the digests of this run, before equal entries of the cache are merged.
+    asked = ids.select("content_digest").distinct()
+    counts = read_cache(spark, cache_path, version).join(asked, "content_digest", "left_semi").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return ids, materialise(counts, "counts")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_tokens.
+
+    ``n_tokens`` is what the tokenizers library gives for the whole text,
+    however long, without added special tokens. ``cache_path`` is a folder of
+    the shared store; it is read first and what it lacks is appended. Two runs
+    that append at once may both store a digest; reading takes one of the equal
+    counts. Null text counts as empty; null and repeated ids are rows like
+    others; an empty table gives an empty result; other columns are ignored.
+    """
+    ids, counts = _counted(docs, tokenizer_path, cache_path, id_col, text_col)
+    return ids.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
+
 
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return ids.join(materialise(counts, "counts"), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+def with_token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "n_tokens") -> DataFrame:
+    """``docs`` with its columns as they are and the token count of each row's text as ``out``; cases as in ``token_counts``."""
+    _, counts = _counted(docs, tokenizer_path, cache_path, id_col, text_col)
+    digest, own = unused(docs, "__digest", "__own")
+    counts = counts.select(F.col("content_digest").alias(own), F.col("n_tokens").alias(out))
+    joined = docs.withColumn(digest, content_digest(F.col(text_col))).join(counts.hint("shuffle_hash"), F.col(digest) == F.col(own))
+    return joined.select(*docs.columns, out)
