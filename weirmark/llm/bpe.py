@@ -8,6 +8,11 @@ order, all positions of a rank are merged at once, and only the neighbours
 they touch get new entries in the index. Documents are then put together from
 the words' ids by array gathers. Nothing is shuffled, so hot texts and long
 texts cost what their bytes cost.
+
+A block ends when its distinct words or its texts have grown to a bound; a long
+text goes on in the next block, cut where no word is. So the corpus is replayed
+block by block, a word once in each: one table for all blocks would have to be
+joined to every word of every text.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.units import Units, unicode_pattern
+from weirmark.llm.units import Units, parts, unicode_pattern
 
-#: Bytes of text in a block; bounds the word table and its index.
-BLOCK_BYTES = 24 << 20
+#: Characters of text, and of distinct words, at which a block ends; a text is cut into parts of at most PART.
+BLOCK, DISTINCT, PART = 24 << 20, 4 << 20, 2 << 20
+#: Rows and ids that are given out together.
+ROWS, IDS = 1000, 4 << 20
+#: Positions that are looked up together.
+STEP = 1 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 _built: dict[str, Merges] = {}
@@ -38,7 +48,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
-        tokens = [b""] * self.size
+        self.tokens = tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
         self.lengths = np.fromiter(map(len, tokens), np.int64, self.size)
@@ -56,15 +66,37 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
 
-    def one_by_one(self, word: bytes) -> list[int]:
+    def one_by_one(self, word: bytes) -> np.ndarray:
         """The merges of a single word, lowest rank first, leftmost first."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n = len(word)
+        token = self.byte_ids[np.frombuffer(word, np.uint8)]
+        pair = np.full(n, NONE, np.int32)
+        for a in range(0, n - 1, STEP):
+            b = min(a + STEP, n - 1)
+            pair[a:b] = self.rank_of(token[a:b], token[a + 1 : b + 1])
+        waiting = (pair.astype(np.int64) << 32 | np.arange(n))[pair < NONE].tolist()
+        heapq.heapify(waiting)
+        token, pair, after, before = (array("i", x.astype(np.int32).tobytes()) for x in (token, pair, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        tokens, ranks = self.tokens, self.ranks
+
+        def enter(i: int) -> None:
+            pair[i] = ranks.get(tokens[token[i]] + tokens[token[after[i]]], NONE) if after[i] < n else NONE
+            if pair[i] < NONE:
+                heapq.heappush(waiting, pair[i] << 32 | i)
+
+        while waiting:
+            rank, i = divmod(heapq.heappop(waiting), 1 << 32)
+            if pair[i] != rank:
+                continue
+            j = after[i]
+            token[i], token[j], pair[j], after[i] = rank, -1, NONE, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            enter(i)
+            if before[i] >= 0:
+                enter(before[i])
+        found = np.frombuffer(token, np.int32)
+        return found[found >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and each word's count of them."""
@@ -73,12 +105,10 @@ class Merges:
         starts = ends - lengths
         n = int(ends[-1]) if len(words) else 0
         token = np.append(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], np.int32(0))
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends[lengths > 0] - 1], before[starts[lengths > 0]] = n, n  # n stands for no neighbour
         live = np.ones(n, bool)
         pair = np.full(n + 1, NONE, np.int32)
-        inner = np.flatnonzero(after[:n] < n)
-        pair[inner] = self.rank_of(token[inner], token[after[inner]])
         index: dict[int, list[np.ndarray]] = {}
 
         def enter(positions: np.ndarray, ranks: np.ndarray) -> None:
@@ -93,24 +123,25 @@ class Merges:
                     heapq.heappush(waiting, rank)
 
         waiting: list[int] = []
-        first = inner[pair[inner] < NONE]
-        if len(first):
-            enter(first, pair[first])
+        for a in range(0, n, STEP):
+            own = np.arange(a, min(a + STEP, n), dtype=np.int32)
+            own = own[after[own] < n]
+            pair[own] = self.rank_of(token[own], token[after[own]])
+            own = own[pair[own] < NONE]
+            if len(own):
+                enter(own, pair[own])
         out_of_order: set[int] = set()
         while waiting:
             rank = heapq.heappop(waiting)
-            parts = index.pop(rank)
-            left = np.sort(parts[0]) if len(parts) == 1 else np.unique(np.concatenate(parts))
+            left = np.unique(np.concatenate(index.pop(rank)))
             left = left[pair[left] == rank]
             if not len(left):
                 continue
             right = after[left]
             if len(left) > 1 and (left[1:] == right[:-1]).any():  # overlaps, as in a run of one letter: leftmost first
-                taken, last = [], -1
-                for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-                    if a != last:
-                        taken.append(i)
-                        last = b
+                place = np.arange(len(left))
+                run = np.maximum.accumulate(np.where(np.concatenate(([True], left[1:] != right[:-1])), place, 0))
+                taken = (place - run) % 2 == 0
                 left, right = left[taken], right[taken]
             beyond = after[right]
             token[left] = rank
@@ -130,30 +161,45 @@ class Merges:
                 enter(touched[found], ranks[found])
         ids = token[:n][live]
         counts = np.diff(np.concatenate(([0], np.cumsum(live)))[np.concatenate((starts, [n]))]) if len(words) else lengths
-        own = {i: [self.ranks[w]] for i, w in enumerate(words) if w in self.ranks}
+        own = {i: np.array([self.ranks[w]]) for i, w in enumerate(words) if w in self.ranks}
         own |= {i: self.one_by_one(words[i]) for i in out_of_order if i not in own}
         bad = {i: v for i, v in own.items() if counts[i] != len(v)} | {i: own[i] for i in out_of_order}
         if bad:
             split = np.split(ids, np.cumsum(counts)[:-1])
             for i, v in bad.items():
-                split[i] = np.array(v, np.int32)
+                split[i] = v.astype(np.int32)
             ids, counts = np.concatenate(split), np.fromiter(map(len, split), np.int64, len(split))
         return ids, counts
 
-    def encode(self, texts: list[str], find) -> Iterator[np.ndarray]:
-        """Ids of each text of a block. ``find`` gives the pre-tokens of a text."""
-        units = Units(find)
-        cuts = [units.cut(t) for t in texts]
-        places: dict[str, int] = {}
-        found = [find(u) for u in units.texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        words = np.fromiter((places.setdefault(w, len(places)) for ws in found for w in ws), np.int64, int(sizes.sum()))
-        ids, counts = self.replay([w.encode() for w in places])
-        offsets = np.cumsum(counts) - counts
-        unit_ids = ids[gather(offsets[words], counts[words])]
-        ends = np.concatenate(([0], np.cumsum(counts[words])))[np.concatenate(([0], np.cumsum(sizes)))]
-        for cut in cuts:
-            yield unit_ids[gather(ends[cut], ends[cut + 1] - ends[cut])]
+    def encode(self, texts: Iterable[str], find) -> Iterator[np.ndarray]:
+        """Ids of each text. ``find`` gives the pre-tokens of a text."""
+        units, cuts, size, held = Units(find), [], 0, []
+
+        def block() -> Iterator[np.ndarray]:
+            places: dict[str, int] = {}
+            found = [find(u) for u in units.texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            words = np.fromiter((places.setdefault(w, len(places)) for ws in found for w in ws), np.int64, int(sizes.sum()))
+            ids, counts = self.replay([w.encode() for w in places])
+            offsets = np.cumsum(counts) - counts
+            unit_ids = ids[gather(offsets[words], counts[words])]
+            ends = np.concatenate(([0], np.cumsum(counts[words])))[np.concatenate(([0], np.cumsum(sizes)))]
+            for cut, last in cuts:
+                held.append(unit_ids[gather(ends[cut], ends[cut + 1] - ends[cut])])
+                if last:
+                    yield held[0] if len(held) == 1 else np.concatenate(held)
+                    held.clear()
+
+        for text in texts:
+            own = list(parts(text, PART))
+            for i, part in enumerate(own):
+                cuts.append((units.cut(part), i + 1 == len(own)))
+                size += len(part)
+                if units.size >= DISTINCT or size >= BLOCK:
+                    yield from block()
+                    units, cuts, size = Units(find), [], 0
+        if cuts:
+            yield from block()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.data[gather(self.offsets[ids], self.lengths[ids])].tobytes()
@@ -179,33 +225,38 @@ def _merges(shared, digest: str) -> Merges:
 
 
 def _encode(shared, digest: str, pattern: str, summarise: bool):
-    def block(merges: Merges, texts: list[str], find) -> Iterator[tuple]:
-        for own in merges.encode(texts, find):
-            if summarise:
-                yield len(own), hashlib.sha256(own.astype("<u4").tobytes()).digest(), hashlib.sha256(merges.decode(own)).digest()
-            else:
-                yield (own,)
+    def summary(merges: Merges, ids: np.ndarray) -> tuple:
+        decoded = hashlib.sha256()
+        for a in range(0, len(ids), STEP):
+            decoded.update(merges.decode(ids[a : a + STEP]))
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).digest(), decoded.digest()
+
+    def out(keys: list, made: list) -> pa.RecordBatch:
+        own = pa.array(keys[: len(made)], pa.int64())
+        del keys[: len(made)]
+        if summarise:
+            return pa.RecordBatch.from_arrays([own, pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary())], names=["doc_id", "n_tokens", "ids_digest", "decoded_digest"])
+        return pa.RecordBatch.from_arrays([own, pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, find = _merges(shared, digest), regex.compile(unicode_pattern(pattern)).findall
-
-        def out(keys: list, texts: list[str]) -> pa.RecordBatch:
-            made = list(block(merges, texts, find))
-            if summarise:
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary())], names=["doc_id", "n_tokens", "ids_digest", "decoded_digest"])
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x[0] for x in made], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-        keys, texts, size = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                keys.append(key.as_py())
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    yield out(keys, texts)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield out(keys, texts)
+        keys: list[int | None] = []  # of texts whose ids have not been given out
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                    keys.append(key.as_py())
+                    yield text.as_py()
+
+        made, size = [], 0
+        for ids in merges.encode(texts(), find):
+            made.append(summary(merges, ids) if summarise else ids)
+            size += len(ids)
+            if len(made) >= ROWS or size >= IDS:
+                yield out(keys, made)
+                made, size = [], 0
+        if made:
+            yield out(keys, made)
 
     return run
 
@@ -234,15 +285,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     Ids are those of the tiktoken library for whole texts without special
     tokens. Null text counts as empty and has no ids; null and repeated ids of
-    documents are rows like others; an empty table gives an empty result;
-    other columns are ignored.
+    documents are rows like others; texts are taken whole, a long one in parts;
+    an empty table gives an empty result; other columns are ignored.
     """
     shared, digest = _share(docs.sparkSession, ranks_path)
     return _rows(docs, id_col, text_col).mapInArrow(_encode(shared, digest, pattern, False), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded binary) for each row of (doc_id, ids); null ids decode to nothing."""
+    """(doc_id, decoded binary) for each row of (doc_id, ids); null ids decode to nothing, rows that repeat an id are rows like others, an empty table gives an empty result."""
     shared, digest = _share(encoded.sparkSession, ranks_path)
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(_decode(shared, digest), "doc_id long, decoded binary")
 
