@@ -77,8 +77,8 @@ def _ranges(lo: np.ndarray, hi: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return hi - (ones[hi] - ones[lo])
 
 
-def trie_pairs(keys: np.ndarray, group_starts: np.ndarray, group_stops: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of ``keys`` within ``budget`` differing bits, within groups.
+def trie_pairs(keys: np.ndarray, group_starts: np.ndarray, group_stops: np.ndarray, bits: int, budget: int, chunk: int = PAIR_CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of ``keys`` within ``budget`` differing bits, within groups; ``chunk`` node pairs are walked at a time.
 
     ``keys`` are sorted inside each group, which is one subtrie; its nodes are
     ranges of that order. Only the low ``bits`` bits may differ in a group.
@@ -89,9 +89,9 @@ def trie_pairs(keys: np.ndarray, group_starts: np.ndarray, group_stops: np.ndarr
     prefix_ones: dict[int, np.ndarray] = {}
     while stack:
         bit, alo, ahi, blo, bhi, diff = stack.pop()
-        if len(alo) > PAIR_CHUNK:
-            for s in range(0, len(alo), PAIR_CHUNK):
-                stack.append((bit, *(x[s : s + PAIR_CHUNK] for x in (alo, ahi, blo, bhi, diff))))
+        if len(alo) > chunk:
+            for s in range(0, len(alo), chunk):
+                stack.append((bit, *(x[s : s + chunk] for x in (alo, ahi, blo, bhi, diff))))
             continue
         leaves = (ahi - alo == 1) & (bhi - blo == 1)
         if leaves.any():  # what is left of both paths is compared at once

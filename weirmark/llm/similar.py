@@ -45,8 +45,8 @@ SMALL = 32
 TILE_LEAST, TILE_MOST = 16_384, 1 << 20
 #: Texts of a group in one tile.
 GROUP_TILE = 1024
-#: Pairs that are looked at together.
-PAIRS = 1 << 20
+#: Pairs, and pairs of nodes, that are looked at together. Near the root hardly a pair of nodes is pruned, so that their chunks are what a task holds.
+PAIRS, NODES = 1 << 19, 1 << 16
 #: Similarities are ratios of small integers; this is far below their distance.
 EPSILON = 1e-9
 _MORE = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -125,7 +125,7 @@ def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     join(np.repeat(key_at, key_end - key_at), np.arange(len(rid)))
     left: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
-    for i, j in itertools.chain(trie_pairs(rest[key_at], starts, np.append(starts[1:], len(key_at)), WORD_BITS - BLOCK_BITS, WORD_BUDGET), [(None, None)]):
+    for i, j in itertools.chain(trie_pairs(rest[key_at], starts, np.append(starts[1:], len(key_at)), WORD_BITS - BLOCK_BITS, WORD_BUDGET, NODES), [(None, None)]):
         if i is not None:
             left.append((i, j))
             waiting += len(i)
