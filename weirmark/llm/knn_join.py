@@ -6,9 +6,10 @@ its pivot. Per ring a summary is kept: its size, its outer distance and its
 largest norm. The scores of a query with the pivots, which are rows, give a
 score that k others surely reach, and the summaries an upper bound for every
 ring; the query is sent only to the rings whose bound reaches that score.
-Rings are cut into blocks of bounded size on both sides, and a tile (block of
-data, block of queries) is solved by one matrix product in one task, so
-neither a hot cell nor a hot vector meets in one task.
+Large rings are cut into blocks of bounded size on both sides, small ones are
+put together up to that size, and a tile (block of data, block of queries) is
+solved in one task by one matrix product for each of its rings, so neither a
+hot cell nor a hot vector meets in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from weirmark.llm.common import materialise
 
 #: Pivots of a table: one for so many rows, within these limits, which also bound what is collected for the summaries.
-PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 2048, 64, 4096
+PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 64, 64, 4096
 #: Rings of a cell, at most.
 MOST_RINGS = 8
 #: A block of data has at most a BLOCKS-th of the rows, within these limits.
@@ -105,14 +106,9 @@ def _routes(pivots: Pivots, rings: dict[int, tuple], k: int):
 
 
 def _tile(k: int):
-    def solve(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or queries.empty:
-            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        data = data.sort_values("vec_id")
-        ids, rids, query_ids, query_rids = data["vec_id"].to_numpy(), data["rid"].to_numpy(), queries["query_id"].to_numpy(), queries["query"].to_numpy()
-        x, q = np.stack(data["v"].to_numpy()), np.stack(queries["q"].to_numpy())
+    def best(x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, query_rids: np.ndarray) -> Iterator[tuple]:
+        """The k best rows for each query; ``ids`` rise."""
         most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-        found = []
         for a in range(0, len(q), 512):
             own, own_rids = q[a : a + 512], query_rids[a : a + 512]
             # Scores fit 64 bits; where a double could round them they are compared as integers.
@@ -120,16 +116,38 @@ def _tile(k: int):
             scores[own_rids[:, None] == rids[None, :]] = none
             rows = np.arange(len(own))
             for _ in range(min(k, len(ids))):
-                best = scores.argmax(axis=1)  # the first of equals: the smallest vec_id
-                value = scores[rows, best]
+                first = scores.argmax(axis=1)  # the first of equals: the smallest vec_id
+                value = scores[rows, first]
                 good = value != none
-                found.append((own_rids[good], query_ids[a : a + 512][good], ids[best[good]], value[good].astype(np.int64)))
-                scores[rows, best] = none
-        return pd.DataFrame(dict(zip(("query", "query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                yield own_rids[good], query_ids[a : a + 512][good], ids[first[good]], value[good].astype(np.int64)
+                scores[rows, first] = none
+
+    def solve(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        names, found = ("query", "query_id", "vec_id", "score"), []
+        asked = dict(iter(queries.groupby(["cell", "ring"])))
+        for ring, own in data.sort_values("vec_id").groupby(["cell", "ring"]):
+            if ring in asked:
+                asks = asked[ring]
+                found += best(np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy(), own["rid"].to_numpy(), np.stack(asks["q"].to_numpy()), asks["query_id"].to_numpy(), asks["query"].to_numpy())
+        if not found:
+            return pd.DataFrame({n: [] for n in names}).astype("int64")
+        made = pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        return made.sort_values(["query", "score", "vec_id"], ascending=[True, False, True]).groupby("query").head(k)
 
     return solve
 
 
+def _tiles(rings: list[tuple[int, int, int, int]], block: int) -> list[tuple[int, int, int, int, int]]:
+    """(cell, ring, tile, data blocks, query blocks) of (cell, ring, rows, queries): small rings share a tile, large ones are cut."""
+    made, tile, rows, asks = [], 0, 0, 0
+    for cell, ring, n, asked in rings:
+        if n > block or asked > block or rows + n > block or asks + asked > block:
+            tile, rows, asks = tile + 1, 0, 0
+        made.append((cell, ring, tile, math.ceil(n / block), math.ceil(asked / block)))
+        rows, asks = rows + n, asks + asked
+    return made
+
+
 def _drawn(rows: DataFrame, sizes: dict[int, int], most: dict[int, int]) -> list[list[int]]:
     """Candidates for the pivots of each length, by the hash of their row. A threshold keeps all but a few rows from the task that sorts them."""
     share = F.lit(0.0)
@@ -185,11 +203,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     asked = {(r["cell"], r["ring"]): r["count"] for r in routed.groupBy("cell", "ring").count().collect()}
 
     block = min(max(sum(sizes.values()) // BLOCKS, LEAST_ROWS), MOST_ROWS)
-    plan = [(r["cell"], r["ring"], math.ceil(r["n"] / block), math.ceil(asked[r["cell"], r["ring"]] / block)) for r in summary if (r["cell"], r["ring"]) in asked]
-    plan = F.broadcast(spark.createDataFrame(plan, "cell int, ring int, data_blocks int, query_blocks int"))  # one row per ring
-    tile = ["cell", "ring", "data_block", "query_block"]
-    data = ringed.join(plan, ["cell", "ring"]).select("rid", "vec_id", "v", "cell", "ring", F.pmod(F.xxhash64("rid"), "data_blocks").cast("int").alias("data_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
-    asks = routed.join(plan, ["cell", "ring"]).select("query", "query_id", "q", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("data_block"), F.pmod(F.xxhash64("query"), "query_blocks").cast("int").alias("query_block"))
+    plan = _tiles([(r["cell"], r["ring"], r["n"], asked[r["cell"], r["ring"]]) for r in summary if (r["cell"], r["ring"]) in asked], block)
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, ring int, tile int, data_blocks int, query_blocks int"))  # one row per ring
+    tile = ["tile", "data_block", "query_block"]
+    data = ringed.join(plan, ["cell", "ring"]).select("rid", "vec_id", "v", "cell", "ring", F.col("tile").alias("tile"), F.pmod(F.xxhash64("rid"), "data_blocks").cast("int").alias("data_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
+    asks = routed.join(plan, ["cell", "ring"]).select("query", "query_id", "q", "cell", "ring", F.col("tile").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("data_block"), F.pmod(F.xxhash64("query"), "query_blocks").cast("int").alias("query_block"))
     local = data.groupBy(*tile).cogroup(asks.groupBy(*tile)).applyInPandas(_tile(k), "query long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
