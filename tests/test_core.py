@@ -37,6 +37,9 @@ def test_bucket_labels(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(LABELS)], "i int, label string, unit string")
     got = [tuple(r) for r in df.orderBy("i").select(S.parse_bucket(F.col("label"), F.col("unit")).alias("b")).select("b.*").collect()]
     assert got == [x[2:] for x in LABELS]
+    by_row = S.with_bucket(df.withColumn("first", F.lit("kept")), "label", "unit")
+    assert by_row.columns == ["i", "label", "unit", "first", "bucket_kind", "bucket_low_c", "bucket_high_c", "bucket_mid_c"]
+    assert [tuple(r)[4:] for r in by_row.orderBy("i").collect()] == [x[2:] for x in LABELS]
     signed = df.where("label = '-5°C'").select(S.parse_bucket(F.col("label"), F.col("unit"), True).alias("b")).first().b
     assert signed.bucket_mid_c == -5.0
 

@@ -6,11 +6,11 @@ value becomes null and is left to the quarantine, it never fails the job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmark.functions.names import free_names
+
 #: Markets close at this hour, UTC, of their target date.
 CLOSE_HOUR = 12
 #: An outcome priced at this or more has won.
@@ -26,43 +26,58 @@ def to_celsius(x: Column, unit: Column) -> Column:
     return F.when(unit == "fahrenheit", fahrenheit_to_celsius(x.cast("double"))).otherwise(x.cast("double"))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _integer(found: Column) -> Column:
+    """Null for '', which a cast would find out by an exception, a hundred times slower."""
+    return F.nullif(found, F.lit("")).try_cast("int")
 
 
 def first_integer(label: Column, signed: bool = False) -> Column:
-    return F.regexp_extract(label, "(-?[0-9]+)" if signed else "([0-9]+)", 1).try_cast("int")
+    return _integer(F.regexp_extract(label, "(-?[0-9]+)" if signed else "([0-9]+)", 1))
+
+
+def no_number(label: Column) -> Column:
+    """A label that is null or whose first number is absent or longer than nine digits."""
+    return ~F.coalesce(label.rlike("^[^0-9]*[0-9]{1,9}([^0-9]|$)"), F.lit(False))
+
+
+def _label_parts(label: Column, signed: bool) -> dict[str, Column]:
+    number = "-?[0-9]+" if signed else "[0-9]+"
+    low, high = (_integer(F.regexp_extract(label, rf"({number})\s*-\s*({number})", i)) for i in (1, 2))
+    return {"first": first_integer(label, signed), "low": low, "high": high}
+
+
+def _bucket(label: Column, unit: Column, first: Column, pair_low: Column, pair_high: Column, kind: Column | None = None) -> dict[str, Column]:
+    said = (
+        F.when(first.isNull(), F.lit(None).cast("string"))
+        .when(label.contains("or below"), "below")
+        .when(label.contains("or higher") | label.contains("or above"), "above")
+        .when(pair_low.isNotNull(), "range")
+        .otherwise("exact")
+    )
+    kind = said if kind is None else kind
+    low = F.when(kind == "range", pair_low).when(kind.isin("above", "exact"), first)
+    high = F.when(kind == "range", pair_high).when(kind.isin("below", "exact"), first)
+    mid = F.when(kind == "range", (pair_low + pair_high) / F.lit(2.0)).otherwise(first.cast("double"))
+    return {"bucket_kind": said, **{f"bucket_{n}_c": to_celsius(x, unit) for n, x in (("low", low), ("high", high), ("mid", mid))}}
 
 
 def parse_bucket(label: Column, unit: Column, signed: bool = False) -> Column:
     """Struct of kind and °C low, high and mid of a bucket label.
 
     Signs are ignored unless ``signed``; a label without a digit, or null, has
-    a null kind and null bounds. Each pattern is looked for once per label.
+    a null kind and null bounds. For whole tables ``with_bucket`` is faster.
     """
-    number = "-?[0-9]+" if signed else "[0-9]+"
-    pair = rf"({number})\s*-\s*({number})"
-    low_of_pair, high_of_pair = (F.regexp_extract(label, pair, i).try_cast("int") for i in (1, 2))
-    parts = F.struct(label.alias("label"), unit.alias("unit"), first_integer(label, signed).alias("first"), low_of_pair.alias("low"), high_of_pair.alias("high"))
-
-    def kind_of(p: Column) -> Column:
-        return (
-            F.when(p["first"].isNull(), F.lit(None).cast("string"))
-            .when(p["label"].contains("or below"), "below")
-            .when(p["label"].contains("or higher") | p["label"].contains("or above"), "above")
-            .when(p["low"].isNotNull(), "range")
-            .otherwise("exact")
-        )
+    return F.struct(*(c.alias(n) for n, c in _bucket(label, unit, *_label_parts(label, signed).values()).items()))
 
-    def bounds(p: Column) -> Column:
-        kind = p["kind"]
-        low = F.when(kind == "range", p["p"]["low"]).when(kind.isin("above", "exact"), p["p"]["first"])
-        high = F.when(kind == "range", p["p"]["high"]).when(kind.isin("below", "exact"), p["p"]["first"])
-        mid = F.when(kind == "range", (p["p"]["low"] + p["p"]["high"]) / F.lit(2.0)).otherwise(p["p"]["first"].cast("double"))
-        return F.struct(kind.alias("bucket_kind"), *(to_celsius(x, p["p"]["unit"]).alias(f"bucket_{n}_c") for n, x in (("low", low), ("high", high), ("mid", mid))))
 
-    return bound(bound(parts, lambda p: F.struct(p.alias("p"), kind_of(p).alias("kind"))), bounds)
+def with_bucket(df: DataFrame, label: str = "bucket_label", unit: str = "native_unit", signed: bool = False) -> DataFrame:
+    """``df`` with the columns of ``parse_bucket``. Each pattern is looked for once: its result is a column before it is used."""
+    names = free_names(df, "first", "low", "high", "kind")
+    found = df.withColumns(dict(zip(names, _label_parts(F.col(label), signed).values(), strict=False)))
+    first, low, high, kind = map(F.col, names)
+    found = found.withColumn(names[3], _bucket(F.col(label), F.col(unit), first, low, high)["bucket_kind"])
+    parsed = _bucket(F.col(label), F.col(unit), first, low, high, kind) | {"bucket_kind": kind}
+    return found.withColumns(parsed).drop(*names)
 
 
 def iso_timestamp(text: Column) -> Column:
@@ -113,8 +128,8 @@ def json_list(text: Column) -> Column:
 
 
 def has_prices(text: Column) -> Column:
-    """Neither null nor empty; broken text counts as a price list, a bad one."""
-    return F.coalesce(F.size(json_list(text)) != 0, F.lit(True))
+    """Neither null nor an empty list; told from the text alone. Broken text counts as a price list, a bad one."""
+    return ~F.translate(F.coalesce(text, F.lit("")), " \t\r\n", "").isin("", "[]", "null")
 
 
 def first_price(text: Column) -> Column:

@@ -49,7 +49,7 @@ def backfill_prices(history: DataFrame, cities: DataFrame) -> DataFrame:
 
 def price_rows(rows: DataFrame, signed: bool = False) -> DataFrame:
     """Adds bucket bounds in °C and the hours left."""
-    parsed = rows.withColumn("bucket", S.parse_bucket(F.col("bucket_label"), F.col("native_unit"), signed)).select("*", "bucket.*")
+    parsed = S.with_bucket(rows, signed=signed)
     return _shaped(parsed.withColumn("hours_to_close", S.hours_to_close(F.col("snapshot_ts"), F.col("target_date"))), schemas.FACT_PRICE)
 
 
@@ -59,7 +59,7 @@ def key_rules() -> dict[str, Column]:
 
 def price_rules() -> dict[str, Column]:
     """Rules of ``split_quarantine`` for price rows."""
-    return {"price is no number": F.col("yes_price").isNull(), "label without a number": S.first_integer(F.col("bucket_label")).isNull(), "no time": F.col("snapshot_ts").isNull(), **key_rules()}
+    return {"price is no number": F.col("yes_price").isNull(), "label without a number": S.no_number(F.col("bucket_label")), "no time": F.col("snapshot_ts").isNull(), **key_rules()}
 
 
 def hourly_prices(rows: DataFrame) -> DataFrame:
@@ -143,11 +143,11 @@ def actuals(snapshots: DataFrame, history: DataFrame, cities: DataFrame, prefer:
 def split_resolved(history: DataFrame, cities: DataFrame, signed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Winning bucket per city and date, the first by label if documents disagree."""
     markets = unnest(history, "markets", "market", ["city"]).select("city", S.iso_date(F.col("market.date")).alias("target_date"), F.col("market.resolved_bucket").alias("resolved_bucket"))
-    rules = {"label without a number": S.first_integer(F.col("resolved_bucket")).isNull(), **key_rules()}
+    rules = {"label without a number": S.no_number(F.col("resolved_bucket")), **key_rules()}
     good, bad = split_quarantine(keep_filled(markets, "resolved_bucket"), rules)
     won = lookup_unit(keep_first(good, KEYS, [F.col("resolved_bucket")]), cities)
-    parsed = won.withColumn("b", S.parse_bucket(F.col("resolved_bucket"), F.col("native_unit"), signed))
-    return parsed.select(*KEYS, "resolved_bucket", *(F.col(f"b.bucket_{x}_c").alias(f"resolved_{x}_c") for x in ("mid", "low", "high"))), bad
+    parsed = S.with_bucket(won, "resolved_bucket", signed=signed)
+    return parsed.select(*KEYS, "resolved_bucket", *(F.col(f"bucket_{x}_c").alias(f"resolved_{x}_c") for x in ("mid", "low", "high"))), bad
 
 
 def resolved(history: DataFrame, cities: DataFrame, signed: bool = False) -> DataFrame:

@@ -41,13 +41,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Price ticks out of events --------------------------------------------------
 
 
+def _with_k(events: DataFrame) -> DataFrame:
+    """k of the properties; made as a row of its own, so that the JSON is parsed once however often k is named."""
+    return events.withColumn("k", F.explode(F.array(F.get_json_object("props", "$.k").try_cast("int"))))
+
+
 def source_of(k):
     return F.when(k % 3 == 0, "live").otherwise("backfill")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _read(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
+    events = _with_k(_read(spark, sf_dir, "events"))
+    k = F.col("k")
     label = (
         F.when(F.col("event_type") == "click", F.concat(k.cast("string"), F.lit("°C or below")))
         .when(F.col("event_type") == "error", F.concat(k.cast("string"), F.lit("°F or higher")))
@@ -61,16 +66,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("ts").alias("target_date"),
         F.col("ts").alias("snapshot_ts"),
         source_of(k).alias("source"),
-        k.alias("k"),
+        "k",
         (F.col("value") / F.lit(500.0)).alias("yes_price"),
         "event_type",
         "value",
         label.alias("bucket_label"),
         F.when(city == 2, "fahrenheit").otherwise("celsius").alias("native_unit"),
     )
-    parsed = S.parse_bucket(F.col("bucket_label"), F.col("native_unit"))
-    found = found.withColumn("hours_to_close", S.hours_to_close(F.col("snapshot_ts"), F.col("target_date"))).withColumn("b", parsed)
-    return found.select("*", "b.*").drop("b")
+    return S.with_bucket(found).withColumn("hours_to_close", S.hours_to_close(F.col("snapshot_ts"), F.col("target_date")))
 
 
 TICKS = """
@@ -490,8 +493,7 @@ CITY_NAMES = [c[0] for c in readers.DEFAULT_CITIES]
 def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a city by name, k of their properties, and an ISO time."""
     city = F.get(F.array(*map(F.lit, CITY_NAMES)), F.pmod("user_id", F.lit(4)).cast("int"))
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return _read(spark, sf_dir, "events").select("event_id", "event_type", "value", city.alias("city"), k.alias("k"), "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"))
+    return _with_k(_read(spark, sf_dir, "events")).select("event_id", "event_type", "value", city.alias("city"), "k", "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"))
 
 
 def _label():
