@@ -421,7 +421,7 @@ def _removed(with_text: bool):
     """Union of each text's spans, and what is left of the text without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             out: list[list] = [[], [], []]
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 text, removed, runs, at, left = text.as_py(), 0, 0, 0, []
