@@ -27,7 +27,7 @@ CACHE = "content_digest binary, n_tokens long"
 #: Bytes of text that are encoded at once; bounds what the encodings take in memory.
 BATCH_BYTES = 1 << 18
 #: Bytes of text whose equal pieces are encoded once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _loaded: dict[str, object] = {}
 
