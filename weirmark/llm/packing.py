@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from weirmark.llm.common import materialise
 
-#: Documents in one numbered chunk of a bucket, on average.
-CHUNK = 1024
+#: Documents and full batches in one numbered chunk of a bucket, on average: whichever are more documents. Few batches, as a chunk of long texts is ordered with its texts.
+CHUNK, CHUNK_BATCHES = 64, 16
 
 
 def word_count(text: Column) -> Column:
@@ -88,7 +88,7 @@ def pack(lengths: DataFrame, buckets: int = 16, token_budget: int = 16384, id_co
     Rows of one ``batch_id`` share a bucket, and rows times boundary stay
     within ``token_budget``; a document longer than the budget is a batch of
     its own, never cut. Rows of a bucket are dealt at random into chunks of
-    about ``CHUNK`` or eight batches, and each chunk is numbered apart: no
+    about ``CHUNK`` documents or ``CHUNK_BATCHES`` batches, and each chunk is numbered apart: no
     bucket is ever ordered in one task, at the price of one part-filled batch
     per chunk. Null or negative lengths count as 0; null and repeated ids are
     rows like others; an empty table gives an empty result; other columns are
@@ -109,7 +109,7 @@ def pack(lengths: DataFrame, buckets: int = 16, token_budget: int = 16384, id_co
         batch = max(1, token_budget // max(1, end))
         bucket = F.when(inside, i).otherwise(bucket)
         per_batch = F.when(inside, batch).otherwise(per_batch)
-        chunks = F.when(inside, max(1, math.ceil(rows_in / max(CHUNK, 8 * batch)))).otherwise(chunks)
+        chunks = F.when(inside, max(1, math.ceil(rows_in / max(CHUNK, CHUNK_BATCHES * batch)))).otherwise(chunks)
     ends = F.array(*map(F.lit, boundaries)).cast("array<long>")
     dealt = rows.withColumns({"bucket": bucket, "per_batch": per_batch, "chunks": chunks})
     dealt = dealt.withColumn("boundary", F.get(ends, F.col("bucket"))).withColumn("chunk", F.pmod(F.xxhash64("salt"), F.col("chunks")).cast("int"))
