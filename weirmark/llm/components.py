@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import materialise
+from weirmark.llm.common import materialise, release
 
 
-def _star(links: DataFrame, both_ways: bool) -> DataFrame:
-    """Hang each node's neighbours on the smallest of them.
+def _star(links: DataFrame, both_ways: bool, name: str) -> DataFrame:
+    """Hang each node's neighbours on the smallest of them; written as ``name``.
 
     The smallest neighbour is a partial aggregate, so a node with very many
     links costs no task more; the join back is one that Spark can split.
@@ -21,19 +21,24 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
         hung = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         hung = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return hung.where("u <> v").distinct()
+    found = materialise(hung.where("u <> v").distinct(), name)
+    release(least)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v) but the roots themselves.
 
     ``root`` is the smallest node of the component. Every round is written to
-    the shared folder, so no round depends on the one before it.
+    the shared folder, so no round depends on the one before it, which is then
+    deleted.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(ordered, "links")
     while True:
-        after = materialise(_star(materialise(_star(now, True), "large"), False), "small")
+        large = _star(now, True, "large")
+        after = _star(large, False, "small")
+        release(now, large)
         # Done when every node hangs on one root and no root hangs on another.
         roots = after.select("v").distinct()
         stars = after.groupBy("u").count().where("count > 1").limit(1).count() == 0 and after.join(roots.withColumnRenamed("v", "u"), "u", "left_semi").limit(1).count() == 0
