@@ -32,6 +32,8 @@ PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 64, 64, 4096
 MOST_RINGS = 8
 #: A block of data has at most a BLOCKS-th of the rows, within these limits.
 BLOCKS, LEAST_ROWS, MOST_ROWS = 64, 512, 32_768
+#: Components of the queries of a tile; a query counts for each ring of the tile that it asks.
+QUERY_LONGS = 8 << 20
 #: Candidates for a pivot that are expected to meet in one task, as a multiple of the pivots.
 FOUND = 4
 
@@ -137,13 +139,13 @@ def _tile(k: int):
     return solve
 
 
-def _tiles(rings: list[tuple[int, int, int, int]], block: int) -> list[tuple[int, int, int, int, int]]:
+def _tiles(rings: list[tuple[int, int, int, int]], block: int, most_asks: int) -> list[tuple[int, int, int, int, int]]:
     """(cell, ring, tile, data blocks, query blocks) of (cell, ring, rows, queries): small rings share a tile, large ones are cut."""
     made, tile, rows, asks = [], 0, 0, 0
     for cell, ring, n, asked in rings:
-        if n > block or asked > block or rows + n > block or asks + asked > block:
+        if rows + n > block or asks + asked > most_asks:
             tile, rows, asks = tile + 1, 0, 0
-        made.append((cell, ring, tile, math.ceil(n / block), math.ceil(asked / block)))
+        made.append((cell, ring, tile, math.ceil(n / block), math.ceil(asked / most_asks)))
         rows, asks = rows + n, asks + asked
     return made
 
@@ -203,7 +205,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     asked = {(r["cell"], r["ring"]): r["count"] for r in routed.groupBy("cell", "ring").count().collect()}
 
     block = min(max(sum(sizes.values()) // BLOCKS, LEAST_ROWS), MOST_ROWS)
-    plan = _tiles([(r["cell"], r["ring"], r["n"], asked[r["cell"], r["ring"]]) for r in summary if (r["cell"], r["ring"]) in asked], block)
+    plan = _tiles([(r["cell"], r["ring"], r["n"], asked[r["cell"], r["ring"]]) for r in summary if (r["cell"], r["ring"]) in asked], block, max(block, QUERY_LONGS // max(sizes)))
     plan = F.broadcast(spark.createDataFrame(plan, "cell int, ring int, tile int, data_blocks int, query_blocks int"))  # one row per ring
     tile = ["tile", "data_block", "query_block"]
     data = ringed.join(plan, ["cell", "ring"]).select("rid", "vec_id", "v", "cell", "ring", F.col("tile").alias("tile"), F.pmod(F.xxhash64("rid"), "data_blocks").cast("int").alias("data_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
