@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirmark.llm.bit_planes import bit_plane_clusters
 from weirmark.llm.bpe import bpe_round_trip
 from weirmark.llm.common import scratch_path, table
 from weirmark.llm.exact_dedup import exact_dedup
@@ -71,9 +72,39 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe)}
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_plane_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024.0, seed="3")
+
+
+def lloyd_sql(k: int, rounds: int, scale: float, seed: str) -> str:
+    """Clusters by rounds of one query each; sums are integers, so nothing depends on their order."""
+    steps = [f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS INTEGER) AS c, x
+            FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k})
+        )"""]
+    assign = """(SELECT rid, arg_min(c, struct_pack(d := d, c := c)) AS cluster, min(d) AS distance
+            FROM (SELECT v.rid, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, {now} c) GROUP BY rid)"""
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED {assign.format(now=f"c{r}")}, s{r} AS MATERIALIZED (
+            SELECT cluster, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n
+            FROM (SELECT a.cluster, unnest(v.x) AS x, unnest(range(64)) AS i FROM v JOIN a{r} a USING (rid)) GROUP BY cluster, i
+        ), c{r + 1} AS MATERIALIZED (
+            SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY cluster) m ON m.cluster = c.c
+        )""")
+    return "WITH " + ", ".join(steps) + f""", l AS {assign.format(now=f"c{rounds}")}
+        SELECT v.vec_id, l.cluster, l.distance, CAST(sum(l.distance) OVER (PARTITION BY l.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(l.distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM v JOIN l USING (rid) JOIN c{rounds} c ON c.c = l.cluster"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe, op13_bit_planes)}
 
 ORACLES: dict[str, str] = {
+    "op13_bit_planes": lloyd_sql(8, 10, 1024.0, "3"),
     "op3_exact_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
