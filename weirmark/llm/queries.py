@@ -14,6 +14,7 @@ from weirmark.llm.exact_dedup import exact_dedup
 from weirmark.llm.knn_join import top_k
 from weirmark.llm.language_id import identify_language
 from weirmark.llm.packing import pack, word_count
+from weirmark.llm.prefix_trie import prefix_trie
 from weirmark.llm.quality import classify_quality
 from weirmark.llm.simhash import simhash_components
 from weirmark.llm.suffix_dedup import suffix_dedup
@@ -72,6 +73,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), group=5, most=9)
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_plane_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024.0, seed="3")
 
@@ -101,9 +106,43 @@ def lloyd_sql(k: int, rounds: int, scale: float, seed: str) -> str:
         FROM v JOIN l USING (rid) JOIN c{rounds} c ON c.c = l.cluster"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe, op13_bit_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe, op12_prefix_trie, op13_bit_planes)}
 
 ORACLES: dict[str, str] = {
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), n AS (
+            SELECT c, count(*) AS n, c - c % 5 AS b, CAST(c AS VARCHAR) AS s FROM t GROUP BY c
+        ), crc AS (
+            SELECT c, n, b, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), range(8 * length(s))), lambda x, i: xor(
+                xor(x, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) >> 1,
+                3988292384 * (xor(x, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) & 1)))) % 9 AS h
+            FROM n
+        ), v AS (
+            SELECT a.c, a.b, a.h, least(a.h, coalesce(b.n, 0)) AS taken, least(a.h, coalesce(b.n, 0)) + greatest(a.n - a.h, 0) AS len FROM crc a LEFT JOIN n b ON b.c = a.b
+        ), r AS MATERIALIZED (
+            SELECT v.c, v.len, t.p - v.h + v.taken + 1 AS d, t.role, t.text FROM v JOIN t ON t.c = v.c AND t.p >= v.h
+            UNION ALL SELECT v.c, v.len, t.p + 1, t.role, t.text FROM v JOIN t ON t.c = v.b AND t.p < v.h
+        ), k AS MATERIALIZED (
+            SELECT c, len, d, text, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d) AS k FROM r
+            UNION ALL SELECT c, len, 0, '', '' FROM v
+        ), g AS MATERIALIZED (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(octet_length(encode(text))) AS saved,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends_sha256
+            FROM k GROUP BY d, k
+        ), m AS MATERIALIZED (
+            SELECT g.*, p.conv_id AS parent FROM g LEFT JOIN k ON k.c = g.conv_id AND k.d = g.d - 1 LEFT JOIN g p ON p.d = k.d AND p.k = k.k
+        ), f AS (
+            SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM m WHERE d > 0 GROUP BY 1, 2
+        ), u AS (
+            SELECT k.d, k.k, sum(CASE WHEN f.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(m.saved) AS saved
+            FROM m LEFT JOIN f ON f.conv_id = m.conv_id AND f.d = m.d JOIN k ON k.c = m.conv_id AND k.d <= m.d GROUP BY k.d, k.k
+        )
+        SELECT m.conv_id, m.d AS depth, m.parent AS parent_conv_id, m.n_convs, coalesce(f.n, 0) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+        FROM m JOIN u ON u.d = m.d AND u.k = m.k LEFT JOIN f ON f.conv_id = m.conv_id AND f.d = m.d
+    """,
     "op13_bit_planes": lloyd_sql(8, 10, 1024.0, "3"),
     "op3_exact_topk": """
         WITH v AS (
