@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirmark.llm.best_fit import best_fit_pack
 from weirmark.llm.bit_planes import bit_plane_clusters
 from weirmark.llm.bpe import bpe_round_trip
 from weirmark.llm.common import scratch_path, table
@@ -73,6 +74,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=1024, end=2)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), group=5, most=9)
 
@@ -106,7 +111,7 @@ def lloyd_sql(k: int, rounds: int, scale: float, seed: str) -> str:
         FROM v JOIN l USING (rid) JOIN c{rounds} c ON c.c = l.cluster"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe, op12_prefix_trie, op13_bit_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_token_counts, op5_packing, op6_quality, op7_simhash, op8_exact_dedup, op9_toxicity, op10_bpe, op11_best_fit, op12_prefix_trie, op13_bit_planes)}
 
 ORACLES: dict[str, str] = {
     "op12_prefix_trie": """
