@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weirmark.llm.common import Scratch, materialise
 from weirmark.llm.token_counts import _cuts_at_spaces, _encoder, tokenizer_digest
-from weirmark.llm.units import Units
+from weirmark.llm.units import _SEPARATORS
 
 #: Bytes of text and number of texts that are encoded together.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 14
@@ -157,6 +157,39 @@ def places(planned: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.nda
 # --- tokens ----------------------------------------------------------------
 
 
+class Words:
+    """Pieces of texts between spaces, by place, each with the space before it; ``joined`` are those beside which white space may go on."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.joined: set[int] = set()
+        self._bare: dict[str, int] = {}
+        self._spaced: dict[str, int] = {}
+
+    def _add(self, table: dict[str, int], key: str, unit: str) -> int:
+        place = table[key] = len(self.texts)
+        self.texts.append(unit)
+        if not key or key[0].isspace() or key[-1].isspace() or _SEPARATORS.search(key):
+            self.joined.add(place)
+        return place
+
+    def cut(self, text: str) -> np.ndarray | None:
+        """Places of the pieces of ``text``, in order; None if it can't be cut at its spaces."""
+        first, *later = text.split(" ")
+        places = [self._bare.get(first), *map(self._spaced.get, later)]
+        if None in places:
+            if places[0] is None:
+                places[0] = self._add(self._bare, first, first)
+            for i, x in enumerate(places):
+                if x is None:
+                    key = later[i - 1]
+                    x = self._spaced.get(key)
+                    places[i] = self._add(self._spaced, key, " " + key) if x is None else x
+        if self.joined and not self.joined.isdisjoint(places):
+            return None
+        return np.array(places, np.int64)
+
+
 class Encoder:
     """Ids of texts; equal pieces between spaces are encoded once, as long as the tokenizer allows it."""
 
@@ -169,31 +202,33 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.units, self.ids, self.starts, self.sizes = Units(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.units, self.ids, self.starts, self.sizes = Words(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for a in range(0, len(texts), 2048) for x in self.tokenizer.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        found = [np.array(x.ids, np.uint32) for a in range(0, len(texts), 2048) for x in self.tokenizer.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def _learn(self) -> None:
         """Encode the pieces that are new. Those that begin with a space are encoded in a row: only their first id has a space."""
-        new = self.units.texts[len(self.sizes) :]
-        spaced = [i for i, x in enumerate(new) if x.startswith(" ") and x.count(" ") == 1 and len(x) > 1 and not x[1].isspace() and not x[-1].isspace()]
-        rows = [spaced[a : a + JOINED] for a in range(0, len(spaced), JOINED)]
-        alone = set(range(len(new))).difference(spaced)
-        found: list[np.ndarray | None] = [None] * len(new)
-        for row, ids in zip(rows, self._encode(["".join(new[i] for i in row) for row in rows]), strict=True):
-            at = np.flatnonzero(self.leads[ids])
-            if len(at) == len(row) and at[0] == 0:
-                for i, own in zip(row, np.split(ids, at[1:]), strict=True):
-                    found[i] = own
-            else:
-                alone.update(row)
-        order = sorted(alone)
-        for i, ids in zip(order, self._encode([new[i] for i in order]), strict=True):
-            found[i] = ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.ids, self.sizes = np.concatenate([self.ids, *found]), np.append(self.sizes, sizes)
+        done, new = len(self.sizes), self.units.texts[len(self.sizes) :]
+        spaced = [i for i, x in enumerate(new) if x[0:1] == " " and done + i not in self.units.joined]
+        ids, sizes = self._encode(["".join([new[i] for i in spaced[a : a + JOINED]]) for a in range(0, len(spaced), JOINED)])
+        at = np.flatnonzero(self.leads[ids])
+        ends = np.cumsum(sizes)
+        rows = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(sizes))
+        starts, length = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        as_told = len(at) == len(spaced) and (rows[:-1] == JOINED).all() and self.leads[ids[ends - sizes]].all()
+        if as_told:
+            starts[spaced], length[spaced] = at, np.diff(np.append(at, len(ids)))
+            kept = set(spaced)
+            alone = [i for i in range(len(new)) if i not in kept] if len(spaced) < len(new) else []
+        else:
+            ids, alone = ids[:0], list(range(len(new)))
+        more, sizes = self._encode([new[i] for i in alone])
+        starts[alone], length[alone] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        self.starts, self.sizes = np.append(self.starts, starts + len(self.ids)), np.append(self.sizes, length)
+        self.ids = np.concatenate([self.ids, ids, more])
 
     def block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
