@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,31 @@ def test_suffix_dedup(spark, repeat_ids, bits, piece):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows)
 
 
+def periodic(seed):
+    """Texts of short and long periods, broken in places, some of them parts of others."""
+    random.seed(seed)
+    bases = ["x", "ab", "abcdefg", "".join(random.choice("abcdefgh") for _ in range(230)), "".join(random.choice("ab") for _ in range(410))]
+    texts = []
+    for base in bases:
+        whole = base * (2600 // len(base))
+        texts += [whole, whole[: 199 + len(base)], whole[3:203], whole[:700] + "|" + whole[5:900], "".join(random.choice("abcdefgh") for _ in range(150)) + whole[:450] + "".join(random.choice("abcdefgh") for _ in range(150))]
+    return list(enumerate(random.sample(texts, 18)))
+
+
+@pytest.mark.parametrize("bits, piece", [(64, 1 << 18), (64, 700), (6, 900)])
+def test_suffix_dedup_of_periodic_texts(spark, bits, piece):
+    rows = periodic(bits + piece)
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), bits=bits, piece=piece).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows)
+
+
+def test_long_periodic_texts_leave_few_anchors():
+    for base in (b"x", b"abcdefg", bytes(random.Random(1).choices(b"abcdefgh", k=400))):
+        text = base * (2_000_000 // len(base))
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text], pa.binary())], names=["rid", "text"])
+        assert sum(r.num_rows for r in suffix_dedup._anchor_rows(200, 40, 64, suffix_dedup.BUFFER)(iter([batch]))) < 100
+
+
 def test_remove_repeats(spark):
     rng = random.Random(1)
     tails = ["".join(rng.choice("vwxyz") for _ in range(150)) for _ in range(2)]

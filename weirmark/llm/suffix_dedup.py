@@ -179,7 +179,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], columns: list[str], window: int,
     for batch in batches:
         values = [batch.column(c) for c in columns]
         for i, text in enumerate(batch.column("text")):
-            own, text = [v[i].as_py() for v in values], text.as_py()
+            own, text = [v[i].values if pa.types.is_list(v.type) else v[i].as_py() for v in values], text.as_py()
             if len(text) > 2 * piece:
                 for a in range(0, len(text) - window + 1, piece):
                     left = max(0, a - window)
@@ -202,21 +202,72 @@ def _context(p, starts, stops, window, gram):
     return np.maximum(p - (window - gram), starts), np.minimum(p + window, stops)
 
 
+def own_repeats(data: np.ndarray, starts: np.ndarray, of: np.ndarray, p: np.ndarray, grams: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which anchors have only windows that stand once more further to the left in their text, told by the bytes; and the runs of these windows.
+
+    Each is compared with what the nearest anchor of the same gram before it
+    has. Runs are (text, start, stop, distance to the double).
+    """
+    order = np.lexsort((p, grams, of))
+    same = (of[order[1:]] == of[order[:-1]]) & (grams[order[1:]] == grams[order[:-1]])
+    own, back = order[1:][same], (p[order[1:]] - p[order[:-1]])[same]
+    good = first[own] - back >= starts[of[own]]
+    own, back = own[good], back[good]
+    order = np.lexsort((first[own], back, of[own]))
+    own, back = own[order], back[order]
+    settled, equal = np.zeros(len(p), bool), np.zeros(len(own), bool)
+    if len(own):
+        start, stop = first[own], last[own] + window
+        new, reach = _run_marks(of[own], start, stop, np.zeros(len(own), np.int64), back)
+        at = np.append(np.flatnonzero(new), len(own))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            a, b, d = int(start[i]), int(reach[j - 1]), int(back[i])
+            wrong = a + np.flatnonzero(data[a:b] != data[a - d : b - d])
+            equal[i:j] = np.searchsorted(wrong, start[i:j]) == np.searchsorted(wrong, stop[i:j])
+    own, back = own[equal], back[equal]
+    settled[own] = True
+    text, start, stop, _, double = joined_runs(of[own], first[own], last[own] + window, np.zeros(len(own), np.int64), first[own] - back)
+    return settled, (text, start, stop, start - double)
+
+
 def _anchor_rows(window: int, gram: int, bits: int, piece: int):
-    """(gram, context, rid, at) of every anchor."""
+    """(gram, context, rid, at) of every anchor; what repeats within its text is settled at once: (rid, at, stop).
+
+    A window that equals an earlier one of its text needs no further look: it
+    repeats, and the earlier one stands for it. So a text of short period has
+    as many anchors as its period and pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _pieces(batches, ["rid"], window, piece):
-            hashed, p, grams, _, _ = x.anchors(window, gram, bits)
-            of = np.searchsorted(x.stops, p, side="right")
+            data = np.frombuffer(x.joined, np.uint8)
+            hashed, p, grams, first, last = x.anchors(window, gram, bits)
+            of, rids = np.searchsorted(x.stops, p, side="right"), np.array(x.columns[0], np.int64)
+            settled, (text, start, stop, shift) = own_repeats(data, x.starts, of, p, grams, first, last, window)
+            p, grams, of = p[~settled], grams[~settled], of[~settled]
             a, b = _context(p, x.starts[of], x.stops[of], window, gram)
             around = _mix(hashed.ranges(a, b) + (p - a).astype(np.uint64)) & hashed.mask
-            rid = np.array(x.columns[0], np.int64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rid), pa.array(p + x.offsets[of])], names=["gram", "around", "rid", "at"])
+            names, n = ["gram", "around", "rid", "at", "stop"], len(p)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rids[of]), pa.array(p + x.offsets[of]), pa.nulls(n, pa.int64())], names=names)
+            if len(text):
+                # A run and its double, which overlap if the run is longer than their distance.
+                overlap = stop - start >= shift
+                text, a, b = np.append(text, text[~overlap]), np.append(np.where(overlap, start - shift, start), (start - shift)[~overlap]), np.append(stop, (stop - shift)[~overlap])
+                salt = _mix((rids[text] ^ a).view(np.uint64)).view(np.int64)  # deals them out; meets no gram
+                off = x.offsets[text]
+                yield pa.RecordBatch.from_arrays([pa.array(salt), pa.nulls(len(a), pa.int64()), pa.array(rids[text]), pa.array(a + off), pa.array(b + off)], names=names)
 
     return run
 
 
+def _run_marks(text: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted claims: whether each begins a run, and where what has been joined up to it stops."""
+    group = np.concatenate(([False], (text[1:] != text[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]))).cumsum()
+    far = int(stop.max()) + 1
+    reach = np.maximum.accumulate(group * far + stop)
+    return np.concatenate(([True], group[1:] * far + start[1:] > reach[:-1])), reach - group * far
+
+
 def joined_runs(text: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> tuple[np.ndarray, ...]:
     """Claims that bytes of a text equal those of another, joined where they touch and go on alike."""
     shift = other_start - start
@@ -224,12 +275,9 @@ def joined_runs(text: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np
     text, start, stop, other, shift = (x[order] for x in (text, start, stop, other, shift))
     if not len(text):
         return text, start, stop, other, shift
-    group = np.concatenate(([False], (text[1:] != text[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]))).cumsum()
-    far = int(stop.max()) + 1
-    reach = np.maximum.accumulate(group * far + stop)
-    new = np.concatenate(([True], group[1:] * far + start[1:] > reach[:-1]))
+    new, reach = _run_marks(text, start, stop, other, shift)
     at = np.flatnonzero(new)
-    return text[at], start[at], (reach - group * far)[np.append(at[1:] - 1, len(new) - 1)], other[at], start[at] + shift[at]
+    return text[at], start[at], reach[np.append(at[1:] - 1, len(new) - 1)], other[at], start[at] + shift[at]
 
 
 CONTEXTS = "rid long, at long, before int, low int, high int, context binary, stop long, src_rid long, src_at long"
@@ -247,7 +295,7 @@ def _context_rows(window: int, gram: int, bits: int, piece: int):
             _, p, _, first, last = x.anchors(window, gram, bits)
             of = np.searchsorted(x.stops, p, side="right")
             sizes = np.fromiter(map(len, x.columns[1]), np.int64, len(x.columns[1]))
-            flat = np.array([(a["anchor"], a["src_rid"], a["src_at"]) for own in x.columns[1] for a in own], np.int64).reshape(-1, 3)
+            flat = np.stack([np.concatenate([own.field(k).to_numpy() for own in x.columns[1]]) for k in range(3)], axis=1)
             wanted = np.repeat(-x.offsets, sizes) + (flat[:, 0] >> 2)  # four times the place, and two flags
             order = np.argsort(wanted, kind="stable")
             wanted, flat = wanted[order], flat[order]
@@ -458,14 +506,16 @@ def _first(*names: str) -> list[Column]:
     return [F.count("*").alias("n"), F.min("rid").alias("src_rid"), *(F.min_by(n, "rid").alias(f"src_{n}") for n in names)]
 
 
-def _claims(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int, piece: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Passes 1 to 4: the affected texts (rid, text), the runs that are claimed to be equal, and the contexts that were open."""
+def _claims(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int, piece: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Passes 1 to 4: the affected texts (rid, text), the runs that are claimed to be equal, the contexts that were open, and what repeats within a text."""
     block = BLOCK if window == WINDOW else max(1, int((window - gram + 1) ** 0.5) + 4)
     # 1. Anchors whose gram occurs twice. If all of a gram's contexts go by one hash, no other anchor is to be compared with them.
-    found = rows.where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window, gram, bits, piece), "gram long, around long, rid long, at long")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
+    found = rows.where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window, gram, bits, piece), "gram long, around long, rid long, at long, stop long")
+    grams = found.where("stop is null").groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
     grams = keep(grams.select("gram", (F.col("a") == F.col("b")).alias("alone")), "grams")
-    shared = keep(found.join(grams, "gram"), "anchors")
+    anchors_ = keep(found.join(grams, "gram", "left").where("alone is not null or stop is not null"), "anchors")
+    settled = keep(anchors_.where("stop is not null").select("rid", F.col("at").alias("start"), "stop"), "settled")
+    shared = anchors_.where("stop is null").drop("stop")
     # 2. Contexts that occur twice, among others of the same gram.
     contexts = keep(shared.groupBy("gram", "around").agg(*_first("at")).where("n > 1").drop("n"), "contexts")
     mixed = shared.join(contexts, ["gram", "around"], "left")
@@ -473,11 +523,11 @@ def _claims(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int, p
     flags = F.when(F.col("src_rid").isNull(), 0).when(source, SETTLED | SOURCE).otherwise(SETTLED)
     marked = mixed.where(~(F.col("alone") & source)).select("rid", F.struct((F.col("at") * 4 + flags).alias("anchor"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("src_rid", "src_at"))).alias("anchor"))
     marked = marked.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    # Texts that only stand for others have no anchor of their own here, but pass 5 needs their bytes.
-    only = contexts.select(F.col("src_rid").alias("rid")).distinct()
+    # Texts that only stand for others or repeat only themselves have no anchor of their own here, but their bytes are needed.
+    only = contexts.select(F.col("src_rid").alias("rid")).union(settled.select("rid")).distinct()
     lists = marked.join(only, "rid", "full_outer").select("rid", F.coalesce("anchors", F.array().cast(dict(marked.dtypes)["anchors"])).alias("anchors"))
     affected = keep.by(rows.join(lists.hint("shuffle_hash"), "rid").select("rid", "text", "anchors"), "affected", "rid")
-    release(grams, shared, contexts)
+    release(grams, anchors_, contexts)
     judged = keep(affected.where(F.size("anchors") > 0).mapInArrow(_context_rows(window, gram, bits, piece), CONTEXTS), "judged")
     by_context = judged.where("context is null").select("rid", F.col("at").alias("start"), "stop", "src_rid", F.col("src_at").alias("src_start"))
     still = judged.where("context is not null").drop("stop", "src_rid", "src_at")
@@ -501,14 +551,14 @@ def _claims(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int, p
     claims = by_context.union(by_block).union(by_window).groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "src_rid", "src_start")).alias("claims"))
     runs = keep(claims.mapInArrow(_runs, "rid long, start long, stop long, src_rid long, src_start long"), "runs")
     release(mixed, windows, equal)
-    return affected.select("rid", "text"), runs, still
+    return affected.select("rid", "text"), runs, still, settled
 
 
 def repeated_spans(keep: Scratch, rows: DataFrame, window: int, gram: int, bits: int = BITS, piece: int = BUFFER) -> tuple[DataFrame, DataFrame]:
     """The affected texts (rid, text) of ``rows`` (rid, a key; text, binary), and their spans (rid, spans)."""
     if not 8 <= gram < window <= 2**15:
         raise ValueError("gram must be at least 8 and smaller than window")
-    affected, runs, still = _claims(keep, rows, window, gram, bits, piece)
+    affected, runs, still, settled = _claims(keep, rows, window, gram, bits, piece)
     # 5. The bytes of each run beside those of its counterpart.
     key = ["src_rid", "src_start", "size"]
     runs = runs.withColumn("size", F.col("stop") - F.col("start"))
@@ -521,7 +571,7 @@ def repeated_spans(keep: Scratch, rows: DataFrame, window: int, gram: int, bits:
     slices = affected.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(_slices, SLICE)
     side = slices.repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.col("rid").asc_nulls_first())
     judged = keep(side.mapInArrow(_compared, "rid long, start long, stop long, same boolean"), "compared")
-    spans = judged.where("same").select("rid", _span(F.col("start"), F.col("stop")).alias("span"))
+    spans = judged.where("same").union(settled.withColumn("same", F.lit(True))).select("rid", _span(F.col("start"), F.col("stop")).alias("span"))
     if judged.where("not same").limit(1).count():  # hashes met by chance: all that this can touch, by its bytes
         open_spans = still.where("high >= low").select("rid", _span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + window).alias("span"))
         touched = judged.where("not same").select("rid", _span(F.col("start"), F.col("stop")).alias("span")).union(open_spans)
