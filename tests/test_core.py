@@ -212,6 +212,17 @@ def test_clashing_names_and_whole_records(spark):
         rows.date_range(base, "slug", dt.date(2026, 1, 2), dt.date(2026, 1, 1))
 
 
+def test_mart_in_one_pass(spark):
+    for name in ("mart", "city_mae"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan and "Python" not in plan
+    rows_ = spark.createDataFrame([(1, None, "b", 1), (1, 2.0, "b", 2), (1, 3.0, None, 3), (1, 3.0, "a", 4), (2, None, None, 5)], "g int, x double, s string, i int")
+    order = [(F.col("x"), "desc"), (F.col("s"), "asc")]
+    got = rows_.groupBy("g").agg(dedup.first_of(order, {"i": F.col("i")}).alias("r"), dedup.first_of(order, {"i": F.col("i")}, F.col("i") < 2).alias("w"))
+    assert {(r.g, r.r.i, r.w and r.w.i) for r in got.collect()} == {(1, 4, 1), (2, 5, None)}
+    assert {(r.g, r.i) for r in dedup.keep_first(rows_, ["g"], [F.col("x").desc_nulls_last(), F.col("s").asc_nulls_last()]).collect()} == {(1, 4), (2, 5)}
+
+
 def test_labels_are_parsed_once(spark):
     plan = QUERIES["fact_price"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 6 and "Python" not in plan

@@ -37,6 +37,21 @@ def keep_latest(df: DataFrame, keys: list[str | Column], moment: str, ties: tupl
     return keep_first(df, keys, [F.col(moment).desc_nulls_last(), *ties])
 
 
+def first_of(order: list[tuple[Column, str]], values: dict[str, Column], where: Column | None = None) -> Column:
+    """The values of a group's first row as an aggregate, so that several of them need one pass; null if no row counts.
+
+    ``order`` has numbers, dates or strings with ``'asc'`` or ``'desc'``, nulls
+    last in either; strings only ascending. Rows that tie in ``order`` are
+    ordered by their values. It equals ``keep_first`` of the same order, but
+    each map task keeps one row per group and nothing is sorted.
+    """
+    keys = []
+    for i, (column, direction) in enumerate(order):
+        keys += [column.isNull().alias(f"n{i}"), (column if direction == "asc" else -column).alias(f"o{i}")]
+    row = F.struct(*keys, F.struct(*(c.alias(n) for n, c in values.items())).alias("row"))
+    return F.min(row if where is None else F.when(where, row))["row"]
+
+
 def first_non_null(df: DataFrame, keys: list[str | Column], value: str, order: list[Column]) -> DataFrame:
     """Rows without the value never win."""
     return keep_first(df.where(F.col(value).isNotNull()), keys, order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.operators.dedup import keep_first, keep_latest
+from weirmark.operators.dedup import first_of, keep_first, keep_latest
 from weirmark.operators.nested import mean_abs_error
 
 KEYS = ["city", "target_date"]
@@ -35,6 +35,27 @@ def mart(outcomes: DataFrame, prices: DataFrame, forecasts: DataFrame) -> DataFr
     return joined.select(*KEYS, "market_mode_c", "market_mode_prob", "forecast_max_c", F.col("resolved_mid_c").alias("actual_station_c"), "era5_actual_max_c")
 
 
+def mart_in_one_pass(rows: DataFrame, market: Column, forecast: Column, resolved: Column, resolved_order: list[tuple[Column, str]], actual: Column, actual_order: list[tuple[Column, str]]) -> DataFrame:
+    """The mart of one table that holds all four kinds of rows, read once and aggregated once by city and date.
+
+    ``market``, ``forecast``, ``resolved`` and ``actual`` say which rows count
+    as which; a row may be several. ``rows`` has the columns of price rows, and
+    forecast_ts, forecast_max_c, resolved_mid_c and era5_actual_max_c. It gives
+    what ``mart`` gives of the four tables, at a single shuffle of one row per
+    key and task.
+    """
+    mode = [(F.col("hours_to_close"), "asc"), (F.col("yes_price"), "desc"), (F.col("bucket_mid_c"), "asc"), (F.col("bucket_label"), "asc")]
+    latest = [(F.unix_micros("forecast_ts"), "desc"), (F.col("source"), "asc"), (F.col("forecast_max_c"), "asc")]
+    found = rows.groupBy(*KEYS).agg(
+        first_of(mode, {"market_mode_c": F.col("bucket_mid_c"), "market_mode_prob": F.col("yes_price")}, market & (F.col("hours_to_close") >= 0)).alias("mode"),
+        first_of(latest, {"forecast_max_c": F.col("forecast_max_c")}, forecast).alias("latest"),
+        first_of(resolved_order, {"resolved_mid_c": F.col("resolved_mid_c")}, resolved).alias("won"),
+        first_of(actual_order, {"era5_actual_max_c": F.col("era5_actual_max_c")}, actual & F.col("era5_actual_max_c").isNotNull()).alias("actual"),
+    )
+    kept = found.where("won is not null or actual is not null")
+    return kept.select(*KEYS, "mode.market_mode_c", "mode.market_mode_prob", "latest.forecast_max_c", F.col("won.resolved_mid_c").alias("actual_station_c"), "actual.era5_actual_max_c")
+
+
 def city_errors(rows: DataFrame, market: str = "market_mode_c", forecast: str = "forecast_max_c", actual: str = "actual_station_c") -> DataFrame:
     return mean_abs_error(rows.where(F.col(market).isNotNull()), ["city"], {"market_mae_c": (market, actual), "forecast_mae_c": (forecast, actual)})
 

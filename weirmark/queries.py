@@ -274,8 +274,18 @@ def outcome_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = joins.outer_merge(outcomes(spark, sf_dir), actuals(spark, sf_dir), ["city", "target_date"])
-    return mart.mart(merged, ticks(spark, sf_dir), forecasts(spark, sf_dir))
+    """All of it out of one scan of the events."""
+    kind, k = F.col("event_type"), F.col("k")
+    rows_ = ticks(spark, sf_dir).withColumns({
+        "forecast_ts": F.when(F.col("source") == "live", F.col("snapshot_ts")).cast("timestamp"),
+        "forecast_max_c": S.to_celsius(F.col("value"), F.col("native_unit")),
+        "resolved_mid_c": F.col("bucket_mid_c"),
+        "era5_actual_max_c": F.when(k >= 20, F.col("value")),
+    })
+    return mart.mart_in_one_pass(
+        rows_, F.lit(True), kind == "signup", (kind == "purchase") & (k < 10), [(F.col("bucket_label"), "asc"), (F.col("event_id"), "asc")],
+        kind == "error", [(dedup.rank_of(F.col("source"), ["live", "backfill"]), "asc"), (F.col("snapshot_ts"), "asc"), (F.col("event_id"), "asc")],
+    )
 
 
 MART = """
