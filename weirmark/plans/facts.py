@@ -6,8 +6,11 @@ reason; the functions without ``split`` in their name give the good rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirmark.functions import scalars as S
 from weirmark.operators.dedup import first_non_null, keep_first, priority_dedup
@@ -15,6 +18,7 @@ from weirmark.operators.joins import lookup_unit, outer_merge
 from weirmark.operators.rows import keep_filled, keep_kinds, tagged, unnest, zip_daily
 from weirmark.sources import schemas
 from weirmark.sources.readers import split_quarantine, unequal_lengths
+from weirmark.sources.versions import Store
 
 KEYS = ["city", "target_date"]
 PRICE_KEY = [*KEYS, "bucket_label"]
@@ -178,17 +182,34 @@ def rebuild(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Non
 
 
 def rebuild_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Replaces the tables as a whole, each a folder under ``folder``; returns them as they are stored."""
-    spark = next(iter(tables.values())).sparkSession
+    """Replaces all the tables at once; returns them as they are stored.
+
+    Each is written to a folder of its own, and one manifest then names them
+    all. Until that, readers have the tables as they were, also while they
+    read; if a write fails, nothing has changed. The state before stays until
+    ``Store.forget``.
+    """
+    store = Store(next(iter(tables.values())).sparkSession, folder)
+    number, _ = store.current()
+    made = {name: store.new_folder(name) for name in tables}
     for name, df in tables.items():
-        rebuild(df, f"{folder}/{name}")
-    return {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in tables.items()}
+        df.write.parquet(f"{folder}/{made[name]}")
+    store.commit(number, {name: {"folder": made[name], "schema": tables[name].schema.json()} for name in tables})
+    return stored_tables(store.spark, folder)
 
 
-def save_tables(tables: dict[str, DataFrame], database: str = "default") -> None:
-    """The same into catalog tables: dropped and created anew, whatever was there."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+def stored_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last rebuild that was committed; none before the first."""
+    _, manifest = Store(spark, folder).current()
+    return {name: spark.read.schema(T.StructType.fromJson(json.loads(x["schema"]))).parquet(f"{folder}/{x['folder']}") for name, x in manifest.items()}
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str, database: str = "default") -> None:
+    """The same under names of the catalog: views over the folders, each replaced after all tables are stored."""
+    for name, df in rebuild_tables(tables, folder).items():
+        spark = df.sparkSession
+        path = df.inputFiles()[0].rpartition("/")[0]
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT * FROM parquet.`{path}`")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

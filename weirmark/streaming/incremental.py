@@ -25,8 +25,8 @@ def refresh_touched(batch: DataFrame, all_rows: DataFrame, path: str, build: Cal
 
 
 def land(rows: DataFrame, raw_path: str, partition: str = "target_date") -> None:
-    """Appends raw rows, a folder per date."""
-    rows.repartition(partition).write.mode("append").partitionBy(partition).parquet(raw_path)
+    """Appends raw rows, a folder per date; AQE splits a date that is large."""
+    rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(raw_path)
 
 
 def maintain(stream: DataFrame, raw_path: str, path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] = hourly_prices) -> StreamingQuery:
