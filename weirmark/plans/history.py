@@ -74,6 +74,28 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.repartition("city").write.mode("overwrite").partitionBy("city").json(path)
 
 
+def write_market_documents(records: DataFrame, cities: DataFrame, start: datetime.date, end: datetime.date, path: str) -> None:
+    """The documents of ``history_documents`` out of ``market_records``, replaced as a whole, one folder and file per city, of any size.
+
+    A document is written market by market as they come in order, so no row
+    and no task holds more of it than a market. One task writes a city's file;
+    readers need not read it by one (``readers.read_large_history``).
+    """
+    order = F.struct("date", "slug")
+    sizes = records.groupBy("city").agg(F.count("*").alias("market_count"), F.min(order).alias("first"))
+    window = F.array(F.lit(start.isoformat()), F.lit(end.isoformat()))
+    heads = cities.select(F.col("name").alias("city"), "station").join(sizes, "city", "left").select("city", F.struct("city", "station", window.alias("window"), F.coalesce("market_count", F.lit(0)).alias("market_count")).alias("head"))
+    kept = {"ignoreNullFields": "false"}
+    blank = F.lit("")
+    begin = heads.select("city", F.lit(0).alias("part"), blank.alias("date"), blank.alias("slug"), F.regexp_replace(F.to_json("head", kept), r"\}$", ',"markets":[').alias("line"))
+    market = F.to_json(F.struct(*(c for c in records.columns if c != "city")), kept)
+    comma = F.when(order == F.col("first"), "").otherwise(",")
+    middle = records.join(sizes.select("city", "first"), "city").select("city", F.lit(1).alias("part"), "date", "slug", F.concat(comma, market).alias("line"))
+    ends = heads.select("city", F.lit(2).alias("part"), blank.alias("date"), blank.alias("slug"), F.lit("]}").alias("line"))
+    lines = begin.unionByName(middle).unionByName(ends).repartition("city").sortWithinPartitions("city", "part", "date", "slug")
+    lines.select("city", "line").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("city").text(path)
+
+
 def snapshot_counts(snapshots: DataFrame) -> DataFrame:
     """(city, n_events, n_markets) of all market snapshots."""
     return snapshots.groupBy(F.col("_meta.city").alias("city")).agg(F.sum(total_size(F.col("gamma_events"))).alias("n_events"), F.sum(total_size(F.col("gamma_events"), "markets")).alias("n_markets"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirmark.sources import schemas
+from weirmark.sources import documents, schemas
 
 CORRUPT = "_corrupt_record"
 #: City dimension; fixed values.
@@ -34,10 +34,15 @@ def read_markets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_market_history(spark: SparkSession, path: str) -> DataFrame:
-    """History documents, one JSON object per file; a file is one task, so convert large ones once."""
+    """History documents, one JSON object per file; a file is one task, so for large ones see ``read_large_history``."""
     return _json(spark, path, schemas.MARKET_HISTORY, True)
 
 
+def read_large_history(spark: SparkSession, path: str) -> DataFrame:
+    """The same, a file dealt over many tasks: a row per market, each with its document's fields."""
+    return documents.read_records(spark, path, schemas.MARKET_HISTORY, "markets")
+
+
 def read_weather_history(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.WEATHER_HISTORY, True)
 
