@@ -10,8 +10,8 @@ from weirmark.functions import scalars as S
 from weirmark.operators import dedup, joins, rows
 from weirmark.plans import discovery, facts, history, mart
 from weirmark.queries import ORACLES, QUERIES
-from weirmark.sources import readers
-from weirmark.streaming import incremental, landing
+from weirmark.sources import readers, versions
+from weirmark.streaming import incremental, landing, merge_on_read
 
 SF = "/root/testdata/sf0.001"
 
@@ -195,12 +195,88 @@ def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     for n in (3, 2):
         made = {"fact_a": spark.range(n), "fact_b": spark.range(2 * n)}
         stored = facts.rebuild_tables(made, str(tmp_path / "tables"))
-        facts.save_tables(made, "weirmark_test")
+        facts.save_tables(made, str(tmp_path / "catalog"), "weirmark_test")
         assert stored["fact_a"].count() == n and spark.table("weirmark_test.fact_b").count() == 2 * n
     assert {r.table: r.n for r in facts.table_counts(stored).collect()} == {"fact_a": 2, "fact_b": 4}
     spark.sql("DROP DATABASE weirmark_test CASCADE")
 
 
+def test_readers_keep_their_state_while_tables_are_rebuilt(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    assert facts.stored_tables(spark, folder) == {}
+    old = facts.rebuild_tables({"a": spark.range(3), "b": spark.range(4)}, folder)
+    broken = {"a": spark.range(7), "b": spark.range(8).where(F.raise_error(F.lit("lost")).isNull())}
+    with pytest.raises(Exception, match="lost"):  # in mid-rebuild: a is written, b is not
+        facts.rebuild_tables(broken, folder)
+    assert {k: x.count() for k, x in facts.stored_tables(spark, folder).items()} == {"a": 3, "b": 4}
+    new = facts.rebuild_tables({"a": spark.range(7), "b": spark.range(8)}, folder)
+    assert (old["a"].count(), new["a"].count(), facts.stored_tables(spark, folder)["b"].count()) == (3, 7, 8)
+    store = versions.Store(spark, folder)
+    with pytest.raises(versions.Conflict):
+        store.commit(1, {})
+    store.forget(1)
+    assert facts.stored_tables(spark, folder)["a"].count() == 7 and len([x for x in os.listdir(folder) if not x.startswith("_")]) == 2
+
+
+PRICES = "city string, bucket_label string, snapshot_ts timestamp, source string, yes_price double, native_unit string, target_date date"
+
+
+def _price(minute, source, price, day=2, city="M"):
+    return (city, "21", dt.datetime(2026, 6, day, 9, minute), source, price, "celsius", dt.date(2026, 6, day))
+
+
+def test_merged_table(spark, tmp_path, monkeypatch):
+    """A small batch rewrites nothing; ranges that it does not touch stay; batches count once; a kill before the commit changes nothing."""
+    frame = lambda rows_: spark.createDataFrame(rows_, PRICES)
+    table = merge_on_read.MergedTable(spark, str(tmp_path / "t"), frame([]).schema, ranges=16)
+    assert table.read().count() == 0 and table.compact() == []
+    batches = [[_price(m, "live", m / 100, d, c) for d in range(1, 9) for c in "ABCDEFGH" for m in (3, 1)], [_price(5, "backfill", 0.9, 2, "A"), _price(7, "backfill", 0.8, 2, "A")], [_price(0, "live", 0.7, 3, "B"), _price(1, "live", None, 3, None)]]
+    full = lambda n: sorted(map(str, facts.hourly_prices(frame([r for b in batches[:n] for r in b])).collect()))
+    seen = lambda t=table: sorted(map(str, t.read().collect()))
+    assert table.upsert(frame(batches[0]), "w", 0) and not table.upsert(frame(batches[0]), "w", 0)
+    assert seen() == full(1)
+    assert len(table.compact()) > 8 and seen() == full(1)
+    base = table.store.current()[1]["base"]
+    before = table.read()
+    table.upsert(frame(batches[1]), "w", 1)
+    assert table.store.current()[1]["base"] == base and seen() == full(2)  # the base is as it was
+    with monkeypatch.context() as m:
+        m.setattr(versions.Store, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        for step in (lambda: table.upsert(frame(batches[2]), "w", 2), table.compact):
+            with pytest.raises(RuntimeError):
+                step()
+    assert seen() == full(2)
+    table.upsert(frame(batches[2]), "w", 2)
+    touched = table.compact()
+    after = table.store.current()[1]["base"]
+    assert 0 < len(touched) <= 3 and {r for r in after if after[r] != base.get(r)} == {str(r) for r in touched}
+    assert seen() == full(3) and sorted(map(str, before.collect())) == full(1)  # an older reader keeps its state
+    assert not table.upsert(frame(batches[1]), "w", 1)
+    table.store.forget(1)
+    assert seen() == full(3)
+
+
+def test_merged_table_by_stream(spark, tmp_path):
+    raw, path = str(tmp_path / "raw"), str(tmp_path / "t")
+    schema = spark.createDataFrame([], PRICES).schema
+    rows_ = [[_price(1, "live", 0.1), _price(2, "live", 0.2, 3)], [_price(5, "backfill", 0.3)], [_price(0, "live", 0.4, 3)]]
+    for batch in rows_:
+        incremental.land(spark.createDataFrame(batch, schema), raw)
+        table = merge_on_read.MergedTable(spark, path, schema)
+        merge_on_read.maintain(spark.readStream.schema(schema).parquet(raw), table, str(tmp_path / "cp"), "prices", compact_at=2).awaitTermination()
+    full = facts.hourly_prices(spark.createDataFrame([r for b in rows_ for r in b], schema))
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, full.collect()))
+
+
+def test_landing_again(spark, tmp_path):
+    made = spark.createDataFrame([(f"2026-06-0{i % 3 + 1}T00:00:00Z" if i else None, f"b{i % 7}") for i in range(9)], "fetched string, body string")
+    wrapped = landing.envelope(made, {"source": F.lit("weather"), "fetched_at_utc": F.col("fetched")}, "body")
+    for part in (wrapped.where("body < 'b3'"), wrapped, wrapped):
+        landing.append_once(part, str(tmp_path / "zone"))
+    found = spark.read.parquet(str(tmp_path / "zone"))
+    assert sorted((str(r._meta.fetched_at_utc), r.body) for r in found.collect()) == sorted({(str(r._meta.fetched_at_utc), r.body) for r in wrapped.collect()})
+
+
 def test_clashing_names_and_whole_records(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 3, "z")], "slug string, place int, fresh string")
     detail = spark.createDataFrame([("a", None, "new")], "slug string, place int, fresh string")

@@ -11,11 +11,6 @@ def last_winner(df: DataFrame, keys: list[str | Column], title: str, won: Column
     return df.groupBy(*keys).agg(F.max_by(F.col(title), F.when(won, F.col(position))).alias(out))
 
 
-def collect_sorted(df: DataFrame, keys: list[str | Column], fields: list[str | Column], out: str) -> DataFrame:
-    """Array of structs per key, in the order of the fields. A key's rows must fit a row of the result."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
-
-
 def pivot_parts(df: DataFrame, keys: list[str], name: str, value: str, parts: list[str], pick=F.first) -> DataFrame:
     """One column per listed part; an absent part is null. Listing them saves a distinct job."""
     return df.groupBy(*keys).pivot(name, parts).agg(pick(value))

@@ -62,6 +62,41 @@ def quote_maps(quoted: DataFrame, keys: list[str]) -> DataFrame:
     return map_by_key(quoted, keys, "token_id", F.struct(*QUOTE_PARTS), "clob_quotes")
 
 
+def _field(column: str, path: str, kind: str) -> Column:
+    return F.try_variant_get(column, path, kind)
+
+
+def _elements(df: DataFrame, variant: str, keep: list[str], name: str) -> DataFrame:
+    """(position, name) of the elements of a variant that is an array; any other gives no row."""
+    rows = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
+    return rows.where("key is null").select(*keep, F.col("pos").alias("position"), F.col("value").alias(name))
+
+
+def verbatim_snapshots(results: DataFrame, responses: DataFrame, parts: DataFrame, origin: dict[str, Column], only_open: bool = False) -> DataFrame:
+    """What ``market_snapshots`` gives, of bodies as they came and with every field of theirs, declared or not.
+
+    ``results`` is (city, fetched_at_utc, body) and ``responses`` (slug, body),
+    the bodies being variants: a list of events, and a list of which the first
+    counts or an event itself. ``gamma_events`` is an array of variants.
+    ``origin`` adds fields to ``_meta``.
+    """
+    found = _elements(results, "body", [*SNAPSHOT], "event").withColumns({x: _field("event", f"$.{x}", kind) for x, kind in (("slug", "string"), ("title", "string"), ("closed", "boolean"))})
+    found = matching(found, F.col("title"), F.concat(F.lit("temperature in "), F.col("city")))
+    found = keep_first(keep_open(found) if only_open else found, [*SNAPSHOT, "slug"], [F.col("position")])
+    listed = F.schema_of_variant("body").startswith("ARRAY")
+    fresh = responses.select("slug", F.when(listed, _field("body", "$[0]", "variant")).otherwise(F.col("body")).alias("fresh")).where(F.schema_of_variant("fresh").startswith("OBJECT"))
+    events = found.join(fresh, "slug", "left").select(*SNAPSHOT, "position", F.coalesce("fresh", "event").alias("event"))
+    markets = _elements(events.select(*SNAPSHOT, _field("event", "$.markets", "variant").alias("markets")), "markets", [*SNAPSHOT], "market")
+    tokens = markets.select(*SNAPSHOT, S.first_token(_field("market", "$.clobTokenIds", "string")).alias("token_id")).where("token_id is not null").dropDuplicates([*SNAPSHOT, "token_id"])
+    quoted = quote_maps(attach_quotes(tokens, quotes(parts)), SNAPSHOT)
+    # Variants have no order, so they are sorted as texts, by their position.
+    texts = events.groupBy(*SNAPSHOT).agg(F.array_sort(F.collect_list(F.struct("position", F.to_json("event").alias("text")))).alias("e"))
+    joined = texts.join(quoted, SNAPSHOT, "left")
+    meta = F.struct(F.lit("markets").alias("source"), *SNAPSHOT, *(c.alias(n) for n, c in origin.items()), F.size("e").cast("long").alias("event_count"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{schemas.QUOTE}>"))
+    return joined.select(meta.alias("_meta"), F.transform("e.text", F.parse_json).alias("gamma_events"), F.coalesce("clob_quotes", none).alias("clob_quotes"))
+
+
 def market_snapshots(results: DataFrame, responses: DataFrame, parts: DataFrame, only_open: bool = False) -> DataFrame:
     """(_meta, gamma_events, clob_quotes): one record per city and fetch that found an event.
 

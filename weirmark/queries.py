@@ -13,13 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirmark.functions import scalars as S
 from weirmark.operators import dedup, joins, nested, rows
 from weirmark.plans import discovery, facts, history, mart
 from weirmark.sources import readers, schemas
 from weirmark.sources.scratch import scratch_folder
-from weirmark.streaming import incremental, landing
+from weirmark.streaming import incremental, landing, merge_on_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -869,19 +870,89 @@ def incremental_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("city").cast("long").alias("city"), "target_date", "bucket_label", "snapshot_ts", "source", "yes_price")
 
 
-# Discovery and history as a whole ----------------------------------------------
+QUERIES["merged_prices"], ORACLES["merged_prices"] = (lambda spark, sf_dir: merged_prices(spark, sf_dir)), ORACLES["incremental_prices"]
+
+
+def merged_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as base and deltas: live rows are added and compacted, backfill comes as a second delta, merged on reading."""
+    rows_ = ticks(spark, sf_dir).select(F.col("city").cast("string").alias("city"), "bucket_label", F.col("snapshot_ts").cast("timestamp").alias("snapshot_ts"), "source", "yes_price", "native_unit", "target_date")
+    table = merge_on_read.MergedTable(spark, scratch_folder(spark, "merged"), rows_.schema, ranges=8)
+    for source in ("live", "backfill"):
+        table.compact()
+        table.upsert(rows_.where(F.col("source") == source), source, 0)
+    return table.read().select(F.col("city").cast("long").alias("city"), "target_date", "bucket_label", "snapshot_ts", "source", "yes_price")
+
+
+@query("SELECT 'events-' || event_type AS source, CAST(ts AS DATE) AS ingest_date, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def landing_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases land first, then all records, and all of them once more: each is there once."""
+    path, records = scratch_folder(spark, "zone"), _landing_records(spark, sf_dir)
+    for part in (records.where("_meta.source = 'events-purchase'"), records, records):
+        landing.append_once(part, path)
+    return _landed(spark, path)
 
 
 @query("""
-    WITH c AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'Munich' WHEN 1 THEN 'London' WHEN 2 THEN 'NYC' ELSE 'Tokyo' END AS city, c_mktsegment AS seg, c_acctbal AS bal FROM customer)
-    SELECT city, 'f' || c_custkey AS fetched_at_utc, CAST(2 AS BIGINT) AS event_count,
-           'a=' || 'Highest temperature in ' || city || ' today?' || ';d=' || CASE WHEN seg = 'BUILDING' THEN '-' WHEN seg = 'MACHINERY' THEN 'lone' ELSE 'temperature in ' || lower(city) END AS events,
-           't' || c_custkey || 'a:' || CAST(bal AS VARCHAR) || '/-/-' ||
-           CASE WHEN seg = 'BUILDING' THEN ';u' || c_custkey || ':1.5/' || CAST(bal AS VARCHAR) || '/2.5' WHEN seg = 'MACHINERY' THEN '' ELSE ';t' || c_custkey || 'd:-/-/-' END AS quotes
-    FROM c
+    SELECT n_name AS city, count(*) AS n, round(sum(l_discount), 4) AS total, count(DISTINCT o_orderkey) AS markets
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
 """)
-def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results of each customer, details of some segments, quotes: discovered, completed, quoted and wrapped."""
+def large_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as cities with a market for each order: one large document each, written market by market and read by many tasks."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(S.epoch_seconds(F.col("l_shipdate")).alias("t"), F.col("l_discount").alias("p")).alias("point"))
+    paths = lines.groupBy("l_orderkey").agg(F.collect_list("point").alias("history"))  # a few lines of an order
+    named = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("city"))
+    orders = _read(spark, sf_dir, "orders").join(paths, F.col("o_orderkey") == F.col("l_orderkey")).join(named, F.col("o_custkey") == F.col("c_custkey"))
+    none = F.lit(None).cast("string")
+    bucket = F.struct(F.lit('20°C {"or"} below').alias("bucket"), none.alias("yes_token"), F.lit(False).alias("resolved_yes"), "history")
+    records = orders.select("city", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderkey").cast("string").alias("slug"), F.col("o_orderpriority").alias("title"), none.alias("endDate"), none.alias("conditionId"), none.alias("temperature_unit"), none.alias("resolved_bucket"), F.array(bucket).alias("buckets"))
+    path, cities = scratch_folder(spark, "large-history"), _read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("").alias("station"), none.alias("temperature_unit"))
+    history.write_market_documents(records, cities, HISTORY_START, HISTORY_END, path)
+    found = readers.read_large_history(spark, path).select("city", "market_count", F.explode("markets").alias("m"))
+    points = found.select("city", "m.slug", F.explode("m.buckets").alias("b")).select("city", "slug", F.explode("b.history").alias("h"))
+    return points.groupBy("city").agg(F.count("*").alias("n"), F.round(F.sum("h.p"), 4).alias("total"), F.countDistinct("slug").alias("markets"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as event bodies; closed ones have a fee, urgent ones a spread in their market, which nobody declared."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    market = F.struct(F.col("o_orderpriority").alias("groupItemTitle"), F.when(urgent, F.col("o_custkey")).alias("spread"))
+    title = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("7")).otherwise(F.lit('"order "'))
+    body = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("slug"), F.array(market).alias("markets"), F.when(F.col("o_orderstatus") == "F", F.struct(F.struct(F.col("o_custkey").alias("fee")).alias("costs"))).alias("extra")))
+    body = F.concat(F.lit('{"title":'), title, F.lit(","), F.substr(body, F.lit(2)))
+    orders = _read(spark, sf_dir, "orders").withColumn("payload", body)
+    meta = {"source": F.concat(F.lit("orders-"), F.col("o_orderstatus")), "fetched_at_utc": F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-01-01T00:00:00Z")), "key": F.col("o_orderkey")}
+    path = scratch_folder(spark, "verbatim")
+    landing.append_batch(landing.verbatim(orders, meta, "payload"), path)
+    return spark.read.parquet(path)
+
+
+@query("""
+    SELECT o_orderkey AS key, CASE WHEN o_orderpriority = '5-LOW' THEN '7' ELSE 'order ' END AS title, CAST(o_orderkey AS VARCHAR) AS slug,
+           CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS fee, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS spread FROM orders
+""")
+def verbatim_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies landed as they are: what no schema names is read back, too."""
+    kept = _bodies(spark, sf_dir)
+    field = lambda path, kind: F.try_variant_get("body", path, kind)
+    return kept.select("_meta.key", field("$.title", "string").alias("title"), field("$.slug", "string").alias("slug"), field("$.extra.costs.fee", "bigint").alias("fee"), field("$.markets[0].spread", "bigint").alias("spread"))
+
+
+@query("""
+    WITH o AS (SELECT 'orders-' || o_orderstatus AS source, CAST(date_trunc('year', o_orderdate) AS DATE) AS ingest_date, * FROM orders)
+    SELECT DISTINCT source, ingest_date, '$.extra' AS path, 'OBJECT' AS kind, 'undeclared' AS problem FROM o WHERE o_orderstatus = 'F'
+    UNION SELECT source, ingest_date, '$.markets[*].spread', 'BIGINT', 'undeclared' FROM o WHERE o_orderpriority = '1-URGENT'
+    UNION SELECT source, ingest_date, '$.title', CASE WHEN bool_and(o_orderpriority = '5-LOW') THEN 'BIGINT' ELSE 'VARIANT' END, 'other type' FROM o GROUP BY 1, 2 HAVING bool_or(o_orderpriority = '5-LOW')
+""")
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a source's bodies of a day hold beyond, or unlike, the declared event."""
+    return landing.drift(_bodies(spark, sf_dir), T.DataType.fromDDL(schemas.EVENT))
+
+
+# Discovery and history as a whole ----------------------------------------------
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Search results of each customer, details of some segments, and quotes; the customers themselves."""
     customers = _read(spark, sf_dir, "customer").withColumn("city", F.get(F.array(*map(F.lit, CITY_NAMES)), F.pmod("c_nationkey", F.lit(4)).cast("int")))
     key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
     market = "struct<id:string,groupItemTitle:string,startDate:string,endDate:string,outcomePrices:string,outcomes:string,clobTokenIds:string>"
@@ -907,12 +978,52 @@ def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda t, name, value: F.struct(t.alias("token_id"), F.lit(name).alias("key"), value.alias("value"))
     balance, new = F.col("c_acctbal").cast("string"), F.concat(F.lit("u"), key)
     parts = customers.select(F.inline(F.array(part(F.concat(F.lit("t"), key, F.lit("a")), "midpoint", balance), part(new, "midpoint", F.lit("1.5")), part(new, "price_buy", balance), part(new, "price_sell", F.lit("2.5")))))
+    return customers, results, responses, parts
+
+
+@query("""
+    WITH c AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'Munich' WHEN 1 THEN 'London' WHEN 2 THEN 'NYC' ELSE 'Tokyo' END AS city, c_mktsegment AS seg, c_acctbal AS bal FROM customer)
+    SELECT city, 'f' || c_custkey AS fetched_at_utc, CAST(2 AS BIGINT) AS event_count,
+           'a=' || 'Highest temperature in ' || city || ' today?' || ';d=' || CASE WHEN seg = 'BUILDING' THEN '-' WHEN seg = 'MACHINERY' THEN 'lone' ELSE 'temperature in ' || lower(city) END AS events,
+           't' || c_custkey || 'a:' || CAST(bal AS VARCHAR) || '/-/-' ||
+           CASE WHEN seg = 'BUILDING' THEN ';u' || c_custkey || ':1.5/' || CAST(bal AS VARCHAR) || '/2.5' WHEN seg = 'MACHINERY' THEN '' ELSE ';t' || c_custkey || 'd:-/-/-' END AS quotes
+    FROM c
+""")
+def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results of each customer, details of some segments, quotes: discovered, completed, quoted and wrapped."""
+    _, results, responses, parts = _searches(spark, sf_dir)
     made = discovery.market_snapshots(results, responses, parts)
     named = F.array_join(F.transform("gamma_events", lambda e: F.concat(F.right(e["slug"], F.lit(1)), F.lit("="), F.coalesce(e["title"], F.lit("-")))), ";")
     quoted = F.transform(F.array_sort(F.map_entries("clob_quotes")), lambda q: F.concat(q["key"], F.lit(":"), F.concat_ws("/", *(F.coalesce(q["value"][x], F.lit("-")) for x in discovery.QUOTE_PARTS))))
     return made.select("_meta.city", "_meta.fetched_at_utc", "_meta.event_count", named.alias("events"), F.array_join(quoted, ";").alias("quotes"))
 
 
+@query("""
+    WITH c AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'Munich' WHEN 1 THEN 'London' WHEN 2 THEN 'NYC' ELSE 'Tokyo' END AS city, c_mktsegment AS seg, c_acctbal AS bal, CAST(c_nationkey AS VARCHAR) AS nation FROM customer)
+    SELECT city, 'f' || c_custkey AS fetched_at_utc, 'public' AS access, CAST(2 AS BIGINT) AS event_count,
+           'a=Highest temperature in ' || city || ' today?;d=' || CASE WHEN seg = 'BUILDING' THEN '-' WHEN seg = 'MACHINERY' THEN 'lone' ELSE 'temperature in ' || lower(city) END AS events,
+           'search ' || nation || ';' || CASE WHEN seg IN ('BUILDING', 'MACHINERY') THEN 'detail ' ELSE 'search ' END || nation AS undeclared,
+           't' || c_custkey || 'a:' || CAST(bal AS VARCHAR) || '/-/-' ||
+           CASE WHEN seg = 'BUILDING' THEN ';u' || c_custkey || ':1.5/' || CAST(bal AS VARCHAR) || '/2.5' WHEN seg = 'MACHINERY' THEN '' ELSE ';t' || c_custkey || 'd:-/-/-' END AS quotes
+    FROM c
+""")
+def verbatim_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of verbatim bodies, each event with a field that nobody declared, and with where the data came from."""
+    customers, results, responses, parts = _searches(spark, sf_dir)
+    nation = F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("fetched_at_utc"), F.col("c_nationkey").cast("string").alias("nation")
+    noted = lambda e, where: F.struct(*(e[f] for f in ("slug", *discovery.EVENT_FIELDS)), F.struct(F.concat(F.lit(where), F.col("nation")).alias("note")).alias("more"))
+    found = results.join(customers.select(*nation), "fetched_at_utc")
+    found = found.select("city", "fetched_at_utc", F.parse_json(F.to_json(F.transform("events", lambda e: noted(e, "search ")))).alias("body"))
+    details = responses.join(customers.select(F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit("d")).alias("slug"), nation[1]), "slug")
+    body = F.coalesce(F.to_json(F.transform("items", lambda e: noted(e, "detail "))), F.to_json(F.when(F.col("single").isNotNull(), noted(F.col("single"), "detail "))))
+    made = discovery.verbatim_snapshots(found, details.select("slug", F.parse_json(body).alias("body")), parts, {"access": F.lit("public"), "gamma_base": F.lit("g"), "clob_base": F.lit("c")})
+    got = lambda e, path: F.coalesce(F.try_variant_get(e, path, "string"), F.lit("-"))
+    named = F.array_join(F.transform("gamma_events", lambda e: F.concat(F.right(got(e, "$.slug"), F.lit(1)), F.lit("="), got(e, "$.title"))), ";")
+    notes = F.array_join(F.transform("gamma_events", lambda e: got(e, "$.more.note")), ";")
+    quoted = F.transform(F.array_sort(F.map_entries("clob_quotes")), lambda q: F.concat(q["key"], F.lit(":"), F.concat_ws("/", *(F.coalesce(q["value"][x], F.lit("-")) for x in discovery.QUOTE_PARTS))))
+    return made.select("_meta.city", "_meta.fetched_at_utc", "_meta.access", "_meta.event_count", named.alias("events"), notes.alias("undeclared"), F.array_join(quoted, ";").alias("quotes"))
+
+
 HISTORY_START, HISTORY_END = datetime.date(1995, 3, 1), datetime.date(1995, 3, 31)
 
 
@@ -963,17 +1074,18 @@ def history_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT user_id AS city, count(*) AS n FROM events WHERE event_type = 'signup' AND value > 40 GROUP BY 1),
-         a AS (SELECT user_id AS city, count(*) AS n FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1)
+    WITH e AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS city, event_type FROM events),
+         f AS (SELECT city, count(*) AS n FROM e WHERE event_type = 'signup' GROUP BY 1),
+         a AS (SELECT city, count(*) AS n FROM e WHERE event_type = 'error' GROUP BY 1)
     SELECT coalesce(f.city, a.city) AS city, f.n AS forecast_days, a.n AS archive_days FROM f FULL OUTER JOIN a ON f.city = a.city
 """)
 def weather_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses of a user's days, counted and joined; a user without either part has none."""
-    events = _read(spark, sf_dir, "events").withColumnRenamed("user_id", "city").where("value > 40")
+    """Signups and errors of a user's day as two responses, counted and joined; many days have one or neither."""
+    events = _read(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("city"), "event_type")
 
     def part(kind: str) -> DataFrame:
         return events.where(F.col("event_type") == kind).groupBy("city").agg(F.count("*").alias("days")).select("city", F.struct("days").alias("response"))
 
-    units = _read(spark, sf_dir, "events").select(F.col("user_id").alias("name")).distinct().withColumns({"station": F.lit(""), "temperature_unit": F.lit("celsius")})
+    units = events.select(F.col("city").alias("name")).distinct().withColumns({"station": F.lit(""), "temperature_unit": F.lit("celsius")})
     docs = history.weather_documents(part("signup"), part("error"), units)
     return docs.select("city", F.col("historical_forecast.days").alias("forecast_days"), F.col("archive_actuals.days").alias("archive_days"))
