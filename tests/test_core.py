@@ -268,6 +268,17 @@ def test_merged_table_by_stream(spark, tmp_path):
     assert sorted(map(str, table.read().collect())) == sorted(map(str, full.collect()))
 
 
+def test_lives_in_bins(spark):
+    """The same rows as by the key alone: bounds at the ends of bins, absent ends, lives that end before they begin, null moments."""
+    points = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate([(k, t) for k in ("a", "b", None) for t in (*range(-8000, 8000, 450), None)])], "token string, t long, bin int")
+    lives = spark.createDataFrame([("a", 0, 3600, 1), ("a", -7200, -3600, 2), ("a", None, 10, 3), ("b", 10, None, 4), ("b", 9000, 100, 5), ("b", 4000, 3000, 6), (None, 0, 1, 7)], "token string, opened long, ended long, life int")
+    args = ("token", "t", "opened", "ended")
+    want = joins.within_life(points, lives, *args)
+    for hours in (1, 3, 1000):
+        got = joins.within_life_in_bins(points, lives, *args, width=dt.timedelta(hours=hours))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_landing_again(spark, tmp_path):
     made = spark.createDataFrame([(f"2026-06-0{i % 3 + 1}T00:00:00Z" if i else None, f"b{i % 7}") for i in range(9)], "fetched string, body string")
     wrapped = landing.envelope(made, {"source": F.lit("weather"), "fetched_at_utc": F.col("fetched")}, "body")

@@ -49,3 +49,22 @@ def within_life(points: DataFrame, lives: DataFrame, key: str, moment: str, star
     joined = points.join(lives, key)
     inside = F.col(moment).between(F.col(start) - seconds, F.col(end) + seconds)
     return joined.where(F.col(start).isNull() | F.col(end).isNull() | inside)
+
+
+def within_life_in_bins(points: DataFrame, lives: DataFrame, key: str, moment: str, start: str, end: str, slack: datetime.timedelta = datetime.timedelta(hours=1), width: datetime.timedelta = datetime.timedelta(days=7)) -> DataFrame:
+    """The same rows, joined on the key and a bin of time, so that a key with a large share of all points is many groups.
+
+    A life has a row for each bin that it and the slack reach, so ``width``
+    should not be much shorter than a usual life. Lives that lack an end have
+    no bins; they are joined on the key alone.
+    """
+    own, taken = "bin", {c.lower() for c in (*points.columns, *lives.columns)}
+    while own in taken:
+        own += "_"
+    before, size = int(slack.total_seconds()), int(width.total_seconds())
+    bounded = F.col(start).isNotNull() & F.col(end).isNotNull()
+    first, last = F.floor((F.col(start) - before) / size), F.floor((F.col(end) + before) / size)
+    binned = lives.where(bounded & (F.col(start) - before <= F.col(end) + before)).withColumn(own, F.explode(F.sequence(first, last)))
+    joined = points.withColumn(own, F.floor(F.col(moment) / size)).join(binned, [key, own]).drop(own)
+    inside = joined.where(F.col(moment).between(F.col(start) - before, F.col(end) + before))
+    return inside.unionByName(points.join(lives.where(~bounded), key))

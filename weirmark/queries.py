@@ -870,6 +870,33 @@ def incremental_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("city").cast("long").alias("city"), "target_date", "bucket_label", "snapshot_ts", "source", "yes_price")
 
 
+@query("""
+    WITH f AS (SELECT o_orderstatus AS status, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, min(epoch_us(o_orderdate) // 1000000) AS first FROM orders GROUP BY ALL),
+         l AS (SELECT status, month, CASE WHEN month <> DATE '1995-01-01' THEN first END AS opened, first + 864000 AS ended FROM f),
+         p AS (SELECT l_linestatus AS status, epoch_us(l_shipdate) // 1000000 AS t, l_quantity FROM lineitem)
+    SELECT status, month, count(*) AS n, sum(l_quantity) AS quantity FROM p JOIN l USING (status) WHERE opened IS NULL OR t BETWEEN opened - 3600 AND ended + 3600 GROUP BY ALL
+""")
+def hot_life_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys that hold all points between them, each with a life of ten days a month and one without a begin."""
+    began = S.epoch_seconds(F.col("o_orderdate"))
+    lives = _read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.trunc("o_orderdate", "month").alias("month")).agg(F.min(began).alias("first"))
+    lives = lives.select("status", "month", F.when(F.col("month") != F.lit(datetime.date(1995, 1, 1)), F.col("first")).alias("opened"), (F.col("first") + 864000).alias("ended"))
+    points = _read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), S.epoch_seconds(F.col("l_shipdate")).alias("t"), "l_quantity")
+    return joins.within_life_in_bins(points, lives, "status", "t", "opened", "ended").groupBy("status", "month").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query(f"""
+    WITH {TICKS}, r AS (SELECT CASE WHEN hours_to_close < 0 THEN 'after close' WHEN yes_price < 0.02 THEN 'low price' ELSE '' END AS reason FROM ticks)
+    SELECT reason, count(*) AS n, count(*) AS observed FROM r GROUP BY 1
+""")
+def quarantine_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad ticks in one write, counted as they are written and again as they are read."""
+    found = ticks(spark, sf_dir).select("event_id", "hours_to_close", "yes_price")
+    good, bad, seen = readers.write_quarantine(found, {"after close": F.col("hours_to_close") < 0, "low price": F.col("yes_price") < 0.02}, scratch_folder(spark, "quarantine"))
+    both = good.select(F.lit("").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return both.join(spark.createDataFrame([(k, n) for k, n in seen.items()], "reason string, observed long"), "reason")
+
+
 QUERIES["merged_prices"], ORACLES["merged_prices"] = (lambda spark, sf_dir: merged_prices(spark, sf_dir)), ORACLES["incremental_prices"]
 
 
