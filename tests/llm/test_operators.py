@@ -235,6 +235,53 @@ def test_top_k(spark):
         knn_join.top_k(vectors(spark, [(0, [2e7, 1.0], 0, "", ""), (1, [1e300, 1.0], 0, "", "")]), F.col("vec_id") == 0)
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Many small rings in one tile, one large ring in blocks, and several blocks of queries; a query is sent once to each tile."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.3, (1400, 16)), np.tile(rng.normal(0, 0.3, 16), (600, 1))]).round(3)
+    v = np.floor(256 * x).astype(int)
+    for name, value in (("LEAST_ROWS", 100), ("BLOCKS", 20), ("QUERY_LONGS", 16 * 150), ("PIVOT_ROWS", 20), ("ROUTE_CELLS", 5000)):
+        monkeypatch.setattr(knn_join, name, value)
+    sent, keep = [], common.Scratch.__call__
+
+    def kept(self, df, name):
+        found = keep(self, df, name)
+        if name == "routes":
+            sent.extend(found.select("query", "tile", F.size("places")).collect())
+        return found
+
+    monkeypatch.setattr(common.Scratch, "__call__", kept)
+    got = knn_join.top_k(vectors(spark, [(i, r.tolist(), 0, "", "") for i, r in enumerate(x)]), F.col("vec_id") % 5 == 0).collect()
+    want = []
+    for q in range(0, 2000, 5):
+        score = v @ v[q]
+        order = [i for i in np.lexsort((np.arange(2000), -score)) if i != q][:5]
+        want += [(q, n, int(i), int(score[i])) for n, i in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == want
+    assert len({r[:2] for r in sent}) == len(sent)
+    assert max(r[2] for r in sent) > 1
+    assert len({r[1] for r in sent}) < 45
+
+
+def test_routes_in_slices(monkeypatch):
+    """However few queries are routed at a time, the routes are the same."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-200, 200, (60, 4))
+    pivots = knn_join.Pivots(v[:20].tolist(), {4: 20})
+    found = [{"cell": c, "ring": g, "n": int(rng.integers(1, 40)), "outer": float(rng.uniform(10, 90)), "norm": 400.0} for c in range(20) for g in range(3)]
+    rings = {4: knn_join.Rings(found, 0, 0, 50)}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(60)), pa.array(np.arange(60)), pa.array(v.tolist())], names=["rid", "vec_id", "v"])
+    made = []
+    for cells in (1 << 20, 120, 1):
+        monkeypatch.setattr(knn_join, "ROUTE_CELLS", cells)
+        made.append(pa.Table.from_batches(knn_join._routes(pivots, rings, 5)(iter([batch]))).to_pylist())
+    assert made[0] == made[1] == made[2]
+    per_tile = defaultdict(int)
+    for f, t in zip(found, rings[4].tile.tolist(), strict=True):
+        per_tile[t] += f["n"]
+    assert max(per_tile.values()) <= 50
+
+
 def test_tokens_and_bpe(spark, tmp_path):
     import tiktoken
     from tokenizers import Tokenizer
