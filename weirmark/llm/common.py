@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,11 @@ class Scratch:
         self.made.append(materialise(df, name))
         return self.made[-1]
 
+    def own(self, df: DataFrame) -> DataFrame:
+        """``df``, a materialised table that another function has made, goes with the others."""
+        self.made.append(df)
+        return df
+
     def by(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """Written as a table bucketed by ``key`` in the shared folder, so that joins on it need no shuffle."""
         spark = df.sparkSession
@@ -109,6 +117,32 @@ class Scratch:
         return found
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches that are sorted by ``keys``.
+
+    A table has ``rows`` rows, or up to a batch and a group more, so what a
+    task holds depends on its largest group and not on its partition.
+    """
+    held, n, start, last = [], 0, 0, None  # start: the row of those held where the last group begins
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        same = int(np.logical_and.reduce([c == c[-1] for c in columns]).sum())
+        end = tuple(c[-1] for c in columns)
+        if same < batch.num_rows or end != last:
+            start = n + batch.num_rows - same
+        last = end
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows and start:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, start)
+            held, n, start = table.slice(start).to_batches(), n - start, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _shipped: set[str] = set()
 
 

@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
 
     ``root`` is the smallest node of the component. Every round is written to
     the shared folder, so no round depends on the one before it, which is then
-    deleted.
+    deleted. The result reads what the last round has written and can be
+    released.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(ordered, "links")
@@ -44,4 +45,6 @@ def components(links: DataFrame) -> DataFrame:
         stars = after.groupBy("u").count().where("count > 1").limit(1).count() == 0 and after.join(roots.withColumnRenamed("v", "u"), "u", "left_semi").limit(1).count() == 0
         now = after
         if stars:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found.__dict__["scratch"] = now.__dict__.pop("scratch")
+            return found

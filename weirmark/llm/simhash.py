@@ -6,13 +6,15 @@ Equal fingerprints are collapsed first. The 64 bits are cut into
 them. For each block there is one binary trie whose paths begin with that
 block, and the subtries below a whole block's path are dealt over the tasks;
 the error budget inside the block's path is zero in that trie, which loses
-nothing because the other tries cover the rest. In a task, all subtries are
+nothing because the other tries cover the rest. In a task, subtries are
 walked together, node pair by node pair: differing bits add up on the way down
 and a pair is pruned when they exceed the budget.
 
 A subtrie that holds very many fingerprints is dealt as pairs of random tiles,
-so no task gets more than two tiles of it. Tasks return a spanning forest of
-the links they find, at most one edge per fingerprint, never the links.
+so no task gets more than two tiles of it. A partition is sorted by subtrie and
+walked some whole subtries at a time, so a task holds two tiles and ``ROWS``
+rows at most, however large its partition. Tasks return spanning forests of the
+links they find, at most one edge per row, never the links.
 """
 
 from __future__ import annotations
@@ -20,20 +22,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import keyed, materialise, unused
+from weirmark.llm.common import Scratch, keyed, materialise, unused, whole_groups
 from weirmark.llm.components import components
 
 #: Seed of the shingle hash, also the fixed seed of Spark's own xxhash64.
 SEED = 42
-#: At most this share of the distinct fingerprints in one tile; so at most 2,000 subtries per trie are split.
+#: Fingerprints of a tile: this share of all, so that at most 2,000 subtries per trie are split, within these limits.
 TILE_SHARE = 1 / 2000
-TILE_LEAST = 1024
+TILE_LEAST, TILE_MOST = 1024, 1 << 17
+#: Rows of whole subtries that a task walks together.
+ROWS = 1 << 18
 PAIR_CHUNK = 1 << 21
 
 
@@ -68,8 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long")
 
 
-def block_widths(blocks: int) -> list[int]:
-    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+def block_widths(blocks: int, bits: int = 64) -> list[int]:
+    return [bits // blocks + (i < bits % blocks) for i in range(blocks)]
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -128,53 +131,54 @@ def _hang(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def _subtries(blocks: int, budget: int):
-    """Walk all subtries of a sorted partition; yields (fp, root fp) of their forests."""
+DEALT = ("block", "path", "tile_a", "tile_b")
+
+
+def _subtries(blocks: int, budget: int, most: int):
+    """Walk the subtries of a sorted partition, ``most`` rows of whole ones at a time; yields (fp, root fp) of their forests."""
     widths = block_widths(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.to_pandas() for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pd.concat(got)
-        fps = rows["fp"].to_numpy().view(np.uint64)
-        task = rows[["block", "path", "tile_a", "tile_b"]].to_numpy()
-        block = task[:, 0]
-        rest = np.empty_like(fps)
-        for b in range(blocks):  # rotate: the block's path first, the other bits in order after it
-            own, low = block == b, sum(widths[:b])
-            below = fps[own] & np.uint64((1 << low) - 1)
-            above = fps[own] >> np.uint64(low + widths[b]) if low + widths[b] < 64 else np.zeros(int(own.sum()), np.uint64)
-            rest[own] = below | (above << np.uint64(low))
-        order = np.lexsort((rest, *task.T[::-1]))
-        fps, rest, task = fps[order], rest[order], task[order]
-        new = np.concatenate(([True], (task[1:] != task[:-1]).any(axis=1)))
-        starts = np.flatnonzero(new)
-        stops = np.append(starts[1:], len(fps))
-        parent = np.arange(len(fps))
-        for i, j in trie_pairs(rest, starts, stops, 64 - min(widths), budget):
-            _hang(parent, i, j)
-        hung = np.flatnonzero(parent != np.arange(len(fps)))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[hung].view(np.int64)), pa.array(fps[parent[hung]].view(np.int64))], names=["fp", "root"])
+        for rows in whole_groups(batches, DEALT, most):
+            fps = rows.column("fp").to_numpy().view(np.uint64)
+            task = np.stack([rows.column(c).to_numpy() for c in DEALT], axis=1)
+            block = task[:, 0]
+            rest = np.empty_like(fps)
+            for b in range(blocks):  # rotate: the block's path first, the other bits in order after it
+                own, low = block == b, sum(widths[:b])
+                below = fps[own] & np.uint64((1 << low) - 1)
+                above = fps[own] >> np.uint64(low + widths[b]) if low + widths[b] < 64 else np.zeros(int(own.sum()), np.uint64)
+                rest[own] = below | (above << np.uint64(low))
+            new = np.concatenate(([True], (task[1:] != task[:-1]).any(axis=1)))
+            starts = np.flatnonzero(new)
+            order = np.lexsort((rest, np.cumsum(new)))
+            fps, rest = fps[order], rest[order]
+            parent = np.arange(len(fps))
+            for i, j in trie_pairs(rest, starts, np.append(starts[1:], len(fps)), 64 - min(widths), budget):
+                _hang(parent, i, j)
+            hung = np.flatnonzero(parent != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[hung].view(np.int64)), pa.array(fps[parent[hung]].view(np.int64))], names=["fp", "root"])
 
     return run
 
 
 def near_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(fp, root): a forest whose trees are linked by the pairs of ``distinct`` (fp) within ``max_bits`` bits."""
+    """(fp, root): a forest whose trees are linked by the pairs of ``distinct`` (fp) within ``max_bits`` bits; written to the shared folder."""
     blocks = max_bits + 1
     widths = block_widths(blocks)
     total = distinct.count()
-    tile = max(TILE_LEAST, int(total * TILE_SHARE))
+    tile = min(max(TILE_LEAST, int(total * TILE_SHARE)), TILE_MOST)
     paths = [F.shiftrightunsigned("fp", sum(widths[:b])).bitwiseAND(F.lit((1 << w) - 1)) for b, w in enumerate(widths)]
     tried = distinct.select("fp", F.posexplode(F.array(*paths)).alias("block", "path"))
-    # At most total * blocks / tile rows, so 2,000 * blocks whatever the input: safe to broadcast.
     large = tried.groupBy("block", "path").count().where(F.col("count") > tile).withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count")
-    tiled = tried.join(F.broadcast(large), ["block", "path"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = tiled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("fp", "block", "path", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"))
-    return dealt.repartition("block", "path", "tile_a", "tile_b").mapInArrow(_subtries(blocks, max_bits), "fp long, root long")
+    with Scratch() as made:
+        # Written, so that Spark knows its size when it chooses whether to broadcast it: a row for each tile of a trie at most.
+        tiled = tried.join(made(large, "large"), ["block", "path"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        dealt = tiled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.select("fp", "block", "path", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"))
+        whole = dealt.repartition(*DEALT).sortWithinPartitions(*DEALT)
+        return materialise(whole.mapInArrow(_subtries(blocks, max_bits, ROWS), "fp long, root long"), "forest")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -189,13 +193,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows share fingerprint and component; an empty table gives an
     empty result; other columns are ignored.
     """
-    printed = materialise(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    distinct = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    forest = components(near_links(distinct.select("fp"), max_bits).select(F.col("fp").alias("u"), F.col("root").alias("v")))
-    rooted = distinct.join(forest, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return printed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with Scratch() as made:
+        printed = made(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
+        distinct = made(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        links = made.own(near_links(distinct.select("fp"), max_bits))
+        forest = made.own(components(links.select(F.col("fp").alias("u"), F.col("root").alias("v"))))
+        rooted = distinct.join(forest, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = made(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+        found = printed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return materialise(found, "classified")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, max_bits: int = 2) -> DataFrame:

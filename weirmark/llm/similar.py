@@ -8,8 +8,12 @@ binary tries: two texts meet where a word of theirs differs in at most
 eight words with probability 0.91, one of 0.85 with 0.98. Pairs that meet are
 kept if the whole sketches differ in at most ``SKETCH_BUDGET`` bits.
 
-As in ``simhash``, each trie is dealt by one whole block of its word, large
-subtries as pairs of tiles, and tasks return forests, never pairs. The trees
+As in ``simhash``, each trie is dealt by whole blocks of its word, large
+subtries as pairs of tiles, and tasks, which walk some whole subtries at a
+time, return forests, never pairs. Few texts are dealt by one block of four; of
+more, paths of 8 bits would hold too many, and they are dealt by two blocks of
+five or three of six, in more tries with longer paths. Words within the budget
+agree in as many blocks each time, so the same texts meet. The trees
 joined are groups of texts that may be similar; whether they are is decided by
 the shingles themselves. A group of few texts is compared pair by pair. Of one
 of more, every text is compared with the smallest key; if its texts are then
@@ -22,27 +26,31 @@ Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import keyed, materialise, release, unused
+from weirmark.llm.common import Scratch, keyed, materialise, unused, whole_groups
 from weirmark.llm.components import components
-from weirmark.llm.simhash import SEED, _hang, keep_smallest, trie_pairs
+from weirmark.llm.simhash import SEED, _hang, block_widths, keep_smallest, trie_pairs
 
-#: Words of a sketch, the bits of one, and the blocks of a word: one more than its budget, so that near words agree in one.
+#: Words of a sketch, the bits of one, and the differing bits at which two words are near.
 WORDS, WORD_BITS, WORD_BUDGET = 8, 32, 3
-BLOCKS, BLOCK_BITS = WORD_BUDGET + 1, WORD_BITS // (WORD_BUDGET + 1)
+#: The blocks that a word is cut into and how many make a path; near words agree in that many, whichever bits differ.
+DEALINGS = tuple((WORD_BUDGET + agreed, agreed) for agreed in (1, 2, 3))
 #: Differing bits of the whole sketch up to which a pair is looked at: the mean at similarity 0.8 and two deviations and a half.
 SKETCH_BUDGET = 53
 #: Texts of a group up to which all their pairs become rows.
 SMALL = 32
 #: A tile has at most twice an even share of a subtrie, within these limits.
-TILE_LEAST, TILE_MOST = 16_384, 1 << 20
+TILE_LEAST, TILE_MOST = 16_384, 1 << 18
+#: Rows of whole subtries that a task walks together.
+ROWS = 1 << 18
 #: Texts of a group in one tile.
 GROUP_TILE = 1024
 #: Pairs, and pairs of nodes, that are looked at together. Near the root hardly a pair of nodes is pruned, so that their chunks are what a task holds.
@@ -93,23 +101,39 @@ def _sets(words: int):
     return run
 
 
-def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk all subtries of a partition; yields (u, v), a forest of the texts that meet."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
+DEALT = ("trie", "path", "tile_a", "tile_b")
+
+
+def _subtries(blocks: int, agreed: int, most: int):
+    """Walk the subtries of a sorted partition, ``most`` rows of whole ones at a time; yields (u, v), forests of the texts that meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, DEALT, most):
+            yield _forest(rows, blocks, agreed)
+
+    return run
+
+
+def _forest(rows: pa.Table, blocks: int, agreed: int) -> pa.RecordBatch:
+    """(u, v): a forest of the texts that meet in the subtries of ``rows``."""
     rid = rows.column("rid").to_numpy()
     sketches = np.concatenate([c.flatten().to_numpy() for c in rows.column("sketch").chunks]).view(np.uint64).reshape(len(rid), 4)
-    task = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("trie", "path", "tile_a", "tile_b")], axis=1)
-    word, block = task[:, 0] // BLOCKS, task[:, 0] % BLOCKS
+    task = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in DEALT], axis=1)
+    choices, widths = list(itertools.combinations(range(blocks), agreed)), block_widths(blocks, WORD_BITS)
+    word, choice = task[:, 0] // len(choices), task[:, 0] % len(choices)
     value = sketches[np.arange(len(rid)), word // 2] >> (32 * (word % 2)).astype(np.uint64) & np.uint64(0xFFFFFFFF)
-    low = (BLOCK_BITS * block).astype(np.uint64)
-    # The bits of the word without those of the block, which the subtrie has in common.
-    rest = value & ((np.uint64(1) << low) - np.uint64(1)) | value >> (low + np.uint64(BLOCK_BITS)) << low
-    order = np.lexsort((rest, *task.T[::-1]))
-    rid, sketches, task, rest = rid[order], sketches[order], task[order], rest[order]
+    # The bits of the word without those of its path, which the subtrie has in common.
+    rest, free = np.zeros_like(value), 0
+    for c in np.unique(choice):
+        own, at = choice == c, 0
+        for b in range(blocks):
+            if b not in choices[c]:
+                rest[own] |= (value[own] >> np.uint64(sum(widths[:b])) & np.uint64((1 << widths[b]) - 1)) << np.uint64(at)
+                at += widths[b]
+        free = max(free, at)
     new_trie = np.concatenate(([True], (task[1:] != task[:-1]).any(axis=1)))
+    order = np.lexsort((rest, np.cumsum(new_trie)))
+    rid, sketches, rest = rid[order], sketches[order], rest[order]
     new_key = new_trie | np.concatenate(([True], rest[1:] != rest[:-1]))
     key_at = np.flatnonzero(new_key)  # rows of one key lie together
     key_end = np.append(key_at[1:], len(rid))
@@ -125,7 +149,7 @@ def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     join(np.repeat(key_at, key_end - key_at), np.arange(len(rid)))
     left: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
-    for i, j in itertools.chain(trie_pairs(rest[key_at], starts, np.append(starts[1:], len(key_at)), WORD_BITS - BLOCK_BITS, WORD_BUDGET, NODES), [(None, None)]):
+    for i, j in itertools.chain(trie_pairs(rest[key_at], starts, np.append(starts[1:], len(key_at)), free, WORD_BUDGET, NODES), [(None, None)]):
         if i is not None:
             left.append((i, j))
             waiting += len(i)
@@ -141,7 +165,7 @@ def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for p, q in _members(key_at, key_end, i[a:b], j[a:b], many[a:b]):
                     join(p, q)
     hung = np.flatnonzero(parent != np.arange(len(rid)))
-    yield pa.RecordBatch.from_arrays([pa.array(rid[hung]), pa.array(rid[parent[hung]])], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(rid[hung]), pa.array(rid[parent[hung]])], names=["u", "v"])
 
 
 def _members(at: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,21 +179,47 @@ def _members(at: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray, many
         yield at[i[pair]] + n // width, at[j[pair]] + n % width
 
 
-def candidate_groups(sketches: DataFrame) -> DataFrame:
-    """(rid, h): the texts of ``sketches`` (rid, sketch) that meet others, by group."""
+def dealing(total: int, most: int) -> tuple[int, int]:
+    """Of ``DEALINGS`` the one that writes each of ``total`` texts least often, if a tile holds ``most`` of them."""
+
+    def copies(way: tuple[int, int]) -> int:
+        return math.comb(*way) * max(1, math.ceil((total >> _path_bits(*way)) / most))
+
+    return min(DEALINGS, key=copies)
+
+
+def _path_bits(blocks: int, agreed: int) -> int:
+    """Bits of the shortest path."""
+    return sum(block_widths(blocks, WORD_BITS)[-agreed:])
+
+
+def _paths(blocks: int, agreed: int) -> Column:
+    """The paths of a text in its tries: of each word, one for every choice of blocks."""
+    widths = block_widths(blocks, WORD_BITS)
+    made = []
+    for w in range(WORDS):
+        for chosen in itertools.combinations(range(blocks), agreed):
+            path, at = F.lit(0).cast("long"), 0
+            for b in chosen:
+                bits = F.shiftrightunsigned(F.col("sketch")[w // 2], WORD_BITS * (w % 2) + sum(widths[:b])).bitwiseAND(F.lit((1 << widths[b]) - 1))
+                path, at = path.bitwiseOR(F.shiftleft(bits, at)), at + widths[b]
+            made.append(path.cast("int"))
+    return F.array(*made)
+
+
+def candidate_groups(sketches: DataFrame, made: Scratch, way: tuple[int, int] | None = None) -> DataFrame:
+    """(rid, h): the texts of ``sketches`` (rid, sketch) that meet others, by group; ``way`` is one of ``DEALINGS``."""
     total = sketches.count()
-    words = F.array(*(F.shiftrightunsigned(F.col("sketch")[w // 2], WORD_BITS * (w % 2)).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for w in range(WORDS)))
-    paths = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftrightunsigned(w, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for b in range(BLOCKS)))))
-    tried = sketches.select("rid", "sketch", F.posexplode(paths).alias("trie", "path"))
-    tile = min(max(TILE_LEAST, 2 * total >> BLOCK_BITS), TILE_MOST)
-    # At most one row for each block of each word and each of its values.
-    large = sketches.select(F.posexplode(paths).alias("trie", "path")).groupBy("trie", "path").count().where(F.col("count") > tile)
-    large = F.broadcast(large.withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count"))
-    tiled = tried.join(large, ["trie", "path"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    way = way or dealing(total, TILE_MOST)
+    tried = sketches.select("rid", "sketch", F.posexplode(_paths(*way)).alias("trie", "path"))
+    tile = min(max(TILE_LEAST, 2 * total >> _path_bits(*way)), TILE_MOST)
+    large = tried.groupBy("trie", "path").count().where(F.col("count") > tile).withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count")
+    # Written, so that Spark knows its size when it chooses whether to broadcast it: a row for each tile of a trie at most.
+    tiled = tried.join(made(large, "large"), ["trie", "path"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = tiled.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("rid", "sketch", "trie", "path", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"))
-    forest = dealt.repartition("trie", "path", "tile_a", "tile_b").mapInArrow(_subtries, "u long, v long")
-    grouped = materialise(components(materialise(forest, "met")), "groups")
+    forest = dealt.repartition(*DEALT).sortWithinPartitions(*DEALT).mapInArrow(_subtries(*way, ROWS), "u long, v long")
+    grouped = made.own(components(made(forest, "met")))
     return grouped.select(F.col("node").alias("rid"), F.col("root").alias("h")).union(grouped.select(F.col("root").alias("rid"), F.col("root").alias("h")).distinct())
 
 
@@ -225,34 +275,33 @@ def _tiles(least: float):
 
 def similar_roots(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, root) of each row of ``rows`` (rid long, a key; text): the smallest key that links reach."""
-    sets = materialise(rows.mapInArrow(_sets(words), "rid long, sketch array<long>, own array<long>"), "sets")
-    grouped = candidate_groups(sets.select("rid", "sketch"))
-    sizes = grouped.groupBy("h").agg(F.count("*").alias("m"))
-    held = materialise(grouped.join(sizes, "h"), "held")
-    own = sets.select("rid", "own").join(held.select("rid"), "rid", "left_semi")
-    few, many = held.where(F.col("m") <= SMALL), held.where(F.col("m") > SMALL)
-    small = few.select("h", F.col("rid").alias("u")).join(few.select("h", F.col("rid").alias("v")), "h").where("u < v").select("u", "v")
-    pairs = materialise(small.union(many.where("h < rid").select(F.col("h").alias("u"), F.col("rid").alias("v"))), "pairs")
-    sided = pairs.join(own.select(F.col("rid").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("rid").alias("v"), F.col("own").alias("b")), "v")
-    links = materialise(sided.select("u", "v", "a", "b").mapInArrow(_compared(least), "u long, v long"), "near")
-    roots = components(links)
-    # Groups of many texts that are not all of one component yet.
-    labelled = many.join(roots, F.col("rid") == F.col("node"), "left").select("h", "rid", F.coalesce("root", "rid").alias("root"))
-    labelled = materialise(labelled, "labelled")
-    apart = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    apart = materialise(apart.select("h", F.ceil(F.col("m") / GROUP_TILE).cast("int").alias("tiles")), "apart")
-    if apart.limit(1).count():
-        dealt = labelled.join(apart, "h").withColumn("own_tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        dealt = dealt.select("h", "rid", "root", F.least("own_tile", "other").alias("tile_a"), F.greatest("own_tile", "other").alias("tile_b"))
-        keys = ["h", "tile_a", "tile_b"]
-        whole = dealt.join(own, "rid").select(*keys, "rid", "root", "own").repartition(*keys).sortWithinPartitions(*keys)
-        more = materialise(whole.mapInArrow(_tiles(least), "u long, v long"), "more")
-        roots = components(links.union(more))
-    found = sets.select("rid").join(roots, F.col("rid") == F.col("node"), "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rid").alias("root"))
-    found = materialise(found, "roots")
-    release(sets, held, pairs, labelled, apart)
-    return found
+    with Scratch() as made:
+        sets = made(rows.mapInArrow(_sets(words), "rid long, sketch array<long>, own array<long>"), "sets")
+        grouped = candidate_groups(sets.select("rid", "sketch"), made)
+        sizes = grouped.groupBy("h").agg(F.count("*").alias("m"))
+        held = made(grouped.join(sizes, "h"), "held")
+        own = sets.select("rid", "own").join(held.select("rid"), "rid", "left_semi")
+        few, many = held.where(F.col("m") <= SMALL), held.where(F.col("m") > SMALL)
+        small = few.select("h", F.col("rid").alias("u")).join(few.select("h", F.col("rid").alias("v")), "h").where("u < v").select("u", "v")
+        pairs = made(small.union(many.where("h < rid").select(F.col("h").alias("u"), F.col("rid").alias("v"))), "pairs")
+        sided = pairs.join(own.select(F.col("rid").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("rid").alias("v"), F.col("own").alias("b")), "v")
+        links = made(sided.select("u", "v", "a", "b").mapInArrow(_compared(least), "u long, v long"), "near")
+        roots = made.own(components(links))
+        # Groups of many texts that are not all of one component yet.
+        labelled = many.join(roots, F.col("rid") == F.col("node"), "left").select("h", "rid", F.coalesce("root", "rid").alias("root"))
+        labelled = made(labelled, "labelled")
+        apart = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+        apart = made(apart.select("h", F.ceil(F.col("m") / GROUP_TILE).cast("int").alias("tiles")), "apart")
+        if apart.limit(1).count():
+            dealt = labelled.join(apart, "h").withColumn("own_tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            dealt = dealt.select("h", "rid", "root", F.least("own_tile", "other").alias("tile_a"), F.greatest("own_tile", "other").alias("tile_b"))
+            keys = ["h", "tile_a", "tile_b"]
+            whole = dealt.join(own, "rid").select(*keys, "rid", "root", "own").repartition(*keys).sortWithinPartitions(*keys)
+            more = made(whole.mapInArrow(_tiles(least), "u long, v long"), "more")
+            roots = made.own(components(links.union(more)))
+        found = sets.select("rid").join(roots, F.col("rid") == F.col("node"), "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rid").alias("root"))
+        return materialise(found, "roots")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
