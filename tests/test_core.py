@@ -176,6 +176,30 @@ def test_history_documents(spark, tmp_path):
     assert [(b.bucket, [p.p for p in b.history]) for b in doc.markets[0].buckets] == [("20°C", [0.2, 0.3])]
 
 
+def test_markets_of_many_cities(spark, tmp_path):
+    """The grid of cities and days is never made; what is broadcast is no larger than the cities and the days."""
+    start, end = dt.date(2025, 12, 1), dt.date(2026, 12, 1)
+    cities = spark.range(3000).select(F.concat(F.lit("Port "), F.col("id").cast("string")).alias("name"), F.lit("celsius").alias("temperature_unit"))
+    odd = spark.createDataFrame([(x, "fahrenheit") for x in ("Stoke-on-x-1-2", "Stoke on Trent", "STOKE ON TRENT", "", "a-on-b", None)], "name string, temperature_unit string")
+    cities.unionByName(odd).write.parquet(str(tmp_path / "cities"))  # so that Spark estimates its size by its files
+    cities = spark.read.parquet(str(tmp_path / "cities"))
+    slug = "highest-temperature-in-{}-on-{}".format
+    names = [slug(c, d) for c in ("port-7", "port-2999", "port-3000", "stoke-on-x-1-2", "stoke-on-trent", "", "a-on-b", "Port-7", "port-7-") for d in ("may-1-2026", "may-01-2026", "may-11-2026", "MAY-1-2026", "december-1-2025", "december-2-2026", "mayo-1-2026", "may-1-2026\n", "may-1-2026-on-may-2-2026", "")]
+    event = "slug string, title string, closed boolean, startDate string, endDate string, conditionId string, markets array<struct<groupItemTitle:string,startDate:string,endDate:string,outcomePrices:string,clobTokenIds:string>>"
+    events = spark.createDataFrame([(x, "t", True, None, None, None, []) for x in (*names, None)], event)
+    points = spark.createDataFrame([], "token_id string, t long, p double")
+    month = lambda d: f"{d.strftime('%B').lower()}-{d.day}-{d.year}"
+    days = {month(d): d for d in (start + dt.timedelta(i) for i in range((end - start).days + 1))}
+    lower = lambda c: c.lower().replace(" ", "-")
+    expected = sorted((c, str(d), slug(lower(c), m), u) for c, u in [("Port 7", "celsius"), ("Port 2999", "celsius")] + [(r.name, r.temperature_unit) for r in odd.collect() if r.name is not None] for m, d in days.items() if slug(lower(c), m) in names)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")  # a table of few rows counts as a page of up to 32 MB
+    try:
+        found = history.market_records(cities, events, points, start, end).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(expected) == 21 and sorted((r.city, r.date, r.slug, r.temperature_unit) for r in found) == expected
+
+
 def test_quarantine_of_days_and_outcomes(spark, tmp_path):
     short = _weather("weather-forecast", "Munich", "2026-06-01T10:00:00Z", [("2026-06-02", 20.0, 10.0)])
     short["response"]["daily"]["temperature_2m_max"] = []

@@ -149,8 +149,22 @@ def city_slug(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("-"))
 
 
+def city_part(name: Column) -> Column:
+    return F.concat(F.lit("highest-temperature-in-"), city_slug(name))
+
+
+def day_part(day: Column) -> Column:
+    return F.concat(F.lit("-on-"), F.lower(F.date_format(day, "MMMM")), F.lit("-"), F.dayofmonth(day).cast("string"), F.lit("-"), F.year(day).cast("string"))
+
+
 def market_slug(name: Column, day: Column) -> Column:
-    return F.concat(F.lit("highest-temperature-in-"), city_slug(name), F.lit("-on-"), F.lower(F.date_format(day, "MMMM")), F.lit("-"), F.dayofmonth(day).cast("string"), F.lit("-"), F.year(day).cast("string"))
+    return F.concat(city_part(name), day_part(day))
+
+
+def slug_parts(slug: Column) -> tuple[Column, Column]:
+    """The ``city_part`` and ``day_part`` of a market slug; what is no such slug has an empty day."""
+    day = F.regexp_extract(slug, r"-on-[^-]+-[0-9]+-[0-9]+\z", 0)
+    return F.left(slug, F.length(slug) - F.length(day)), day
 
 
 def plain_title(title: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirmark.functions import scalars as S
+from weirmark.functions.names import free_names
 from weirmark.operators.joins import calendar_grid, within_life
 from weirmark.operators.nested import last_winner, total_size
 from weirmark.operators.rows import keep_closed, unnest
@@ -23,6 +24,21 @@ def market_grid(cities: DataFrame, start: datetime.date, end: datetime.date) ->
     return grid.withColumn("slug", S.market_slug(F.col("city"), F.col("day")))
 
 
+def market_events(cities: DataFrame, events: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
+    """``market_grid`` joined to ``events`` by slug, with the cities' units.
+
+    The grid is many times larger than the cities, by whose size Spark would
+    broadcast it. So it isn't made: a slug is split into the parts of city and
+    day, and the days of the window are a table of their own.
+    """
+    place, of_day = free_names(events, "place", "of_day")
+    named = cities.select(F.col("name").alias("city"), "temperature_unit", S.city_part(F.col("name")).alias(place))
+    days = calendar_grid(events.sparkSession.range(1).select(), start, end).select("day", S.day_part(F.col("day")).alias(of_day))
+    parts = S.slug_parts(F.col("slug"))
+    within = events.withColumns({place: parts[0], of_day: parts[1]}).join(F.broadcast(days), of_day)
+    return within.join(named, place).drop(place, of_day)
+
+
 def market_records(cities: DataFrame, events: DataFrame, points: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
     """One row per city and day with a closed market: its buckets with their price points.
 
@@ -31,7 +47,7 @@ def market_records(cities: DataFrame, events: DataFrame, points: DataFrame, star
     bucket entry. A row holds one market, whatever the window.
     """
     closed = keep_closed(events).select("slug", "title", "endDate", "startDate", "conditionId", "markets")
-    found = market_grid(cities, start, end).join(closed, "slug").withColumn("date", F.date_format("day", "yyyy-MM-dd"))
+    found = market_events(cities, closed, start, end).withColumn("date", F.date_format("day", "yyyy-MM-dd"))
     rows = unnest(found, "markets", "m", [*HEAD, "startDate", "endDate"], "position")
     life = {name: S.epoch_seconds(S.iso_timestamp(S.filled(F.col(f"m.{field}"), F.col(field)))).alias(name) for name, field in (("opened", "startDate"), ("ended", "endDate"))}
     rows = rows.select(*HEAD, "position", F.col("m.groupItemTitle").alias("bucket"), S.first_token(F.col("m.clobTokenIds")).alias("yes_token"), S.resolved_yes(F.col("m.outcomePrices")).alias("resolved_yes"), *life.values())
@@ -43,8 +59,7 @@ def market_records(cities: DataFrame, events: DataFrame, points: DataFrame, star
     bucket = F.struct("position", F.struct("bucket", "yes_token", "resolved_yes", F.coalesce("history", F.array().cast(HISTORY)).alias("history")).alias("b"))
     buckets = buckets.groupBy(*HEAD).agg(F.array_sort(F.collect_list(bucket)).alias("b")).select(*HEAD, F.col("b.b").alias("buckets"))
     markets = found.join(winner, HEAD, "left").join(buckets, HEAD, "left")
-    named = markets.join(cities.select(F.col("name").alias("city"), "temperature_unit"), "city", "left")
-    return named.select("city", "date", "slug", "title", "endDate", "conditionId", "temperature_unit", "resolved_bucket", F.coalesce("buckets", F.array().cast(BUCKETS)).alias("buckets"))
+    return markets.select("city", "date", "slug", "title", "endDate", "conditionId", "temperature_unit", "resolved_bucket", F.coalesce("buckets", F.array().cast(BUCKETS)).alias("buckets"))
 
 
 def history_documents(cities: DataFrame, events: DataFrame, points: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:

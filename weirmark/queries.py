@@ -1092,7 +1092,7 @@ def history_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = orders.select(slug.alias("slug"), F.when(~single, F.array(event)).alias("items"), F.when(single, event).alias("single"))
     token = F.concat(F.lit("t"), F.col("l_orderkey").cast("string"), F.lit("-"), (F.col("l_linenumber") % 3).cast("string"))
     points = _read(spark, sf_dir, "lineitem").select(token.alias("token_id"), S.epoch_seconds(F.col("l_shipdate")).alias("t"), F.col("l_discount").alias("p"))
-    cities = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.lit("celsius").alias("temperature_unit"), F.col("c_mktsegment").alias("station"))
+    cities = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.lit("celsius").alias("temperature_unit"), F.col("c_mktsegment").alias("station")).dropDuplicates(["name"])
     docs = history.history_documents(cities, discovery.fetched_events(responses, with_markets=True), points, HISTORY_START, HISTORY_END)
     point = lambda h: F.concat(h["t"].cast("string"), F.lit("@"), h["p"].cast("string"))
     bucket = lambda b: F.concat(b["bucket"], F.lit("="), b["yes_token"], F.lit("["), F.array_join(F.transform(b["history"], point), ","), F.lit("]"))
