@@ -200,6 +200,18 @@ def test_markets_of_many_cities(spark, tmp_path):
     assert len(expected) == 21 and sorted((r.city, r.date, r.slug, r.temperature_unit) for r in found) == expected
 
 
+@pytest.mark.parametrize("name", ["market_snapshots", "verbatim_snapshots"])
+def test_snapshots_are_made_in_many_tasks(spark, monkeypatch, name):
+    """However few tasks read the customers, what is made of them is dealt out."""
+    from weirmark import queries
+
+    whole = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(queries, "DEALT", 20, raising=False)
+    customers, results, responses, parts = queries._searches(spark, SF)
+    assert all(df.rdd.getNumPartitions() == -(-customers.count() // 20) > 1 for df in (customers, results, responses, parts))
+    assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == whole
+
+
 def test_quarantine_of_days_and_outcomes(spark, tmp_path):
     short = _weather("weather-forecast", "Munich", "2026-06-01T10:00:00Z", [("2026-06-02", 20.0, 10.0)])
     short["response"]["daily"]["temperature_2m_max"] = []

@@ -978,9 +978,18 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Discovery and history as a whole ----------------------------------------------
 
 
+DEALT = 25_000
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows by key, some ``DEALT`` to a task: one task may read a whole file of short rows, of which a query makes ones many times longer."""
+    tasks = -(-df.count() // DEALT)
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Search results of each customer, details of some segments, and quotes; the customers themselves."""
-    customers = _read(spark, sf_dir, "customer").withColumn("city", F.get(F.array(*map(F.lit, CITY_NAMES)), F.pmod("c_nationkey", F.lit(4)).cast("int")))
+    customers = _dealt(_read(spark, sf_dir, "customer"), "c_custkey").withColumn("city", F.get(F.array(*map(F.lit, CITY_NAMES)), F.pmod("c_nationkey", F.lit(4)).cast("int")))
     key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
     market = "struct<id:string,groupItemTitle:string,startDate:string,endDate:string,outcomePrices:string,outcomes:string,clobTokenIds:string>"
 
