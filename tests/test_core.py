@@ -212,6 +212,15 @@ def test_snapshots_are_made_in_many_tasks(spark, monkeypatch, name):
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == whole
 
 
+def test_quotes_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("a", "midpoint", "1"), ("b", "price_buy", "2")], "token_id string, key string, value string").write.parquet(str(tmp_path / "parts"))
+    tokens = spark.createDataFrame([("c", "f", "a"), ("c", "f", "x")], "city string, fetched_at_utc string, token_id string")
+    quoted = discovery.attach_quotes(tokens, discovery.quotes(spark.read.parquet(str(tmp_path / "parts"))))
+    found = sorted(((r.token_id, r.midpoint, r.price_buy) for r in quoted.collect()))
+    assert found == [("a", "1", None), ("x", None, None)]
+    assert "Broadcast" not in quoted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quarantine_of_days_and_outcomes(spark, tmp_path):
     short = _weather("weather-forecast", "Munich", "2026-06-01T10:00:00Z", [("2026-06-02", 20.0, 10.0)])
     short["response"]["daily"]["temperature_2m_max"] = []

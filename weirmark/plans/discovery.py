@@ -54,7 +54,8 @@ def quotes(parts: DataFrame) -> DataFrame:
 
 
 def attach_quotes(tokens: DataFrame, quoted: DataFrame) -> DataFrame:
-    return tokens.join(quoted, "token_id", "left")
+    """Merged, as either side has a row per token; by the size of what they were unnested from Spark would broadcast the quotes."""
+    return tokens.join(quoted.hint("merge"), "token_id", "left")
 
 
 def quote_maps(quoted: DataFrame, keys: list[str]) -> DataFrame:
